@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, mixing, sharding
+from weftline.llm import exact_dedup, fingerprints, mixing, packing, sharding
 from weftline.llm.common import documents
 
 SHARDS = 40
@@ -16,6 +16,14 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_report(documents(spark, sf_dir))
 
 
+def op6_pack(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), keep_ids=False)
+
+
+def op7_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_report(documents(spark, sf_dir))
+
+
 def op10_mix(spark, sf_dir):
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -23,6 +31,8 @@ def op10_mix(spark, sf_dir):
 QUERIES = {
     "op1_shards": op1_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pack": op6_pack,
+    "op7_fingerprints": op7_fingerprints,
     "op10_mix": op10_mix,
 }
 
