@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, fingerprints, mixing, packing, sharding
+from weftline.llm import exact_dedup, fingerprints, html_extract, language_id, mixing, packing, sharding
 from weftline.llm.common import documents
 
 SHARDS = 40
@@ -12,6 +12,14 @@ def op1_shards(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op3_language(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op4_extract(spark, sf_dir):
+    return html_extract.extract(documents(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_report(documents(spark, sf_dir))
 
@@ -30,6 +38,8 @@ def op10_mix(spark, sf_dir):
 
 QUERIES = {
     "op1_shards": op1_shards,
+    "op3_language": op3_language,
+    "op4_extract": op4_extract,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pack": op6_pack,
     "op7_fingerprints": op7_fingerprints,
