@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows up to which a per-key table may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 50_000
 
@@ -44,9 +46,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what reads the result survives the loss of any executor, and work that
     several consumers need runs once.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")  # the result is written: its shuffle files may go at once
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_small(df: DataFrame, small: DataFrame, on: Column, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
