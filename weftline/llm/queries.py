@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, fingerprints, html_extract, language_id, mixing, ngram_join, packing, sharding
+from weftline.llm import exact_dedup, fingerprints, html_extract, language_id, mixing, ngram_join, packing, sharding, substring_dedup
 from weftline.llm.common import documents
 
 SHARDS = 40
@@ -32,6 +32,10 @@ def op7_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeat_report(documents(spark, sf_dir))
+
+
 def op9_ngram_join(spark, sf_dir):
     return ngram_join.similar_components(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pack": op6_pack,
     "op7_fingerprints": op7_fingerprints,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_mix": op10_mix,
 }
