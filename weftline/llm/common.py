@@ -87,3 +87,14 @@ def numbered(df: DataFrame, group: list[str], fine: list[str], order: list[Colum
         .withColumn(out, F.col("_start") + F.col("_rn") - 1)
         .drop("_rn", "_start")
     )
+
+
+def most_frequent(counts: DataFrame, at_least: int, most: int) -> DataFrame:
+    """The rows of stored `counts` with n >= at_least, or with a higher limit that at most `most` rows reach.
+
+    The limit comes from a histogram of n, so that no ranking passes through one place.
+    """
+    sizes = counts.where(F.col("n") >= at_least).groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+    upto = sizes.withColumn("upto", F.sum("rows").over(Window.orderBy(F.desc("n"))))
+    limit = upto.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return counts.where(F.col("n") >= limit) if limit is not None else counts.where(F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, fingerprints, html_extract, language_id, mixing, ngram_join, packing, sharding, substring_dedup
+from weftline.llm import exact_dedup, fingerprints, html_extract, language_id, lm_scoring, mixing, ngram_join, packing, sharding, substring_dedup
 from weftline.llm.common import documents
 
 SHARDS = 40
@@ -12,6 +12,11 @@ def op1_shards(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op2_lm_score(spark, sf_dir):
+    good = documents(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(documents(spark, sf_dir), good)
+
+
 def op3_language(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
@@ -46,6 +51,7 @@ def op10_mix(spark, sf_dir):
 
 QUERIES = {
     "op1_shards": op1_shards,
+    "op2_lm_score": op2_lm_score,
     "op3_language": op3_language,
     "op4_extract": op4_extract,
     "op5_exact_dedup": op5_exact_dedup,
