@@ -39,8 +39,9 @@ def sized(docs: DataFrame) -> DataFrame:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
     """Per source: source_size and target. The weighted shares sum to all words; capped excess is reshared.
 
-    The shares are min(most * size, level * weight) for one common level. Sorted by the level at
-    which each is capped, running sums give that level in closed form. One row per source.
+    The shares are min(most * size, level * weight) for one common level. With the sources sorted by
+    the level that caps them, capping the first k gives a level for each k that is never too high;
+    the true one is the highest of them. One row per source.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -55,8 +56,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
         }
     )
     level = (F.col("total") - F.col("caps_before")) / F.col("weights_from")
-    per = per.withColumn("level", F.min(F.when(level <= F.col("capped_at"), level)).over(every))
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
+    per = per.withColumn("level", level).withColumn("level", F.max("level").over(every))
+    target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 

@@ -95,7 +95,7 @@ ORACLES = {
             FROM q
         ), t AS (
             SELECT source, source_size, cap,
-                   least(cap::DOUBLE, coalesce(min(CASE WHEN level <= capped_at THEN level END) OVER () * weight, cap)) AS target
+                   least(cap::DOUBLE, max(level) OVER () * weight) AS target
             FROM r
         ), u AS (
             SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size)::BIGINT, 3) ELSE 0 END AS repeats FROM t
