@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: A column name of our own, for tables whose columns we do not know.
+ROW = "__weftline_row"
+
 #: Rows up to which a per-key table may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 50_000
 

@@ -81,5 +81,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     `docs` must be a stored table: its rows are identified by their place in the scan, which is
     the same each time the table is read.
     """
-    keep = _decisions(docs, id_col, text_col).where("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(keep, "_row", "left_semi").drop("_row")
+    keep = _decisions(docs, id_col, text_col).where("kept").select(F.col("row").alias(common.ROW))
+    return docs.withColumn(common.ROW, F.monotonically_increasing_id()).join(keep, common.ROW, "left_semi").drop(common.ROW)

@@ -221,25 +221,28 @@ def _document_scores(model: LanguageModel, texts: pa.StringArray) -> np.ndarray:
     return sums / np.maximum(lengths, 1)[:, None]
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of (doc_id, text) `docs` with lang_pred and score; other columns are carried along."""
+def predict(docs: DataFrame, model: LanguageModel, keep_text: bool = False) -> DataFrame:
+    """The rows of `docs` with lang_pred and score, and with all other columns but, unless asked for, text.
+
+    Only the text is looked at. `docs` must not have columns of the two new names.
+    """
     languages = np.array([*model.languages, UNDETERMINED], object)
     others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, *["text"] * keep_text])
 
     def run(batches):
         for batch in batches:
-            letters = np.array(batch.column("_letter").to_pylist(), bool)
+            letters = np.array(batch.column(len(others) + 1).to_pylist(), bool)
             best, score = np.full(len(letters), len(languages) - 1), np.zeros(len(letters))
             if len(languages) > 1 and len(letters):
-                p = _document_scores(model, batch.column("_text"))
+                p = _document_scores(model, batch.column(len(others)))
                 best[letters], score[letters] = p[letters].argmax(1), p[letters].max(1)
-            columns = [batch.column(c) for c in others]
+            columns = [batch.column(i) for i in range(len(others) + keep_text)]
             columns += [pa.array(languages[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, *["text"] * keep_text, "lang_pred", "score"])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*others, F.col("text").alias("_text"), letter.alias("_letter")).mapInArrow(
+    return docs.select(*others, "text", letter.alias("has_letter")).mapInArrow(
         run, (schema + ", " if schema else "") + "lang_pred string, score double"
     )
 

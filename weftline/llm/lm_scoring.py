@@ -136,7 +136,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, max_words: int = MAX_WORDS, max_
     vocabulary = vocabulary_of(docs, most=max_words)
     size = len(vocabulary) + FIRST
     ids = target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(True))
-    flagged = docs.join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_t").isNotNull().alias("target"))
+    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_t").isNotNull().alias("target"))
     counts = pair_counts(flagged, vocabulary)
 
     def totals(number) -> tuple[np.ndarray, np.ndarray]:
