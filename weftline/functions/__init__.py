@@ -1 +1 @@
-
+"""Column functions: text, dialogue messages, keys, URLs and model replies."""

@@ -1 +1 @@
-
+"""Operators on dialogue records and on the events of monitored sessions."""

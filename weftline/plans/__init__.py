@@ -1 +1 @@
-
+"""The registered queries, by theme, with their SQL counterparts."""

@@ -1,4 +1,10 @@
 """All registered queries of the library's own operators, and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from weftline.plans import curation, dialogue, sessions
+
+_PARTS = (dialogue, curation, sessions)
+
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
