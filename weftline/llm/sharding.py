@@ -87,18 +87,23 @@ def rebalanced(current: DataFrame, n_shards: int, tolerance: float = TOLERANCE)
     high = [(-v, s) for s, v in load.items()]
     heapq.heapify(low)
     heapq.heapify(high)
+    stuck: set[int] = set()
     for _ in range(20 * max(1, len(rows))):
         while load[low[0][1]] != low[0][0]:
             heapq.heappop(low)
-        while load[high[0][1]] != -high[0][0]:
+        while high and (high[0][1] in stuck or load[high[0][1]] != -high[0][0]):
             heapq.heappop(high)
+        if not high:
+            break
         (least, to), (most, frm) = low[0], high[0]
         gap = -most - least
         if gap <= tolerance * mean:
             break
         movable = [i for i in held[frm] if 0 < rows[i]["bytes"] < gap]
-        if not movable:
-            break
+        if not movable:  # one slot fills this shard: the next fullest may still give
+            heapq.heappop(high)
+            stuck.add(frm)
+            continue
         i = min(movable, key=lambda j: abs(rows[j]["bytes"] - gap / 2))
         held[frm].remove(i)
         held[to].append(i)
