@@ -135,7 +135,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, max_words: int = MAX_WORDS, max_
     """Both models. target_ids: the ids (doc_id) of target documents."""
     vocabulary = vocabulary_of(docs, most=max_words)
     size = len(vocabulary) + FIRST
-    ids = target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(True))
+    # target ids grow with the documents: both sides are shuffled at every size
+    ids = target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(True)).hint("merge")
     flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_t").isNotNull().alias("target"))
     counts = pair_counts(flagged, vocabulary)
 

@@ -25,10 +25,13 @@ def read_lenient(spark: SparkSession, path: str, schema: str = DIALOGUE) -> tupl
     """(records, bad lines); a path without files gives empty frames."""
     wide = StructType.fromDDL(f"{schema}, {_BAD} string")
     try:
-        read = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
+        lines = spark.read.text(path)
     except AnalysisException:
-        read = spark.createDataFrame([], wide)
-    return read.where(F.col(_BAD).isNull()).drop(_BAD), read.where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("value"))
+        lines = spark.createDataFrame([], "value string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    read = lines.where(F.btrim("value") != "").select(F.from_json("value", wide, options).alias("r"), "value")
+    bad = F.col(f"r.{_BAD}").isNotNull()
+    return read.where(~bad).select("r.*").drop(_BAD), read.where(bad).select("value")
 
 
 def read_keys(spark: SparkSession, *paths: str) -> DataFrame:
