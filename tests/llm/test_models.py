@@ -71,10 +71,12 @@ def test_language_without_labels(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
-def test_lm_scores(docs, rows):
+@pytest.mark.parametrize("broadcast", [lm_scoring.MAX_PAIRS, 5, 0])
+def test_lm_scores(docs, rows, broadcast, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "_GATHER", 50 if broadcast == 5 else lm_scoring._GATHER)
     targets = {i for i, *_ in rows if i is not None and i % 3 == 0}
     ids = docs.where("doc_id % 3 = 0").select("doc_id")
-    got = lm_scoring.cross_entropy_difference(docs, ids).collect()
+    got = lm_scoring.cross_entropy_difference(docs, ids, max_pairs=broadcast).collect()
     texts = [(i, [w.decode() for w in (t or "").encode().split()]) for i, t, *_ in rows]
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     texts = [(i, [w.translate(lower) for w in ws]) for i, ws in texts]
@@ -109,7 +111,8 @@ def test_lm_scores(docs, rows):
 
 
 def test_lm_without_targets(docs, empty):
-    assert {r.score for r in lm_scoring.cross_entropy_difference(docs, docs.select("doc_id").limit(0)).collect()} == {0.0}
+    for broadcast in (lm_scoring.MAX_PAIRS, 5):
+        assert {r.score for r in lm_scoring.cross_entropy_difference(docs, docs.select("doc_id").limit(0), max_pairs=broadcast).collect()} == {0.0}
     assert lm_scoring.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
 
 

@@ -1,13 +1,15 @@
 """Cross-entropy difference of matched n-gram models.
 
 Two interpolated bigram models, one of the target documents and one of all documents (the background),
-share one vocabulary, order and smoothing. Their per-token losses on a document, subtracted and
+share one closed vocabulary, order and smoothing. Their per-token losses on a document, subtracted and
 averaged, score it: the higher, the more it resembles the target.
 
 Counting runs over all documents: words first, which gives the vocabulary, then pairs of vocabulary
-entries with both models' counts side by side. The model that scoring needs is bounded by parameters
-(`MAX_WORDS`, `MAX_PAIRS`); rarer words are one unknown word, rarer pairs back off to single words. It
-is broadcast, and scoring is one pass over the documents without a shuffle.
+entries with both models' counts side by side. Every pair that occurs twice counts in the models,
+however many there are: the `MAX_PAIRS` most frequent ones are broadcast and scored where the texts are
+read; occurrences of all others travel packed, by ranges of the pair's hash, to where the range's counts
+are, and what they change comes back summed by document. A pair that is not broadcast is rarer than
+MAX_PAIRS others, so that no range holds a hot one.
 
 Edge cases: null and wordless texts have no tokens, losses and score of 0; very long texts score over
 all tokens; repeated rows count and score one by one; without target documents both models are the
@@ -26,21 +28,27 @@ from pyspark.sql import functions as F
 from weftline.llm import common, wordhash
 
 MIN_WORD_COUNT = 3
+#: Size of the closed vocabulary; any other word is the unknown word.
 MAX_WORDS = 40_000
 MIN_PAIR_COUNT = 2
+#: Pairs that are broadcast; the others are looked up by shuffling.
 MAX_PAIRS = 1_000_000
 #: Shares of pair, single-word and uniform probability.
 WEIGHTS = (0.6, 0.3, 0.1)
 
 #: Numbers of the unknown word and of the start of a text; vocabulary words follow.
 UNKNOWN, START, FIRST = 0, 1, 2
-#: Pair counts that a task gathers before it passes them on.
-_GATHER = 3_000_000
+#: Entries that a task gathers before it passes them on.
+_GATHER = 2_000_000
+#: Hash ranges to a shuffle partition when rare pairs are looked up.
+RANGES = 16
+
+_U = np.uint64
 
 
 @dataclass
 class Models:
-    """Sorted word hashes; sorted pair keys; per model counts of pairs, of words and of words as contexts."""
+    """Sorted word hashes; sorted keys of the broadcast pairs; per model counts of pairs, of words and of words as contexts."""
 
     words: np.ndarray
     keys: np.ndarray
@@ -48,23 +56,29 @@ class Models:
     singles: tuple[np.ndarray, np.ndarray]
     contexts: tuple[np.ndarray, np.ndarray]
 
-    def losses(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per-token losses in nats of the target and the background model."""
-        size = len(self.words) + FIRST
-        key = before.astype(np.int64) * size + word
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-        else:
-            at, known = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        out = []
-        for pairs, singles, contexts in zip(self.pairs, self.singles, self.contexts, strict=True):
-            both = np.where(known, pairs[at], 0.0) if len(pairs) else np.zeros(len(key))
-            p = WEIGHTS[0] * both / np.maximum(contexts[before], 1.0)
-            p += WEIGHTS[1] * singles[word] / max(singles.sum(), 1.0)
-            p += WEIGHTS[2] / size
-            out.append(-np.log(p))
-        return out[0], out[1]
+    @property
+    def size(self) -> int:
+        return len(self.words) + FIRST
+
+    def _probability(self, model: int, before: np.ndarray, word: np.ndarray, both: np.ndarray | float) -> np.ndarray:
+        singles = self.singles[model]
+        p = WEIGHTS[0] * both / np.maximum(self.contexts[model][before], 1.0)
+        p += WEIGHTS[1] * singles[word] / max(singles.sum(), 1.0)
+        return p + WEIGHTS[2] / self.size
+
+    def losses(self, before: np.ndarray, word: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(per-token losses in nats of target and background, pair keys, which pairs are known here)."""
+        key = before.astype(np.int64) * self.size + word
+        if not len(self.keys):
+            return [-np.log(self._probability(m, before, word, 0.0)) for m in (0, 1)], key, np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        return [-np.log(self._probability(m, before, word, np.where(known, self.pairs[m][at], 0.0))) for m in (0, 1)], key, known
+
+    def gains(self, key: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """By how much a token's losses fall once its pair's counts (target, background) are known."""
+        before, word = key // self.size, key % self.size
+        return [np.log(self._probability(m, before, word, counts[m]) / self._probability(m, before, word, 0.0)) for m in (0, 1)]
 
 
 def numbers(words: wordhash.Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +145,8 @@ def pair_counts(flagged: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return common.stored(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pairs")
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> Models:
-    """Both models. target_ids: the ids (doc_id) of target documents."""
+def fit(docs: DataFrame, target_ids: DataFrame, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> tuple[Models, DataFrame]:
+    """Both models, and (key, t, n) of the pairs that are too many to broadcast. target_ids: the ids (doc_id) of target documents."""
     vocabulary = vocabulary_of(docs, most=max_words)
     size = len(vocabulary) + FIRST
     # target ids grow with the documents: both sides are shuffled at every size
@@ -151,32 +165,138 @@ def fit(docs: DataFrame, target_ids: DataFrame, max_words: int = MAX_WORDS, max_
     kept = common.most_frequent(counts, MIN_PAIR_COUNT, max_pairs).toArrow()
     order = np.argsort(kept.column("key").to_numpy())
     keys, n, t = (kept.column(c).to_numpy()[order] for c in ("key", "n", "t"))
+    rest = counts.where(F.col("n") >= MIN_PAIR_COUNT).select("key", "t", "n")
+    if len(n):
+        rest = rest.where(F.col("n") < int(n.min()))
     pairs = (t.astype(np.float32), n.astype(np.float32))
     if not singles[0].any():
         pairs, singles, contexts = (pairs[1],) * 2, (singles[1],) * 2, (contexts[1],) * 2
-    return Models(vocabulary, keys, pairs, singles, contexts)
+        rest = rest.withColumn("t", F.col("n"))
+    return Models(vocabulary, keys, pairs, singles, contexts), rest
+
+
+def _packs(low_bits: np.uint64, key: np.ndarray, *others: np.ndarray) -> list[pa.Array]:
+    """One row for each range of the keys' hash: the range, and its keys and other values as bytes."""
+    ranges = wordhash.mix(np.ascontiguousarray(key, np.int64).view(_U)) >> low_bits
+    order = np.argsort(ranges, kind="stable")
+    found, first = np.unique(ranges[order], return_index=True)
+    cuts = [*first.tolist(), len(order)]
+    columns = [np.asarray(x, "<i8")[order] for x in (key, *others)]
+    return [pa.array(found.astype(np.int64)), *(pa.array([c[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for c in columns)]
+
 
+def _gains(tails: DataFrame, rest: DataFrame, shared, low_bits: np.uint64) -> DataFrame:
+    """row, target, background: what the pairs of `rest` take off the losses. tails: part, keys, rows."""
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("key", "t", "n")])
+            size += len(held[-1][0])
+            if size > _GATHER:
+                yield pa.RecordBatch.from_arrays(_packs(low_bits, *map(np.concatenate, zip(*held))), names=["part", "keys", "t", "n"])
+                held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays(_packs(low_bits, *map(np.concatenate, zip(*held))), names=["part", "keys", "t", "n"])
+
+    def table(parts):
+        keys, t, n = (np.concatenate([np.frombuffer(p[i], "<i8") for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+        order = np.argsort(keys)
+        return keys[order], t[order], n[order]
+
+    def summed(held):
+        rows, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        sums = [np.bincount(inverse, np.concatenate([h[i] for h in held]), len(rows)) for i in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, sums)], names=["row", "target", "background"])
+
+    def look_up(batches):
+        own, parts, known, held, size = None, [], None, [], 0
+        for batch in batches:
+            for part, keys, t, n, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "t", "n", "rows")), strict=True):
+                if part != own:
+                    own, parts, known = part, [], None
+                if rows is None:
+                    parts.append((keys, t, n))
+                    continue
+                known = known or table(parts)
+                if not len(known[0]):
+                    continue
+                key = np.frombuffer(keys, "<i8")
+                at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+                hit = known[0][at] == key
+                at = at[hit]
+                held.append((np.frombuffer(rows, "<i8")[hit], *shared.value.gains(key[hit], (known[1][at], known[2][at]))))
+                size += len(at)
+                if size > _GATHER:
+                    yield summed(held)
+                    held, size = [], 0
+        if size:
+            yield summed(held)
+
+    counts = rest.mapInArrow(pack, "part long, keys binary, t binary, n binary").withColumn("rows", F.lit(None).cast("binary"))
+    met = counts.unionByName(tails, allowMissingColumns=True).withColumn("late", F.col("rows").isNotNull())
+    ordered = met.repartition("part").sortWithinPartitions("part", "late").drop("late")
+    changes = ordered.mapInArrow(look_up, "row long, target double, background double")
+    return changes.groupBy("row").agg(F.sum("target").alias("less_target"), F.sum("background").alias("less_background"))
+
+
+def score(docs: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every document; losses are means per token."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(models)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low_bits = _U(64 - max(4, (RANGES * partitions).bit_length()))
+    elsewhere = not rest.isEmpty()
+    names = ["doc_id", "row", "n_tokens", "target", "background", "part", "keys", "rows"]
 
     def run(batches):
+        held, size, kind = [], 0, pa.null()
+
+        def tails():
+            packs = _packs(low_bits, *map(np.concatenate, zip(*held)))
+            n = len(packs[0])
+            empty = [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
+            return pa.RecordBatch.from_arrays([*empty, *packs], names=names)
+
         for batch in batches:
-            texts = batch.column("text")
+            texts, rows, kind = batch.column("text"), batch.column("row"), batch.column("doc_id").type
+            place = rows.to_numpy()
             for low, high in wordhash.slices(texts):
                 words = wordhash.words_of(texts.slice(low, high - low), lower=True)
                 n = words.counts()
                 doc = np.repeat(np.arange(high - low), n)
-                means = [np.bincount(doc, loss, high - low) / np.maximum(n, 1) for loss in shared.value.losses(*numbers(words, shared.value.words))]
+                losses, key, known = shared.value.losses(*numbers(words, shared.value.words))
+                sums = [np.bincount(doc, x, high - low) for x in losses]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(n.astype(np.int64)), *map(pa.array, means), pa.array(means[1] - means[0])],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
+                    [
+                        batch.column("doc_id").slice(low, high - low), rows.slice(low, high - low), pa.array(n.astype(np.int64)), *map(pa.array, sums),
+                        pa.nulls(high - low, pa.int64()), pa.nulls(high - low, pa.binary()), pa.nulls(high - low, pa.binary()),
+                    ],
+                    names=names,
+                )
+                if elsewhere:
+                    held.append((key[~known], place[low:high][doc[~known]]))
+                    size += len(held[-1][0])
+                    if size > _GATHER:
+                        yield tails()
+                        held, size = [], 0
+        if size:
+            yield tails()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, target_ids))
+    schema = f"doc_id {kind}, row long, n_tokens long, target double, background double, part long, keys binary, rows binary"
+    scored = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
+    if elsewhere:
+        scored = common.stored(scored, "scores")
+        own = scored.where("part IS NULL").drop("part", "keys", "rows")
+        gains = _gains(scored.where("part IS NOT NULL").select("part", "keys", "rows"), rest, shared, low_bits)
+        scored = own.join(gains, "row", "left").withColumns(
+            {c: F.col(c) - F.coalesce(F.col(f"less_{c}"), F.lit(0.0)) for c in ("target", "background")}
+        )
+    tokens = F.greatest("n_tokens", F.lit(1))
+    means = scored.select("doc_id", "n_tokens", (F.col("target") / tokens).alias("target_loss"), (F.col("background") / tokens).alias("background_loss"))
+    return means.withColumn("score", F.col("background_loss") - F.col("target_loss"))
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> DataFrame:
+    return score(docs, *fit(docs, target_ids, max_words, max_pairs))
