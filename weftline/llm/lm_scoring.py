@@ -181,12 +181,12 @@ def _packs(low_bits: np.uint64, key: np.ndarray, *others: np.ndarray) -> list[pa
     order = np.argsort(ranges, kind="stable")
     found, first = np.unique(ranges[order], return_index=True)
     cuts = [*first.tolist(), len(order)]
-    columns = [np.asarray(x, "<i8")[order] for x in (key, *others)]
+    columns = [x[order] for x in (key, *others)]
     return [pa.array(found.astype(np.int64)), *(pa.array([c[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for c in columns)]
 
 
 def _gains(tails: DataFrame, rest: DataFrame, shared, low_bits: np.uint64) -> DataFrame:
-    """row, target, background: what the pairs of `rest` take off the losses. tails: part, keys, rows."""
+    """row, less_target, less_background: what the pairs of `rest` take off the losses. tails: part, keys, rows."""
 
     def pack(batches):
         held, size = [], 0
@@ -206,8 +206,10 @@ def _gains(tails: DataFrame, rest: DataFrame, shared, low_bits: np.uint64) -> Da
 
     def summed(held):
         rows, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        sums = [np.bincount(inverse, np.concatenate([h[i] for h in held]), len(rows)) for i in (1, 2)]
-        return pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, sums)], names=["row", "target", "background"])
+        return rows, *(np.bincount(inverse, np.concatenate([h[i] for h in held]), len(rows)) for i in (1, 2))
+
+    def packed_sums(held):
+        return pa.RecordBatch.from_arrays(_packs(low_bits, *summed(held)), names=["part", "rows", "target", "background"])
 
     def look_up(batches):
         own, parts, known, held, size = None, [], None, [], 0
@@ -228,16 +230,36 @@ def _gains(tails: DataFrame, rest: DataFrame, shared, low_bits: np.uint64) -> Da
                 held.append((np.frombuffer(rows, "<i8")[hit], *shared.value.gains(key[hit], (known[1][at], known[2][at]))))
                 size += len(at)
                 if size > _GATHER:
-                    yield summed(held)
+                    yield packed_sums(held)
                     held, size = [], 0
         if size:
-            yield summed(held)
+            yield packed_sums(held)
+
+    def add(batches):
+        own, held, size = None, [], 0
+
+        def total():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held)], names=["row", "less_target", "less_background"])
+
+        for batch in batches:
+            for part, rows, target, background in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "target", "background")), strict=True):
+                if part != own and held:
+                    yield total()
+                    held, size = [], 0
+                own = part
+                held.append((np.frombuffer(rows, "<i8"), np.frombuffer(target, "<f8"), np.frombuffer(background, "<f8")))
+                size += len(held[-1][0])
+                if size > _GATHER:
+                    held, size = [summed(held)], 0
+        if held:
+            yield total()
 
     counts = rest.mapInArrow(pack, "part long, keys binary, t binary, n binary").withColumn("rows", F.lit(None).cast("binary"))
     met = counts.unionByName(tails, allowMissingColumns=True).withColumn("late", F.col("rows").isNotNull())
     ordered = met.repartition("part").sortWithinPartitions("part", "late").drop("late")
-    changes = ordered.mapInArrow(look_up, "row long, target double, background double")
-    return changes.groupBy("row").agg(F.sum("target").alias("less_target"), F.sum("background").alias("less_background"))
+    changes = ordered.mapInArrow(look_up, "part long, rows binary, target binary, background binary")
+    by_text = changes.repartition("part").sortWithinPartitions("part")
+    return by_text.mapInArrow(add, "row long, less_target double, less_background double")
 
 
 def score(docs: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
