@@ -39,7 +39,7 @@ WEIGHTS = (0.6, 0.3, 0.1)
 #: Numbers of the unknown word and of the start of a text; vocabulary words follow.
 UNKNOWN, START, FIRST = 0, 1, 2
 #: Entries that a task gathers before it passes them on.
-_GATHER = 2_000_000
+_GATHER = 1_000_000
 #: Hash ranges to a shuffle partition when rare pairs are looked up.
 RANGES = 16
 
@@ -101,7 +101,7 @@ def vocabulary_of(docs: DataFrame, at_least: int = MIN_WORD_COUNT, most: int = M
     def count(batches):
         for batch in batches:
             texts = batch.column("text")
-            for low, high in wordhash.slices(texts, 8 * wordhash.SLICE):
+            for low, high in wordhash.slices(texts, 3 * wordhash.SLICE):
                 word, n = np.unique(wordhash.words_of(texts.slice(low, high - low), lower=True).hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([wordhash.signed(word), pa.array(n.astype(np.int64))], names=["word", "n"])
 
