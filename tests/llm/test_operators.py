@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +208,50 @@ def test_ngram_join(docs, rows, percent, settings, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def _hashes(text):
+    return ngram_join.shingle_sets(pa.array([text]))[0].tolist()
+
+
+def _thinly_met(percent=85):
+    """Two texts that just link, whose shared rare tokens are dealt over large groups and groups of other pivots."""
+    rng = random.Random(7)
+    while True:
+        x = [f"a{rng.randrange(10**6)}" for _ in range(53)]
+        y = [*x[:26], "edited", *x[27:]]
+        p, q = (_hashes(" ".join(t))[:8] for t in (x, y))
+        both = [h for h in p if h in q]
+        seen = {h: max(p.index(h), q.index(h)) + 1 for h in both}
+        large, small = both[::2], both[1::2]
+        if len(both) >= 4 and all(len(part) + 50 - max(seen[h] for h in part) < 46 for part in (large, small)):
+            break
+    gram = {h: " ".join(x[i : i + 4]) for i in range(50) for h in _hashes(" ".join(x[i : i + 4]))}
+    texts = [" ".join(x), " ".join(y)]
+
+    def add(h, more, prefix):
+        while True:
+            text = " ".join([gram[h], *(f"b{rng.randrange(10**6)}" for _ in range(more))])
+            if h in _hashes(text)[:prefix]:
+                texts.append(text)
+                return
+
+    for h in large:
+        for _ in range(20):
+            add(h, 13, 3)
+    for h in small:
+        add(h, 1, 1)
+    return [(i, t, None, None) for i, t in enumerate(texts)]
+
+
+def test_ngram_join_finds_what_single_passes_see_in_part(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.frequent_tokens, "__defaults__", (ngram_join.FREQUENT, 0))
+    assert ngram_join.LARGE < 20
+    rows = _thinly_met()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(docs, 85).collect()}
+    want, _ = _components(rows, 85)
+    assert collections.Counter((i, c) for i, c in got.items()) == collections.Counter((i, c) for i, _, c in want) and got[1] == 0
+
+
 def test_ngram_representatives(docs, rows):
     _, n = _components(rows, 85)
     stay = ngram_join.representatives(docs)
