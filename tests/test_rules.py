@@ -1,5 +1,6 @@
 """Order-dependent rules against step-by-step restatements, and splits' invariants."""
 
+import datetime
 import random
 
 import pytest
@@ -151,3 +152,23 @@ def test_external_calls(spark):
     assert [f(0.0) for f in (lambda j: external.backoff(0, j), lambda j: external.backoff(9, j))] == [pytest.approx(6.8), 60.0]
     talks = external.simulate(requests.select("_key", F.col("prompt").alias("source_question")), lambda q, said: f"{q}{len(said)}", lambda q, said: "why?", 2)
     assert [m.content for m in talks.where("_key = '1'").first().messages] == ["hi0", "why?", "hi2", "why?"]
+
+
+def test_exam_intervals_over_days(spark):
+    rng = random.Random(4)
+    start = datetime.datetime(2024, 1, 1)
+    seconds = sorted(rng.sample(range(9 * 86400), 60))
+    rows = [(start + datetime.timedelta(seconds=s + (5 * 86400 if s > 4 * 86400 else 0)), rng.choice(["start", "stop"]), f"x{i}", rng.randrange(1, 20_000)) for i, s in enumerate(seconds)]
+    want = set()
+    for (ts, action, exam, minutes), following in zip(rows, [*rows[1:], None], strict=True):
+        over = ts + datetime.timedelta(minutes=minutes)
+        if action == "start":
+            want.add((exam, ts, min(over, following[0]) if following else over))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        commands = spark.createDataFrame(rows, "ts timestamp, action string, exam_id string, minutes int").repartition(3)
+        got = sessions.exam_intervals(commands).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    naive = {(r.exam_id, r.started_at.replace(tzinfo=None), r.ended_at.replace(tzinfo=None)) for r in got}
+    assert naive == want and len({r.task for r in got}) > 1

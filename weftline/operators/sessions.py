@@ -117,8 +117,13 @@ def exam_intervals(commands: DataFrame) -> DataFrame:
 
     An exam ends at its stop, at the next start, or after its minutes, whichever comes first.
     """
-    order = Window.orderBy("ts")
-    ended = commands.withColumn("next_ts", F.lead("ts").over(order)).where("action = 'start'")
+    own = commands.withColumn("_day", F.to_date("ts"))
+    days = own.groupBy("_day").agg(F.min("ts").alias("_first"))
+    # one row for each day; commands themselves are ordered within their days
+    days = days.select(F.col("_day").alias("_d"), F.lead("_first").over(Window.orderBy("_day")).alias("_after"))
+    following = F.lead(F.struct("ts")).over(Window.partitionBy("_day").orderBy("ts"))
+    ended = own.withColumn("_next", following).join(days, F.col("_day").eqNullSafe(F.col("_d"))).where("action = 'start'")
+    ended = ended.withColumn("next_ts", F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col("_next.ts")))
     over = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes"))
     return ended.select("exam_id", F.col("ts").alias("started_at"), F.least(over, F.coalesce("next_ts", over)).alias("ended_at"))
 
