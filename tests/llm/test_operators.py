@@ -64,7 +64,7 @@ def test_shards(docs, rows):
 
 def test_slot_map_versions_and_growth(spark, docs):
     assigned = sharding.assign_slots(docs, 64)
-    stats = sharding.slot_statistics(assigned, 3, 64)
+    stats = sharding.slot_statistics(sharding.with_fragments(assigned, sharding.large_slots(assigned, 64)))
     versions = sharding.SlotMap(spark)
     versions.save(sharding.initial_map(stats, 3))
     versions.save(sharding.rebalanced(versions.load(0), 3))
@@ -82,6 +82,15 @@ def test_hot_slot_is_cut(spark):
     assert len(sizes) == 5 and max(sizes) < 1.2 * min(sizes)
 
 
+@pytest.mark.parametrize("shards", [3, 40, 500])
+def test_one_repeated_row_fills_all_shards(spark, shards):
+    docs = spark.range(0, 4000, 1, 3).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    got = [r["n"] for r in sharding.shard_documents(docs, shards).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(got) == shards and sum(got) == 4000 and max(got) - min(got) <= 2
+    slots = sharding.shard_documents(docs, shards).groupBy("shard").agg((F.max("slot") + 1 == F.count_distinct("slot")).alias("gapless"))
+    assert slots.where("NOT gapless").count() == 0
+
+
 def test_packing(docs, rows):
     got = packing.pack(docs).collect()
     encoder = ByteBpe(default_path())  # the plain library

@@ -6,8 +6,9 @@ deals slots round robin. Rebalancing edits the map: it moves single slots from t
 emptiest shard until sizes are near equal, and stores the edited map as the next version. Adding a
 shard is the same edit with one more, empty, shard.
 
-A slot that holds more than its share (one key with very many rows) is cut into `FAN` fragments by
-the row's place in the scan; each fragment is placed like a slot of its own.
+A slot that holds `LARGE` times an average slot, in bytes or rows (one key with very many rows), is cut
+by the rows' place in the scan into fragments of about half that size; each fragment is placed like a
+slot of its own. Slots and fragments together are fewer than 2 * N_SLOTS, whatever the data.
 
 Edge cases: a null text has no bytes (a row still counts `ROW_BYTES`) and the checksum of the empty
 string; null and repeated ids hash like any value; repeated rows are placed one by one; an empty
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 N_SLOTS = 8192
-FAN = 16
+#: A slot is cut from so many times the average slot.
+LARGE = 4
 ROW_BYTES = 16
 #: Rebalancing stops when the fullest shard exceeds the emptiest by this share of the mean.
 TOLERANCE = 0.001
@@ -34,34 +36,37 @@ TOLERANCE = 0.001
 MAP_SCHEMA = "version int, slot int, fragment int, shard int, bytes long, rows long"
 
 
-def assign_slots(docs: DataFrame, n_slots: int = N_SLOTS, fan: int = FAN) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot and the fragment that only oversized slots use."""
+def assign_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, row (place in the scan) and virtual_slot."""
     text = common.text_or_empty()
     return docs.select(
         "doc_id",
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("row"),
-    ).select(
-        "*",
-        F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int").alias("virtual_slot"),
-        F.pmod("row", F.lit(fan)).cast("int").alias("fragment"),
-    )
-
-
-def slot_statistics(assigned: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
-    """slot, fragment, bytes, rows. Fragment -1 stands for a whole slot; only oversized slots are cut."""
-    cells = assigned.groupBy("virtual_slot", "fragment").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    cells = common.stored(cells, "slot-cells")
-    whole = cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("slot_bytes"))
-    total = cells.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
-    limit = F.greatest(F.col("total") / (8 * n_shards), F.lit(4) * F.col("total") / n_slots)
-    large = whole.join(F.broadcast(total)).select("virtual_slot", (F.col("slot_bytes") > limit).alias("large"))
-    return (
-        cells.join(large, "virtual_slot")
-        .groupBy(F.col("virtual_slot").alias("slot"), F.when(F.col("large"), F.col("fragment")).otherwise(-1).alias("fragment"))
-        .agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-    )
+    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
+
+
+def large_slots(assigned: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """virtual_slot, fan: into how many fragments each oversized slot is cut. Stored; at most n_slots / 2 rows."""
+    slots = assigned.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    totals = slots.agg(F.sum("bytes").alias("all_bytes"), F.sum("rows").alias("all_rows"))
+    times = F.greatest(F.col("bytes") * n_slots / F.col("all_bytes"), F.col("rows") * n_slots / F.col("all_rows"))
+    fan = F.least(F.ceil(times * 2 / LARGE), F.col("rows")).cast("int")
+    cut = slots.join(F.broadcast(totals)).where((times >= LARGE) & (F.col("rows") > 1))
+    return common.stored(cut.select("virtual_slot", fan.alias("fan")), "large-slots")
+
+
+def with_fragments(assigned: DataFrame, large: DataFrame) -> DataFrame:
+    """Adds `fragment`: -1 in whole slots, a number below `fan` in slots that are cut."""
+    fragment = F.when(F.col("fan").isNotNull(), F.pmod("row", F.col("fan"))).otherwise(-1).cast("int")
+    return assigned.join(F.broadcast(large), "virtual_slot", "left").withColumn("fragment", fragment).drop("fan")
+
+
+def slot_statistics(fragmented: DataFrame) -> DataFrame:
+    """slot, fragment, bytes, rows. Fragment -1 stands for a whole slot."""
+    cells = fragmented.groupBy(F.col("virtual_slot").alias("slot"), "fragment")
+    return cells.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
 def initial_map(statistics: DataFrame, n_shards: int) -> DataFrame:
@@ -73,7 +78,7 @@ def initial_map(statistics: DataFrame, n_shards: int) -> DataFrame:
 def rebalanced(current: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> DataFrame:
     """The next version of a map: single slots moved from the fullest to the emptiest shard.
 
-    The map has a row per slot (or fragment of an oversized slot): at most N_SLOTS * FAN rows
+    The map has a row per slot (or fragment of an oversized slot): fewer than 2 * N_SLOTS rows
     whatever the data, so editing it is the driver's work.
     """
     rows = [r.asDict() for r in current.orderBy("slot", "fragment").collect()]
@@ -138,19 +143,15 @@ def shard_documents(docs: DataFrame, n_shards: int, path: str | None = None) ->
     """
     spark = docs.sparkSession
     assigned = common.stored(assign_slots(docs), "slots")
+    fragmented = with_fragments(assigned, large_slots(assigned))
     versions = SlotMap(spark, path)
-    versions.save(initial_map(slot_statistics(assigned, n_shards), n_shards))
+    versions.save(initial_map(slot_statistics(fragmented), n_shards))
     versions.save(rebalanced(versions.load(0), n_shards))
-    current = versions.load(1).select(F.col("slot").alias("virtual_slot"), F.col("fragment").alias("cut"), "shard")
-    # at most N_SLOTS * FAN narrow rows: bounded by parameters
-    cut = current.where("cut >= 0").select("virtual_slot").distinct().withColumn("is_cut", F.lit(True))
-    placed = (
-        assigned.join(F.broadcast(cut), "virtual_slot", "left")
-        .withColumn("cut", F.when(F.col("is_cut"), F.col("fragment")).otherwise(-1))
-        .join(F.broadcast(current), ["virtual_slot", "cut"])
-    )
+    current = versions.load(1).select(F.col("slot").alias("virtual_slot"), "fragment", "shard")
+    # fewer than 2 * N_SLOTS narrow rows: bounded by a parameter
+    placed = fragmented.join(F.broadcast(current), ["virtual_slot", "fragment"])
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("row")]
-    return common.numbered(placed, ["shard"], ["virtual_slot", "cut"], order, "slot").select(
+    return common.numbered(placed, ["shard"], ["virtual_slot", "fragment"], order, "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
