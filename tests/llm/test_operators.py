@@ -118,6 +118,18 @@ def _similar(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def _sketch(fingerprint):
+    """(end of the range, hashes) of a fingerprint string."""
+    upto, *hashes = (int.from_bytes(bytes.fromhex(x), "big", signed=True) for x in fingerprint.split(" "))
+    assert hashes == sorted(set(hashes)) and all(h <= upto for h in hashes)
+    return upto, hashes
+
+
+def _likeness(p, q):
+    upto = min(p[0], q[0])
+    return _similar(*({h for h in x[1] if h <= upto} for x in (p, q)))
+
+
 def test_fingerprints(docs, rows):
     got = fingerprints.fingerprint_report(docs).collect()
     assert len(got) == len(rows)
@@ -132,6 +144,7 @@ def test_fingerprints(docs, rows):
         return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
     by_text = collections.defaultdict(set)
+    prints = {r.doc_id: r.fingerprint for r in got}
     for r in got:
         if r.doc_id in unique:
             text = texts[r.doc_id][0]
@@ -142,10 +155,20 @@ def test_fingerprints(docs, rows):
                 cut = len(text) // 3
                 edited = text[: len(text) - cut] + following[:cut]
                 assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-                assert abs(r.near_edited - _similar(shingles(text), shingles(edited))) < 0.35
-                if len(shingles(text) | shingles(following)) <= fingerprints.FLOOR:
+                few = [len(shingles(t)) < 32 for t in (text, edited, following)]
+                if few[0] and few[1]:
+                    assert r.near_edited == _similar(shingles(text), shingles(edited))
+                if few[0] and few[2]:
                     assert r.near_next == _similar(shingles(text), shingles(following))
             assert r.n_chars == len(text)
+            size = len(shingles(text))
+            upto, hashes = _sketch(r.fingerprint)
+            assert upto == -(2**63) + 2**64 // next(d for n, d in fingerprints.FRACTIONS if size >= n) - 1
+            assert abs(len(hashes) - size * (upto + 2**63) / 2**64) <= 5 * size**0.5
+        # both estimates follow from the strings alone
+        assert r.near_edited == _likeness(_sketch(r.fingerprint), _sketch(r.edited_fingerprint))
+        if r.next_id in unique and r.next_id in prints:
+            assert r.near_next == _likeness(_sketch(r.fingerprint), _sketch(prints[r.next_id]))
     assert all(len(x) == 1 for x in by_text.values())
 
 

@@ -1,9 +1,10 @@
 """Document fingerprints by a threshold-scaled sketch.
 
 A sketch keeps every hash of a text's distinct five-word shingles that lies below a fixed fraction
-of the hash range. Such sketches merge by union, and two of them compare on the range that both
-cover, however unequal their documents are. So that very short texts compare too, the FLOOR smallest
-hashes are always kept; `upto` states how far a sketch is complete (everywhere, if it kept all).
+of the hash range: an eighth, and for texts of few shingles the larger one that FRACTIONS states. Such
+sketches merge by union, and two of them compare on the range that both cover, however unequal their
+documents are. `upto` is the end of a sketch's range, and the first number of the fingerprint string, so
+that likeness and containment follow from two strings alone.
 
 Only DataFrame functions run here. The one ordering of all documents (each document's follower by
 descending id) is made on narrow rows: they are dealt by range, followed within each range, and the
@@ -13,7 +14,8 @@ once more as the prefixes that the edited texts need.
 Edge cases: a null text counts as empty; texts with fewer than five words have one shingle, the whole
 word sequence; texts without words have an empty sketch, alike to another such (1.0) and unlike all
 others (0.0); null ids come last in descending order; repeated rows follow one another; a table of
-one row follows itself; an empty table gives an empty result. Other columns are ignored.
+one row follows itself; an empty table gives an empty result. Other columns are ignored. Rows are known
+by their place in the scan and read twice: `docs` must be a stored table, or read alike each time.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 SHINGLE = 5
-#: One hash in SCALE is kept. Hashes are signed, so the kept range starts at the least long.
-SCALE = 8
-FLOOR = 16
+#: (shingles, d): texts of so many distinct shingles or more keep one hash in d.
+FRACTIONS = ((128, 8), (64, 4), (32, 2), (0, 1))
 
-_LEAST, _MOST = -(2**63), 2**63 - 1
-_TOP = _LEAST + 2**64 // SCALE - 1
+_LEAST = -(2**63)
+
+
+def _end(one_in: int) -> int:
+    """The last of the kept hashes. Hashes are signed, so that the kept range starts at the least long."""
+    return _LEAST + 2**64 // one_in - 1
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -45,15 +50,12 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     few = F.array(F.xxhash64(F.array_join(words, " ")))
     none = F.array().cast("array<bigint>")
     df = df.withColumn(every, F.sort_array(F.array_distinct(F.when(size >= SHINGLE, shingle).when(size > 0, few).otherwise(none))))
-    below = f"_{out}_below"
-    df = df.withColumn(below, F.filter(every, lambda h: h <= F.lit(_TOP)))
-    kept = F.when(F.size(below) >= FLOOR, F.col(below)).otherwise(F.slice(every, 1, FLOOR))
-    upto = (
-        F.when(F.size(every) <= F.greatest(F.size(below), F.lit(FLOOR)), F.lit(_MOST))
-        .when(F.size(below) >= FLOOR, F.lit(_TOP))
-        .otherwise(F.get(F.col(every), F.lit(FLOOR - 1)))
-    )
-    return df.withColumn(out, F.struct(kept.alias("hashes"), upto.alias("upto"))).drop(words, hashes, every, below)
+    upto = F.lit(None).cast("long")
+    for shingles, one_in in reversed(FRACTIONS):
+        upto = F.when(F.size(every) >= shingles, F.lit(_end(one_in))).otherwise(upto)
+    df = df.withColumn(f"_{out}_upto", upto)
+    kept = F.filter(every, lambda h: h <= F.col(f"_{out}_upto"))
+    return df.withColumn(out, F.struct(kept.alias("hashes"), F.col(f"_{out}_upto").alias("upto"))).drop(words, hashes, every, f"_{out}_upto")
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -82,7 +84,8 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch["hashes"], lambda h: F.lpad(F.hex(h), 16, "0")), " ")
+    """The sketch as numbers of 16 hexadecimal digits: `upto`, then the hashes, ascending as signed numbers."""
+    return F.array_join(F.transform(F.concat(F.array(sketch["upto"]), sketch["hashes"]), lambda h: F.lpad(F.hex(h), 16, "0")), " ")
 
 
 def followers(rows: DataFrame) -> DataFrame:
