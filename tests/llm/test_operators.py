@@ -309,25 +309,36 @@ def test_mix(docs, rows):
     sources = collections.defaultdict(set)
     for i, _, _, s in rows:
         sources[i].add(s)
-    taken, largest = collections.Counter(), max(len(split(t)) for _, t, *_ in rows)
     for r in got:
         assert 0 <= r.taken <= 3 * r["size"]
         if len(sources[r.doc_id]) == 1:
             s = next(iter(sources[r.doc_id]))
             assert r.source_size == size[s] and abs(r.target - target[s]) < 1e-6
-    by_source = docs.groupBy("source").count().count()
-    assert by_source == len(order) and len(got) == len(rows)
+    assert len(got) == len(rows)
+    taken = collections.Counter()
     for r in got:
-        taken[round(r.target, 6)] += r.taken
-    wanted = collections.Counter()
+        taken[r.source_size] += r.taken
+    assert len(set(size.values())) == len(order)
     for s in order:
-        wanted[round(target[s], 6)] += target[s]
-    assert all(abs(taken[t] - wanted[t]) <= largest for t in wanted)
+        largest = max(len(split(t)) for _, t, _, own in rows if own == s)
+        assert abs(taken[size[s]] - target[s]) <= largest
     copies = mixing.mix(docs)
     assert copies.columns == docs.columns
     assert copies.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == sum(taken.values())
 
 
+def test_mix_takes_repeated_rows_one_by_one(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 7).select(F.lit(None).cast("long").alias("doc_id"), F.lit("five words in each text").alias("text"), F.when(F.col("id") % 2 == 0, "a").alias("source"), (F.col("id") % 5).alias("row"), F.lit(0).alias("k"))
+    rows.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = mixing.mix_report(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sorted(round(r.target) for r in got) == [4286, 10714]
+    assert all(abs(r.taken - r.target) <= 5 and r.n == 1500 for r in got)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.taken for r in got) // 5
+    assert {r["n"] for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()} == {r.taken // 5 for r in got}
+
+
 def test_empty_tables(empty):
     for report in (
         exact_dedup.duplicate_report, exact_dedup.deduplicate, fingerprints.fingerprint_report, ngram_join.similar_components,

@@ -6,9 +6,14 @@ bucket in which the budget ends, and only that bucket is refined, `LEVELS` times
 Documents are then filtered by comparing their hash with their source's threshold. No document is
 sorted, budgets nest (a larger one takes a superset), and reruns agree.
 
-Edge cases: a null text has size 0; the null source is a source of its own, last in order; rows
-repeating an id share its hash and are taken together; a source without words gets target 0; an
-empty table gives an empty result.
+The hash is of source, id and text. Rows that repeat all three are told apart by their number among
+themselves, so that a large group of equal rows is taken row by row like any other rows. Numbering goes
+by cells of the rows' places, so that no group meets in one task.
+
+Edge cases: a null text has size 0; the null source is a source of its own, last in order; null and
+repeated ids are ids like others; a source without words gets target 0; an empty table gives an empty
+result. Repeated rows are known by their place in the scan, and the table is read twice: `docs` must be a
+stored table, or read alike each time. `mix` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +27,46 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BITS = 12
 LEVELS = 4
+#: Cells in which equal rows are numbered side by side.
+CELLS = 1024
 
 
-def id_hash() -> Column:
-    """A hash of BITS * LEVELS bits of the id."""
-    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+def _digits(text: Column, n: int) -> Column:
+    """The first n hexadecimal digits of the text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+
+
+def row_key() -> Column:
+    """60 bits that rows of one source, id and text share."""
+    word = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return _digits(F.concat_ws("/", word("source"), word("doc_id"), F.coalesce(F.md5("text"), F.lit(""))), 15)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the hash h of the id."""
+    """doc_id, source, size in words, the row's key k and its place in the scan."""
     size = F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), id_hash().alias("h"))
+    return docs.select("doc_id", "source", size.alias("size"), row_key().alias("k"), F.monotonically_increasing_id().alias("row"))
+
+
+def repeated_hashes(sizes: DataFrame) -> DataFrame:
+    """row, k, h of the rows that repeat another row, stored. h: their own hash of BITS * LEVELS bits."""
+    again = common.stored(sizes.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("_k")), "mix-repeated")
+    rows = common.join_small(sizes.select("row", "k"), again, F.col("k") == F.col("_k"), "left_semi")
+    rows = rows.withColumn("cell", F.pmod("row", F.lit(CELLS)).cast("int"))
+    own = _digits(F.concat_ws("/", F.col("k").cast("string"), F.col("rank").cast("string")), BITS * LEVELS // 4)
+    numbered = common.numbered(rows, ["k"], ["cell"], [F.col("row")], "rank")
+    return common.stored(numbered.select("row", "k", F.when(F.col("rank") == 0, _first_hash()).otherwise(own).alias("h")), "mix-hashes")
+
+
+def _first_hash() -> Column:
+    return F.shiftright("k", 60 - BITS * LEVELS)
+
+
+def with_hashes(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Adds h to rows that have `row` and `k`."""
+    theirs = repeated.select(F.col("row").alias("_row"), F.col("h").alias("_h"))
+    joined = common.join_small(rows, theirs, F.col("row") == F.col("_row"), "left")
+    return joined.withColumn("h", F.coalesce("_h", _first_hash())).drop("_row", "_h")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -115,10 +148,15 @@ def thresholds(sizes: DataFrame, per_source: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "repeats", "threshold")
 
 
-def _chosen(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _chosen(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes with hashes, hashes of repeated rows, what each source takes)."""
     sizes = common.stored(sized(docs), "mix-sizes")
-    limits = thresholds(sizes, targets(sizes)).withColumnRenamed("source", "s")
-    return sizes, limits
+    repeated = repeated_hashes(sizes)
+    if not repeated.isEmpty():
+        sizes = common.stored(with_hashes(sizes, repeated).drop("k", "row"), "mix-sizes")
+    else:
+        sizes = sizes.withColumn("h", _first_hash()).drop("k", "row")
+    return sizes, repeated, thresholds(sizes, targets(sizes)).withColumnRenamed("source", "s")
 
 
 def _copies():
@@ -127,15 +165,15 @@ def _copies():
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    sizes, limits = _chosen(docs)
+    sizes, _, limits = _chosen(docs)
     joined = common.join_small(sizes, limits, F.col("source").eqNullSafe(F.col("s")), "inner")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of `docs`, each as often as the mix takes it (0 to MAX_REPEATS times)."""
-    _, limits = _chosen(docs)
-    rows = docs.select(F.struct("*").alias("doc"), F.col("source").alias("_source"), id_hash().alias("h"))
-    joined = common.join_small(rows, limits, F.col("_source").eqNullSafe(F.col("s")), "inner")
+    _, repeated, limits = _chosen(docs)
+    rows = docs.select(F.struct("*").alias("doc"), F.col("source").alias("_source"), row_key().alias("k"), F.monotonically_increasing_id().alias("row"))
+    joined = common.join_small(with_hashes(rows, repeated), limits, F.col("_source").eqNullSafe(F.col("s")), "inner")
     copies = F.least(_copies(), F.lit(MAX_REPEATS)).cast("int")
     return joined.where(copies > 0).select("doc", F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")

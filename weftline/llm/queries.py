@@ -75,38 +75,41 @@ ORACLES = {
                text_sha256
         FROM d
     """,
+    # the excess above three times a source's size is shared anew, round by round, until no share is above
     "op10_mix": r"""
-        WITH s AS (
-            SELECT doc_id, source,
-                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+        WITH RECURSIVE keyed AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   md5(coalesce('=' || source, '') || '/' || coalesce('=' || doc_id, '') || '/' || coalesce(md5(text), '')) AS digest
             FROM documents
+        ), s AS (
+            SELECT *, ('0x' || digest[1:15])::BIGINT AS k, row_number() OVER (PARTITION BY digest[1:15]) - 1 AS nth FROM keyed
+        ), hashed AS (
+            SELECT *, CASE WHEN nth = 0 THEN ('0x' || digest[1:12])::BIGINT ELSE ('0x' || md5(k || '/' || nth)[1:12])::BIGINT END AS h FROM s
         ), p AS (
             SELECT source, sum(size)::BIGINT AS source_size,
                    [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
             FROM s GROUP BY source
-        ), q AS (
-            SELECT *, 3 * source_size AS cap, 3.0::DOUBLE * source_size / weight AS capped_at,
-                   sum(source_size) OVER () AS total FROM p
-        ), r AS (
-            SELECT *,
-                   (total - coalesce(sum(cap) OVER (ORDER BY capped_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-                   / sum(weight) OVER (ORDER BY capped_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-            FROM q
+        ), share AS (
+            SELECT 0 AS round, source, source_size, weight, FALSE AS capped, (SELECT sum(source_size) FROM p)::DOUBLE * weight / (SELECT sum(weight) FROM p) AS target FROM p
+            UNION ALL
+            SELECT round + 1, source, source_size, weight, over, CASE WHEN over THEN 3.0::DOUBLE * source_size ELSE left_over * weight / free END
+            FROM (
+                SELECT *, (every - sum(CASE WHEN over THEN 3 * source_size ELSE 0 END) OVER ())::DOUBLE AS left_over, sum(CASE WHEN over THEN 0 ELSE weight END) OVER () AS free,
+                       bool_or(over AND NOT capped) OVER () AS more
+                FROM (SELECT *, capped OR target > 3 * source_size AS over, sum(source_size) OVER () AS every FROM share)
+            ) WHERE more
         ), t AS (
-            SELECT source, source_size, cap,
-                   least(cap::DOUBLE, max(level) OVER () * weight) AS target
-            FROM r
+            SELECT source, source_size, target FROM share WHERE round = (SELECT max(round) FROM share)
         ), u AS (
             SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size)::BIGINT, 3) ELSE 0 END AS repeats FROM t
         ), g AS (
-            SELECT source, h, sum(size) AS words FROM s GROUP BY source, h
+            SELECT source, h, sum(size) AS words FROM hashed GROUP BY source, h
         ), c AS (
             SELECT source, h, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g
         )
-        SELECT s.doc_id, s.size, u.source_size, u.target,
-               (s.size * (u.repeats + CASE WHEN c.before + c.words / 2 <= u.target - u.repeats * u.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-        FROM s JOIN u ON s.source IS NOT DISTINCT FROM u.source
-        JOIN c ON c.source IS NOT DISTINCT FROM s.source AND c.h = s.h
+        SELECT d.doc_id, d.size, u.source_size, u.target,
+               (d.size * (u.repeats + CASE WHEN c.before + c.words / 2 <= u.target - u.repeats * u.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM hashed d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+        JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h
     """,
 }
