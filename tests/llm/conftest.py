@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, h long, score double, _id long, slot int, g long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, h long, score double, _id long, slot int, g long, lang_pred string, k long"
 
 
 def words(rng, n, vocabulary=300):
@@ -39,7 +39,7 @@ def rows():
 def docs(spark, rows, tmp_path_factory):
     """The corpus as a stored table, with further columns whose names the operators use themselves."""
     path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
-    full = [(i, t, lang, source, len(t) if t is not None else None, 7, 7, 0.5, 7, 7, 7) for i, t, lang, source in rows]
+    full = [(i, t, lang, source, len(t) if t is not None else None, 7, 7, 0.5, 7, 7, 7, "x", 7) for i, t, lang, source in rows]
     spark.createDataFrame(full, SCHEMA).repartition(3).write.parquet(path)
     return spark.read.parquet(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths that `stored` wrote, in the innermost block of `stored_alone` last.
+_written: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
@@ -51,15 +56,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
+    # The result is written: its shuffle files may go at once. A query that runs beside this write and
+    # sees the setting only loses shuffle files that it might have used a second time.
     before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")  # the result is written: its shuffle files may go at once
+    spark.conf.set(_CLEAN_UP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored_alone(build: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """The stored result of `build` and its path. Whatever else was stored on the way is removed."""
+    _written.append([])
+    try:
+        done = stored(build(), name)
+    finally:
+        *others, path = _written.pop() or [""]
+    removed(done.sparkSession, others)
+    return done, path
+
+
 def join_small(df: DataFrame, small: DataFrame, on: Column, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a per-key table: broadcast if it has been counted and is small, shuffled otherwise.
 

@@ -10,7 +10,7 @@ The gates use piecewise-linear squashing (clipping), which keeps a step to a few
 Edge cases: a null text, or one without any letter, is `und` with score 0; very long texts are cut
 into windows like any other; if no labelled row can be learnt from, every row is `und`; a single
 language is predicted with score 1; repeated rows each give their row; an empty table gives an empty
-result. Columns other than doc_id, text and (for training) lang are ignored.
+result. Columns other than doc_id, text and (for training) lang are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm import common
+
 WINDOW = 64
 HIDDEN = 8
-#: The training sample: so many labelled documents of each language, a passage of so many characters of each.
+#: The training sample: passages of so many labelled documents of each language, so many characters of each.
 SAMPLE_DOCS = 160
 SAMPLE_CHARS = 1500
 STEPS = 260
@@ -156,22 +158,24 @@ def held_out():
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, passage) of up to SAMPLE_DOCS labelled documents of each language that are not held out.
+    """(lang, passage) of labelled documents that are not held out: SAMPLE_DOCS different passages of each language, or all.
 
-    The choice goes by a hash of the id, the passage's place by the same hash. Only ids and labels
-    are ranked; the chosen rows' passages come by a broadcast of their ids, which the sample's size bounds.
+    The choice goes by a hash of the id, the passage's place by the same hash. Ids and labels are ranked
+    first, so that only chosen ids' passages move; these are ranked once more, since an id may have many
+    texts. The two rankings and the driver hold no more than the sample's size.
     """
     order = F.xxhash64("doc_id")
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", order.alias("o"))
-    first = Window.partitionBy("lang").orderBy("o", "doc_id")
-    chosen = usable.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id").distinct()
+    labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+
+    def first(rows: DataFrame, *ties: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", *ties))
+        return rows.withColumn("n", place).where(F.col("n") <= SAMPLE_DOCS)
+
+    chosen = first(labelled.select("doc_id", "lang", order.alias("o"))).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     start = F.pmod(order, F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
-    passages = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .join(F.broadcast(chosen), "doc_id", "left_semi")
-        .select("lang", "doc_id", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("passage"))
-        .dropDuplicates()
-    )
+    passage = F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("passage")
+    theirs = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    passages = first(theirs.select("lang", "doc_id", order.alias("o"), passage).distinct(), "passage")
     return [(r["lang"], r["passage"]) for r in sorted(passages.collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["passage"]))]
 
 
@@ -221,14 +225,22 @@ def _document_scores(model: LanguageModel, texts: pa.StringArray) -> np.ndarray:
     return sums / np.maximum(lengths, 1)[:, None]
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep_text: bool = False) -> DataFrame:
-    """The rows of `docs` with lang_pred and score, and with all other columns but, unless asked for, text.
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def predict(docs: DataFrame, model: LanguageModel, keep_text: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of `docs` with the predicted language and its score, and with all other columns but, unless asked for, text.
 
-    Only the text is looked at. `docs` must not have columns of the two new names.
+    Only the text is looked at. The two new columns are called `names`; `docs` must not have such columns.
     """
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column of the name {names[0]} or {names[1]} already")
     languages = np.array([*model.languages, UNDETERMINED], object)
     others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, *["text"] * keep_text])
+    quoted = [f"`{c.replace('`', '``')}`" for c in others]
+    fields = [f"{q} {docs.schema[c].dataType.simpleString()}" for q, c in zip(quoted, others)] + ["text string"] * keep_text
+    kept = [*others, *["text"] * keep_text]
 
     def run(batches):
         for batch in batches:
@@ -237,14 +249,12 @@ def predict(docs: DataFrame, model: LanguageModel, keep_text: bool = False) -> D
             if len(languages) > 1 and len(letters):
                 p = _document_scores(model, batch.column(len(others)))
                 best[letters], score[letters] = p[letters].argmax(1), p[letters].max(1)
-            columns = [batch.column(i) for i in range(len(others) + keep_text)]
+            columns = [batch.column(i) for i in range(len(kept))]
             columns += [pa.array(languages[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, *["text"] * keep_text, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*others, "text", letter.alias("has_letter")).mapInArrow(
-        run, (schema + ", " if schema else "") + "lang_pred string, score double"
-    )
+    schema = ", ".join([*fields, f"{names[0]} string", f"{names[1]} double"])
+    return docs.select(*quoted, "text", has_letter().alias(common.ROW)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
