@@ -3,6 +3,8 @@
 import collections
 import math
 import random
+import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -136,10 +138,71 @@ def test_extraction(spark):
 
 
 def test_tree_fits_its_table():
-    x, y = [], []
-    for page in html_extract.LABELLED:
-        kinds = [(w, n, k in "ax", k in "fx", tag in html_extract._FLOW) for k, tag, w, n, _ in page]
-        x += html_extract._vectors(kinds)
-        y += [bool(main) for *_, main in page]
-    hits = [html_extract.decide(html_extract.trained(), v) == main for v, main in zip(x, y, strict=True)]
+    x, y = html_extract.labelled_vectors()
+    hits = [html_extract.decide(html_extract.trained(), tuple(v)) == bool(main) for v, main in zip(x, y, strict=True)]
     assert sum(hits) >= 0.95 * len(hits)
+
+
+class Article(HTMLParser):
+    """What stands inside <article>, one line for each block: the standard library's reading of a page."""
+
+    BLOCKS = frozenset("p div li ul ol h1 h2 h3 h4 article section header footer nav aside form table tr td th".split())
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside = self.skipped = 0
+        self.lines, self.now = [], []
+        self.feed(page)
+        self.close()
+        self.end_block()
+
+    def end_block(self):
+        if text := " ".join("".join(self.now).split()):
+            self.lines.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.skipped += tag in ("script", "style")
+        if tag in self.BLOCKS:
+            self.end_block()
+        if tag == "br":
+            self.now.append(" ")
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.skipped -= tag in ("script", "style")
+        if tag in self.BLOCKS:
+            self.end_block()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.now.append(data)
+
+
+def without_hints(page):
+    """The page with nothing but plain elements around its blocks."""
+    page = re.sub(r"<(/?)(?:article|nav|aside|header|footer|main|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|[^\s>]+)""", "", page)
+
+
+def test_extraction_of_whole_pages_with_and_without_hints(spark):
+    """Against the standard library's parser; without hints, words, links and neighbours find the same article."""
+    rng = random.Random(11)
+
+    def say(n):
+        return " ".join(rng.choice(["stone", "river", "&eacute;t&eacute;", "a", "walks", "under", "old", "light"]) for _ in range(n))
+
+    pages = []
+    for i in range(60):
+        links = "".join(f'<li><a href="/{k}">{say(rng.randrange(1, 4))}</a></li>' for k in range(rng.randrange(2, 7)))
+        body = "".join(f"<p>{say(rng.choice([2, 6, 14, 40, 90]))}<br>{say(5)}</p>" for _ in range(rng.randrange(1, 6)))
+        pages.append(
+            f"<html><head><title>{say(4)}</title><style>p{{}}</style></head><body><nav><ul>{links}</ul></nav><div class=\"ad\">{say(rng.randrange(4, 12))}</div>"
+            f"<article><h1>{say(rng.randrange(1, 12))}</h1>{body}<p>{say(80)}</p></article><footer>&copy; {say(rng.randrange(2, 12))}</footer></body></html>"
+        )
+    rows = [(i, "u", p, 1, "x") for i, p in enumerate(pages)] + [(100 + i, "u", without_hints(p), 1, "x") for i, p in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract(frame).collect()}
+    assert all(got[i] == Article(p).lines for i, p in enumerate(pages))
+    assert sum(got[100 + i] == Article(p).lines for i, p in enumerate(pages)) >= 0.9 * len(pages)

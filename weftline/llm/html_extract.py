@@ -1,13 +1,15 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into flat text blocks at block-level tags. Each block has its word count and link
-density, those of the blocks before and after it, and what its enclosing elements say (article or
-page furniture). A small decision tree, grown on the labelled table below, keeps or drops each block.
+density, those of the blocks before and after it, whether a heading has come, and what its enclosing
+elements say, if they say anything (article or page furniture). A small decision tree, grown on the
+labelled table below, keeps or drops each block. The table holds every page twice, as it is and with
+nothing said by its elements, so that words, links and neighbours decide wherever a page has no hints.
 Pages are independent: the work is one narrow pass without a shuffle.
 
 Edge cases: a null or empty page gives the empty text; unclosed, crossing and truncated tags,
 comments and unterminated scripts are read as browsers do; repeated rows each give their row;
-an empty table gives an empty result. Columns other than the id, url and html are ignored.
+an empty table gives an empty result. Columns other than the id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,8 +51,9 @@ _ARTICLE = frozenset("article content post entry story main body text".split())
 _WORDS = re.compile(r"[a-z]+")
 _FLOW = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
+#: `says`: 1 inside an article, -1 inside page furniture, 0 where no element says anything.
 FEATURES = (
-    "words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_furniture", "heading", "article_on_page",
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "headed", "says", "article_on_page",
 )
 
 #: The labelled table: pages as block lists of (enclosing kind, tag, words, linked words, is main text).
@@ -63,6 +66,14 @@ LABELLED = (
     (("n", "div", 3, 3, 0), ("n", "div", 2, 0, 0), ("n", "h2", 6, 0, 1), ("n", "p", 90, 4, 1), ("n", "p", 25, 0, 1), ("n", "p", 31, 1, 1), ("n", "div", 5, 5, 0), ("n", "div", 8, 7, 0), ("n", "div", 4, 0, 0)),
     (("f", "p", 20, 0, 0), ("n", "p", 15, 12, 0), ("f", "h3", 2, 0, 0), ("f", "p", 65, 0, 0), ("a", "h1", 5, 0, 1), ("a", "p", 5, 0, 1), ("x", "p", 55, 0, 0), ("x", "h3", 1, 0, 0), ("n", "p", 30, 0, 0)),
     (("n", "p", 1, 0, 0), ("n", "li", 3, 3, 0), ("n", "li", 2, 2, 0), ("n", "p", 2, 1, 0), ("n", "p", 70, 0, 1), ("n", "p", 66, 3, 1), ("n", "div", 3, 0, 0), ("n", "div", 6, 6, 0), ("n", "div", 2, 2, 0)),
+    (("f", "li", 1, 1, 0), ("f", "li", 1, 1, 0), ("f", "li", 3, 3, 0), ("f", "div", 8, 0, 0), ("a", "h1", 11, 0, 1), ("a", "p", 34, 0, 1), ("a", "p", 17, 0, 1), ("a", "p", 9, 0, 1), ("a", "p", 130, 2, 1), ("f", "p", 13, 0, 0)),
+    (("f", "li", 2, 2, 0), ("f", "div", 14, 0, 0), ("a", "h1", 6, 0, 1), ("a", "p", 7, 0, 1), ("a", "p", 22, 0, 1), ("a", "h2", 3, 0, 1), ("a", "p", 5, 0, 1), ("a", "p", 41, 0, 1), ("f", "div", 10, 1, 0)),
+    (("n", "div", 6, 0, 0), ("n", "li", 1, 1, 0), ("n", "li", 1, 1, 0), ("n", "h1", 9, 0, 1), ("n", "p", 3, 0, 1), ("n", "p", 15, 0, 1), ("n", "li", 5, 0, 1), ("n", "li", 8, 1, 1), ("n", "p", 77, 0, 1), ("n", "p", 19, 0, 1), ("n", "div", 11, 0, 0)),
+    (("n", "li", 1, 1, 0), ("n", "li", 4, 4, 0), ("n", "div", 12, 0, 0), ("n", "h1", 4, 0, 1), ("n", "p", 28, 0, 1), ("n", "p", 6, 0, 1), ("n", "p", 10, 0, 1), ("n", "p", 210, 9, 1), ("n", "p", 2, 0, 1), ("n", "p", 58, 0, 1), ("n", "div", 15, 2, 0), ("n", "div", 7, 0, 0)),
+    (("f", "p", 18, 1, 0), ("f", "li", 2, 2, 0), ("n", "h2", 5, 0, 1), ("n", "p", 44, 0, 1), ("n", "p", 13, 0, 1), ("n", "p", 61, 1, 1), ("n", "h3", 2, 0, 1), ("n", "p", 8, 0, 1), ("n", "p", 37, 0, 1), ("f", "li", 3, 3, 0), ("f", "li", 4, 4, 0), ("f", "p", 9, 0, 0)),
+    (("f", "div", 22, 0, 0), ("n", "li", 1, 1, 0), ("a", "h1", 3, 0, 1), ("a", "p", 12, 0, 1), ("x", "p", 40, 0, 0), ("a", "p", 26, 0, 1), ("f", "h3", 1, 0, 0), ("f", "p", 24, 0, 0), ("f", "p", 16, 0, 0), ("f", "p", 8, 0, 0)),
+    (("f", "li", 1, 1, 0), ("a", "h1", 4, 0, 1), ("a", "p", 5, 2, 1), ("a", "li", 3, 3, 1), ("a", "li", 4, 4, 1), ("a", "li", 2, 2, 1), ("a", "p", 9, 4, 1), ("a", "p", 30, 8, 1), ("a", "p", 6, 1, 1), ("a", "p", 12, 12, 1), ("f", "div", 9, 0, 0)),
+    (("f", "li", 2, 2, 0), ("f", "li", 1, 1, 0), ("a", "h1", 2, 0, 1), ("a", "p", 1, 1, 1), ("a", "p", 7, 0, 1), ("a", "p", 3, 0, 1), ("a", "li", 8, 8, 1), ("a", "li", 1, 0, 1), ("a", "p", 2, 0, 1), ("a", "h2", 2, 2, 1), ("a", "p", 4, 2, 1), ("f", "li", 5, 5, 0), ("f", "p", 70, 0, 0)),
 )
 
 
@@ -164,11 +175,15 @@ def _vectors(kinds: list[tuple[int, int, bool, bool, bool]]) -> list[tuple]:
     on_page = float(any(k[2] and not k[3] for k in kinds))
     edge = (0.0, 0.0)
     pairs = [edge, *((float(w), n / w if w else 0.0) for w, n, *_ in kinds), edge]
-    return [(*pairs[i + 1], *pairs[i], *pairs[i + 2], float(k[2]), float(k[3]), float(k[4]), on_page) for i, k in enumerate(kinds)]
+    found, headed = [], 0.0
+    for i, (_, _, article, furniture, heading) in enumerate(kinds):
+        headed = max(headed, float(heading and not furniture))
+        found.append((*pairs[i + 1], *pairs[i], *pairs[i + 2], float(heading), headed, -1.0 if furniture else float(article), on_page))
+    return found
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
-    """A decision tree: (feature, limit, below, above) inside, a class at the leaves. Splits by Gini impurity."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 4):
+    """A decision tree: (feature, limit, below, above) inside, a class at the leaves of `least` rows or more. Splits by Gini impurity."""
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
         return bool(share >= 0.5)
@@ -177,13 +192,15 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
         values = np.unique(x[:, f])
         for limit in (values[:-1] + values[1:]) / 2:
             below = x[:, f] <= limit
+            if min(below.sum(), (~below).sum()) < least:
+                continue
             cost = sum(part.size * p * (1 - p) for part in (y[below], y[~below]) for p in (part.mean(),))
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, f, float(limit), below)
     if best is None:
         return bool(share >= 0.5)
     _, f, limit, below = best
-    return (f, limit, grow(x[below], y[below], depth - 1), grow(x[~below], y[~below], depth - 1))
+    return (f, limit, grow(x[below], y[below], depth - 1, least), grow(x[~below], y[~below], depth - 1, least))
 
 
 def decide(tree, features: tuple) -> bool:
@@ -193,14 +210,24 @@ def decide(tree, features: tuple) -> bool:
     return tree
 
 
-@lru_cache(maxsize=1)
-def trained(depth: int = 6):
+def labelled_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled table: each page as it is, and without what its elements say."""
     x, y = [], []
     for page in LABELLED:
-        kinds = [(w, n, k in "ax", k in "fx", tag in _FLOW) for k, tag, w, n, _ in page]
-        x += _vectors(kinds)
-        y += [main for *_, main in page]
-    return grow(np.array(x), np.array(y, float), depth)
+        for hints in (True, False):
+            kinds = [(w, n, hints and k in "ax", hints and k in "fx", tag in _FLOW) for k, tag, w, n, _ in page]
+            x += _vectors(kinds)
+            y += [bool(main) for *_, main in page]
+    return np.array(x), np.array(y, float)
+
+
+@lru_cache(maxsize=1)
+def trained(depth: int = 7):
+    """The tree. Its first question is whether the page marks its article, since such marks settle most of what
+    words and links leave open; each answer's part is grown on the rows of that kind."""
+    x, y = labelled_vectors()
+    marked = x[:, FEATURES.index("article_on_page")] > 0.5
+    return (FEATURES.index("article_on_page"), 0.5, grow(x[~marked], y[~marked], depth), grow(x[marked], y[marked], depth))
 
 
 def main_text(page: str | None, tree=None) -> str:
