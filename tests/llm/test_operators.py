@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, fingerprints, mixing, ngram_join, packing, sharding, substring_dedup
+from weftline.llm import common, exact_dedup, fingerprints, mixing, ngram_join, packing, sharding, substring_dedup
 from weftline.llm.tokens import ByteBpe, default_path
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -186,8 +186,10 @@ def test_one_row_follows_itself(spark):
 
 
 @pytest.mark.parametrize("large", [2000, 1])
-def test_substring_dedup(docs, rows, large):
+def test_substring_dedup(docs, rows, large, monkeypatch):
     k, m = 12, 3
+    if large == 1:  # every key that repeats is heavy
+        monkeypatch.setattr(common, "LEAST_HEAVY", 1)
     got = substring_dedup.repeat_report(docs, k, m, large).collect()
     found = [split(t) for _, t, *_ in rows]
     count = collections.Counter(tuple(w[j : j + k]) for w in found for j in range(len(w) - k + 1))
@@ -228,9 +230,19 @@ def _components(rows, percent):
     return collections.Counter((i, len(sets[a]), least[find(a)]) for a, (i, *_) in enumerate(rows)), len(ids)
 
 
-@pytest.mark.parametrize("percent", [85, 60])
-@pytest.mark.parametrize("settings", [{}, {"LARGE": 2, "FREQUENT": 2}, {"FREQUENT": 2, "LARGE": 10**9}, {"CLASSES": 1, "FREQUENT": 2}])
+@pytest.mark.parametrize(
+    ("percent", "settings"),
+    [
+        (85, {}),
+        (60, {"LARGE": 2, "FREQUENT": 2, "LEAST_HEAVY": 1}),
+        (85, {"LARGE": 2, "FREQUENT": 2}),
+        (85, {"FREQUENT": 2, "LARGE": 10**9}),
+        (60, {"CLASSES": 1, "FREQUENT": 2}),
+    ],
+)
 def test_ngram_join(docs, rows, percent, settings, monkeypatch):
+    settings = dict(settings)
+    monkeypatch.setattr(common, "LEAST_HEAVY", settings.pop("LEAST_HEAVY", common.LEAST_HEAVY))
     for name, value in settings.items():
         monkeypatch.setattr(ngram_join, name, value)
     if "FREQUENT" in settings:

@@ -97,6 +97,27 @@ def join_small(df: DataFrame, small: DataFrame, on: Column, how: str, limit: int
     return df.join(small, on, how)
 
 
+#: Keys that hold more than this share of the rows, or LEAST_HEAVY rows if that is more, are heavy.
+HEAVY_SHARE = 1 / 5000
+LEAST_HEAVY = 1000
+
+
+def join_split(df: DataFrame, keyed: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of `df` with a stored table of one row per key, whose column `weight` says how many rows of `df` have the key.
+
+    Heavy keys, fewer than 1 / HEAVY_SHARE of them whatever the data, are broadcast, so that no key's rows
+    meet in one task; all other keys are joined by shuffling.
+    """
+    total, most = keyed.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    limit = max(LEAST_HEAVY, int(total * HEAVY_SHARE))
+    if most <= limit:
+        return df.join(keyed, on)
+    heavy = keyed.where(F.col(weight) > limit)
+    hot = df.join(F.broadcast(heavy), on)
+    rest = df.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keyed.where(F.col(weight) <= limit), on)
+    return hot.unionByName(rest)
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

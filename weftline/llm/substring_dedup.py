@@ -5,17 +5,19 @@ consecutive windows that share one occurrence of a minimiser form a super-k-mer,
 2K - M words. Equal windows have equal minimisers, so that
 
 1. spans whose minimiser occurs only once can't hold a repeated window and go no further;
-2. equal spans (same minimiser, same hash) are all repeats; one of them stands for the rest;
+2. equal spans (same minimiser, same two hashes) are all repeats; one of them stands for the rest;
 3. of minimisers with several different spans, each span's words travel as one packed string to the
    minimiser's bucket, where sorting the windows counts them exactly.
 
 A minimiser with more than `LARGE` different spans is not held in one task: its windows are counted
-by an ordinary aggregation keyed by the window itself. The ranges found return to their texts, and
-every word that a repeated window covers is removed, at each of its places.
+by an ordinary aggregation keyed by the window itself, with the same result. Joins on minimisers, spans
+and windows broadcast the few heavy keys, so that none meets in one task. The ranges found return to
+their texts, and every word that a repeated window covers is removed, at each of its places.
 
 Edge cases: null texts have no words; texts of fewer than K words keep all of them; a window repeated
 within one text counts; rows that repeat an id or a text are texts of their own, so all their windows
-are repeated; an empty table gives an empty result. Columns other than doc_id and text are ignored.
+are repeated; an empty table gives an empty result. Columns other than doc_id and text are ignored. Rows
+are known by their place in the scan and read again: `docs` must be a stored table, or read alike each time.
 """
 
 from __future__ import annotations
@@ -31,16 +33,18 @@ from weftline.llm import common, wordhash
 
 K = 35
 M = 5
+#: Turns words' hashes into others for the second hash of a span.
+_SECOND = np.uint64(0x632BE59BD9B4E019)
 #: Different spans of a minimiser that one task may sort together.
 LARGE = 2000
 
 
 def super_kmers(words: wordhash.Words, k: int = K, m: int = M):
-    """(text, start, windows, minimiser, span hash) arrays of all super-k-mers; starts count from the text's first word."""
+    """(text, start, windows, minimiser, two hashes of the span) arrays of all super-k-mers; starts count from the text's first word."""
     n = len(words.hashes)
     none = np.zeros(0, np.int64)
     if n < k:
-        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return none, none, none, *(np.zeros(0, np.uint64) for _ in range(3))
     runs = wordhash.sequence_hashes(words.hashes, m)
     span = k - m + 1
     best, width = np.arange(len(runs)), 1
@@ -59,24 +63,24 @@ def super_kmers(words: wordhash.Words, k: int = K, m: int = M):
     stops = np.flatnonzero(whole & np.concatenate([new[1:] | ~whole[1:], [True]])) + 1
     text = np.searchsorted(words.first, starts, "right") - 1
     minimiser = runs[best[starts]]
-    spans = wordhash.SpanHashes(words.hashes).of(starts, stops + k - 1)
-    return text, starts - words.first[text], stops - starts, minimiser, spans
+    spans = (wordhash.SpanHashes(h).of(starts, stops + k - 1) for h in (words.hashes, wordhash.mix(words.hashes ^ _SECOND)))
+    return text, starts - words.first[text], stops - starts, minimiser, *spans
 
 
 def _spans(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """row, start, n, mini, span of every super-k-mer, stored."""
+    """row, start, n, mini, span, check of every super-k-mer, stored."""
 
     def cut(batches):
         for batch in batches:
             rows = batch.column("row").to_numpy()
             for low, high in wordhash.slices(batch.column("text")):
-                text, start, n, mini, span = super_kmers(wordhash.words_of(batch.column("text").slice(low, high - low)), k, m)
+                text, start, n, mini, span, check = super_kmers(wordhash.words_of(batch.column("text").slice(low, high - low)), k, m)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[low + text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), wordhash.signed(mini), wordhash.signed(span)],
-                    names=["row", "start", "n", "mini", "span"],
+                    [pa.array(rows[low + text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *map(wordhash.signed, (mini, span, check))],
+                    names=["row", "start", "n", "mini", "span", "check"],
                 )
 
-    return common.stored(docs.select("row", "text").mapInArrow(cut, "row long, start int, n int, mini long, span long"), "spans")
+    return common.stored(docs.select("row", "text").mapInArrow(cut, "row long, start int, n int, mini long, span long, check long"), "spans")
 
 
 def _packed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -197,21 +201,23 @@ def _by_window(packed: DataFrame, k: int) -> DataFrame:
             )
 
     windows = common.stored(packed.select("row", "start", "c", "words").mapInArrow(spread, "w binary, row long, start int, c long"), "windows")
-    repeated = windows.groupBy("w").agg(F.sum("c").alias("all")).where(F.col("all") > 1).select("w")
-    return windows.where("c = 1").join(repeated, "w").select("row", "start", F.lit(1).alias("n"))
+    repeated = windows.groupBy("w").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("rows")).where(F.col("all") > 1).select("w", "rows")
+    found = common.join_split(windows.where("c = 1"), common.stored(repeated, "repeated"), ["w"], "rows")
+    return found.select("row", "start", F.lit(1).alias("n"))
 
 
 def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, large: int = LARGE) -> DataFrame:
     """row, start, n: n windows from word `start` of the text in `row` are repeated somewhere. docs: row, text."""
     spans = _spans(docs, k, m)
-    met = spans.groupBy("mini").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1).select("mini")
-    spans = common.stored(spans.join(met, "mini"), "spans")
-    kinds = common.stored(
-        spans.groupBy("mini", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("one")), "kinds"
-    )
-    equal = spans.join(kinds.where("c > 1").select("mini", "span"), ["mini", "span"]).select("row", "start", "n")
-    several = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    packed = _packed(docs, kinds.join(several, "mini").select("one.*", "mini", "c", "kinds"), k)
+    met = common.stored(spans.groupBy("mini").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1), "met")
+    spans = common.stored(common.join_split(spans, met, ["mini"], "all").drop("all"), "spans")
+    same = ["mini", "span", "check"]
+    kinds = common.stored(spans.groupBy(*same).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("one")), "kinds")
+    repeated = common.stored(kinds.where("c > 1").select(*same, "c"), "repeated")
+    equal = common.join_split(spans, repeated, same, "c").select("row", "start", "n")
+    several = common.stored(kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1), "several")
+    wanted = common.join_split(kinds.select("one", "mini", "c"), several, ["mini"], "kinds")
+    packed = _packed(docs, wanted.select("one.*", "mini", "c", "kinds"), k)
     found = _in_buckets(packed.where(F.col("kinds") <= large), k)
     common_ones = packed.where(F.col("kinds") > large)
     return equal.unionByName(found).unionByName(_by_window(common_ones, k))
