@@ -73,29 +73,26 @@ def test_language_without_labels(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [lm_scoring.MAX_PAIRS, 5, 0])
-def test_lm_scores(docs, rows, broadcast, monkeypatch):
+@pytest.mark.parametrize(("head", "broadcast"), [(lm_scoring.HEAD_WORDS, lm_scoring.MAX_PAIRS), (40, 5), (0, 0)])
+def test_lm_scores(docs, rows, head, broadcast, monkeypatch):
+    """Whatever is broadcast, scores are those of plain dictionaries over all words and pairs."""
     monkeypatch.setattr(lm_scoring, "_GATHER", 50 if broadcast == 5 else lm_scoring._GATHER)
     targets = {i for i, *_ in rows if i is not None and i % 3 == 0}
     ids = docs.where("doc_id % 3 = 0").select("doc_id")
-    got = lm_scoring.cross_entropy_difference(docs, ids, max_pairs=broadcast).collect()
-    texts = [(i, [w.decode() for w in (t or "").encode().split()]) for i, t, *_ in rows]
+    got = lm_scoring.cross_entropy_difference(docs, ids, head, broadcast).collect()
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    texts = [(i, [w.translate(lower) for w in ws]) for i, ws in texts]
-    words = collections.Counter(w for _, ws in texts for w in ws)
-    number = {w: k + 2 for k, w in enumerate(w for w, n in words.items() if n >= lm_scoring.MIN_WORD_COUNT)}
-    size = len(number) + 2
+    texts = [(i, [w.decode().translate(lower) for w in (t or "").encode().split()]) for i, t, *_ in rows]
     pairs = [collections.Counter(), collections.Counter()]
     for i, ws in texts:
-        n = [1, *(number.get(w, 0) for w in ws)]
         for k in (0, 1) if i in targets else (1,):
-            pairs[k].update(zip(n, n[1:], strict=False))
+            pairs[k].update(zip([None, *ws], ws, strict=False))
     kept = {p for p, n in pairs[1].items() if n >= lm_scoring.MIN_PAIR_COUNT}
     single, context = ([collections.Counter(), collections.Counter()] for _ in (0, 1))
     for k in (0, 1):
         for (a, b), n in pairs[k].items():
             single[k][b] += n
             context[k][a] += n
+    size = len(single[1])
 
     def loss(k, a, b):
         both = pairs[k][a, b] / max(context[k][a], 1) if (a, b) in kept else 0
@@ -103,8 +100,7 @@ def test_lm_scores(docs, rows, broadcast, monkeypatch):
 
     want = collections.defaultdict(list)
     for i, ws in texts:
-        n = [1, *(number.get(w, 0) for w in ws)]
-        losses = [sum(loss(k, a, b) for a, b in zip(n, n[1:], strict=False)) / max(len(ws), 1) for k in (0, 1)]
+        losses = [sum(loss(k, a, b) for a, b in zip([None, *ws], ws, strict=False)) / max(len(ws), 1) for k in (0, 1)]
         want[i].append((len(ws), losses[0], losses[1]))
     assert len(got) == len(rows)
     for r in got:
@@ -112,9 +108,30 @@ def test_lm_scores(docs, rows, broadcast, monkeypatch):
         assert near and r.score == pytest.approx(r.background_loss - r.target_loss)
 
 
+def test_lm_counts_are_exact_whatever_their_size(spark):
+    n = 2**24 + 1
+    table = [(0, 1, n, 1), (1, 2, n + 2, n), (1, -5, 3, 0), (-5, 1, 2, 1), (2, 2, 1, 0)]
+    pairs = spark.createDataFrame(table, "before long, word long, n long, t long")
+    words, gains, unseen = lm_scoring.gains_of(pairs)
+    total = [sum(r[k] for r in table) for k in (3, 2)]
+    assert unseen == pytest.approx(-math.log(0.1 / 3), rel=1e-15)
+
+    def base(k, w):
+        return 0.3 * sum(r[3 - k] for r in table if r[1] == w) / total[k] + 0.1 / 3
+
+    for r in words.collect():
+        assert [r.target, r.background] == pytest.approx([math.log(base(k, r.word) / (0.1 / 3)) for k in (0, 1)], rel=1e-12)
+    got = {(r.before, r.word): (r.target, r.background) for r in gains.collect()}
+    assert got.keys() == {r[:2] for r in table[:4]}
+    for (a, b), both in got.items():
+        count = {k: next(r[3 - k] for r in table if r[:2] == (a, b)) for k in (0, 1)}
+        context = {k: max(1, sum(r[3 - k] for r in table if r[0] == a)) for k in (0, 1)}
+        assert both == pytest.approx([math.log1p(0.6 * count[k] / context[k] / base(k, b)) for k in (0, 1)], rel=1e-12)
+
+
 def test_lm_without_targets(docs, empty):
-    for broadcast in (lm_scoring.MAX_PAIRS, 5):
-        assert {r.score for r in lm_scoring.cross_entropy_difference(docs, docs.select("doc_id").limit(0), max_pairs=broadcast).collect()} == {0.0}
+    for head, broadcast in ((lm_scoring.HEAD_WORDS, lm_scoring.MAX_PAIRS), (3, 5)):
+        assert {r.score for r in lm_scoring.cross_entropy_difference(docs, docs.select("doc_id").limit(0), head, broadcast).collect()} == {0.0}
     assert lm_scoring.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
 
 

@@ -1,19 +1,21 @@
 """Cross-entropy difference of matched n-gram models.
 
 Two interpolated bigram models, one of the target documents and one of all documents (the background),
-share one closed vocabulary, order and smoothing. Their per-token losses on a document, subtracted and
-averaged, score it: the higher, the more it resembles the target.
+share one vocabulary, order and smoothing. Their per-token losses on a document, subtracted and averaged,
+score it: the higher, the more it resembles the target.
 
-Counting runs over all documents: words first, which gives the vocabulary, then pairs of vocabulary
-entries with both models' counts side by side. Every pair that occurs twice counts in the models,
-however many there are: the `MAX_PAIRS` most frequent ones are broadcast and scored where the texts are
-read; occurrences of all others travel packed, by ranges of the pair's hash, to where the range's counts
-are, and what they change comes back summed by document. A pair that is not broadcast is rarer than
-MAX_PAIRS others, so that no range holds a hot one.
+The vocabulary is every word of all documents, and every pair of words that occurs twice counts in the
+models, however many there are (a pair that occurs once would only predict itself). A token's loss is that
+of an unseen word, less what its word's counts take off, less what its pair's counts take off. The words
+and pairs that occur most often are broadcast and scored where the texts are read; occurrences of all
+others travel packed, by ranges of the key's hash, to where the range's gains are, and what they take off
+comes back summed by document. How much is broadcast affects cost only. A word or pair that is not broadcast
+is rarer than all those that are, so that no range holds a hot one.
 
 Edge cases: null and wordless texts have no tokens, losses and score of 0; very long texts score over
 all tokens; repeated rows count and score one by one; without target documents both models are the
-background, and scores are 0; an empty table gives an empty result. Other columns are ignored.
+background, and scores are 0; an empty table gives an empty result. Other columns are ignored. Rows are
+known by their place in the scan: `docs` must be a stored table, or read alike each time.
 """
 
 from __future__ import annotations
@@ -22,72 +24,64 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import common, wordhash
 
-MIN_WORD_COUNT = 3
-#: Size of the closed vocabulary; any other word is the unknown word.
-MAX_WORDS = 40_000
+#: A pair counts in the models from so many occurrences.
 MIN_PAIR_COUNT = 2
-#: Pairs that are broadcast; the others are looked up by shuffling.
+#: Words and pairs that are broadcast; all others are looked up by shuffling.
+HEAD_WORDS = 200_000
 MAX_PAIRS = 1_000_000
 #: Shares of pair, single-word and uniform probability.
 WEIGHTS = (0.6, 0.3, 0.1)
 
-#: Numbers of the unknown word and of the start of a text; vocabulary words follow.
-UNKNOWN, START, FIRST = 0, 1, 2
+#: The number of a text's start; broadcast words have the numbers from 1, all others negative ones made of their hash.
+START = 0
 #: Entries that a task gathers before it passes them on.
 _GATHER = 1_000_000
-#: Hash ranges to a shuffle partition when rare pairs are looked up.
+#: Hash ranges to a shuffle partition when rare words and pairs are looked up.
 RANGES = 16
 
 _U = np.uint64
+_TOP = _U(1 << 63)
+_PAIR = _U(0xA24BAED4963EE407)
+MODELS = ("target", "background")
 
 
 @dataclass
 class Models:
-    """Sorted word hashes; sorted keys of the broadcast pairs; per model counts of pairs, of words and of words as contexts."""
+    """Losses in nats, each array's first axis being the model (target, background).
+
+    words: sorted hashes of the broadcast words; unseen: an unseen word's loss; singles: what a broadcast word
+    takes off it (START first); keys, gains: sorted keys of the broadcast pairs, and what they take off.
+    """
 
     words: np.ndarray
+    unseen: float
+    singles: np.ndarray
     keys: np.ndarray
-    pairs: tuple[np.ndarray, np.ndarray]
-    singles: tuple[np.ndarray, np.ndarray]
-    contexts: tuple[np.ndarray, np.ndarray]
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + FIRST
-
-    def _probability(self, model: int, before: np.ndarray, word: np.ndarray, both: np.ndarray | float) -> np.ndarray:
-        singles = self.singles[model]
-        p = WEIGHTS[0] * both / np.maximum(self.contexts[model][before], 1.0)
-        p += WEIGHTS[1] * singles[word] / max(singles.sum(), 1.0)
-        return p + WEIGHTS[2] / self.size
-
-    def losses(self, before: np.ndarray, word: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """(per-token losses in nats of target and background, pair keys, which pairs are known here)."""
-        key = before.astype(np.int64) * self.size + word
+    gains: np.ndarray
+
+    def losses(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(per-token losses as far as they are known here, pair keys, which pairs are known here)."""
+        losses = self.unseen - self.singles[:, np.maximum(word, START)]
+        key = pair_keys(before, word)
         if not len(self.keys):
-            return [-np.log(self._probability(m, before, word, 0.0)) for m in (0, 1)], key, np.zeros(len(key), bool)
+            return losses, key, np.zeros(len(key), bool)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         known = self.keys[at] == key
-        return [-np.log(self._probability(m, before, word, np.where(known, self.pairs[m][at], 0.0))) for m in (0, 1)], key, known
-
-    def gains(self, key: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-        """By how much a token's losses fall once its pair's counts (target, background) are known."""
-        before, word = key // self.size, key % self.size
-        return [np.log(self._probability(m, before, word, counts[m]) / self._probability(m, before, word, 0.0)) for m in (0, 1)]
+        losses[:, known] -= self.gains[:, at[known]]
+        return losses, key, known
 
 
-def numbers(words: wordhash.Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(before, word): each token's number and that of the token before it in its text."""
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
-        word = np.where(vocabulary[at] == words.hashes, at + FIRST, UNKNOWN).astype(np.int32)
-    else:
-        word = np.full(len(words.hashes), UNKNOWN, np.int32)
+def numbers(words: wordhash.Words, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, word): each token's number and that of the token before it in its text. head: sorted hashes of the broadcast words."""
+    word = (words.hashes | _TOP).view(np.int64)
+    if len(head):
+        at = np.minimum(np.searchsorted(head, words.hashes), len(head) - 1)
+        word = np.where(head[at] == words.hashes, at + 1, word)
     before = np.empty_like(word)
     before[1:] = word[:-1]
     starts = words.first[:-1]
@@ -95,8 +89,12 @@ def numbers(words: wordhash.Words, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return before, word
 
 
-def vocabulary_of(docs: DataFrame, at_least: int = MIN_WORD_COUNT, most: int = MAX_WORDS) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all documents."""
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return wordhash.mix(wordhash.mix(before.view(_U) + _PAIR) * _PAIR + word.view(_U)).view(np.int64)
+
+
+def head_words(docs: DataFrame, most: int = HEAD_WORDS) -> np.ndarray:
+    """Sorted hashes of the most frequent words of all documents; none of those that occur once."""
 
     def count(batches):
         for batch in batches:
@@ -106,23 +104,23 @@ def vocabulary_of(docs: DataFrame, at_least: int = MIN_WORD_COUNT, most: int = M
                 yield pa.RecordBatch.from_arrays([wordhash.signed(word), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     counts = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = common.stored(counts.where(F.col("n") >= at_least), "words")
-    kept = common.most_frequent(counts, at_least, most).select("word").toArrow()
+    counts = common.stored(counts.where("n > 1"), "words")
+    kept = common.most_frequent(counts, 2, most).select("word").toArrow()
     return np.sort(kept.column("word").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def pair_counts(flagged: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """key, n (in all documents), t (in target documents) of every pair. flagged: text, target. Stored."""
-    shared = flagged.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + FIRST
+def pair_counts(flagged: DataFrame, head: np.ndarray) -> DataFrame:
+    """before, word, n (in all documents), t (in target documents) of every pair. flagged: text, target. Stored."""
+    shared = flagged.sparkSession.sparkContext.broadcast(head)
 
     def merged(parts):
-        keys, inverse = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
-        n, t = (np.bincount(inverse, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2))
-        return keys, n, t
+        key, before, word, n, t = (np.concatenate(x) for x in zip(*parts))
+        key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        n, t = (np.bincount(inverse, x, len(key)).astype(np.int64) for x in (n, t))
+        return key, before[first], word[first], n, t
 
     def batch_of(parts):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], names=["key", "n", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)[1:]], names=["before", "word", "n", "t"])
 
     def count(batches):
         parts, held = [], 0
@@ -131,48 +129,77 @@ def pair_counts(flagged: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             for low, high in wordhash.slices(texts):
                 words = wordhash.words_of(texts.slice(low, high - low), lower=True)
                 before, word = numbers(words, shared.value)
-                key = before.astype(np.int64) * size + word
                 of_target = np.repeat(target[low:high], words.counts())
-                parts.append(merged([(key, np.ones(len(key)), of_target.astype(float))]))
+                parts.append(merged([(pair_keys(before, word), before, word, np.ones(len(word)), of_target.astype(float))]))
                 held += len(parts[-1][0])
                 if held > _GATHER:
                     yield batch_of(parts)
                     parts, held = [], 0
-        if parts:
+        if held:
             yield batch_of(parts)
 
-    counted = flagged.select("text", "target").mapInArrow(count, "key long, n long, t long")
-    return common.stored(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pairs")
+    counted = flagged.select("text", "target").mapInArrow(count, "before long, word long, n long, t long")
+    return common.stored(counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pairs")
+
+
+def _joined(rows: DataFrame, counts: DataFrame, on: str) -> DataFrame:
+    """Adds the counts of a word: those of broadcast words (and START) are at most HEAD_WORDS + 1, others are joined by shuffling."""
+    head = rows.where(F.col(on) >= START).join(F.broadcast(counts.where(F.col(on) >= START)), on)
+    return head.unionByName(rows.where(F.col(on) < START).join(counts.where(F.col(on) < START), on))
+
+
+def single_probability(count: Column, total: int, size: int) -> Column:
+    return WEIGHTS[1] * count / F.lit(float(max(total, 1))) + F.lit(WEIGHTS[2] / max(size, 1))
+
 
+def gains_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(word gains, pair gains, the loss of an unseen word) from the stored pairs (before, word, n, t). Both stored.
 
-def fit(docs: DataFrame, target_ids: DataFrame, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> tuple[Models, DataFrame]:
-    """Both models, and (key, t, n) of the pairs that are too many to broadcast. target_ids: the ids (doc_id) of target documents."""
-    vocabulary = vocabulary_of(docs, most=max_words)
-    size = len(vocabulary) + FIRST
+    Word gains: word, target, background. Pair gains: before, word, n, target, background.
+    """
+    counted = lambda c, n, t: pairs.groupBy(c).agg(F.sum("n").alias(n), F.sum("t").alias(t))
+    singles = common.stored(counted("word", "single_n", "single_t"), "singles")
+    size, n, t = singles.agg(F.count(F.lit(1)), F.coalesce(F.sum("single_n"), F.lit(0)), F.coalesce(F.sum("single_t"), F.lit(0))).first()
+    contexts = counted("before", "context_n", "context_t")
+    often = pairs.where(F.col("n") >= MIN_PAIR_COUNT)
+    kinds = {"target": "t", "background": "n"} if t else dict.fromkeys(MODELS, "n")
+    base = {m: single_probability(F.col(f"single_{c}"), t if c == "t" else n, size) for m, c in kinds.items()}
+    unseen = WEIGHTS[2] / max(size, 1)
+    words = singles.select("word", *(F.log(base[m] / F.lit(unseen)).alias(m) for m in MODELS))
+    joined = _joined(_joined(often, common.stored(contexts, "contexts"), "before"), singles, "word")
+    gain = {m: F.log1p(WEIGHTS[0] * F.col(c) / F.greatest(F.col(f"context_{c}"), F.lit(1)) / base[m]) for m, c in kinds.items()}
+    gains = joined.select("before", "word", "n", *(gain[m].alias(m) for m in MODELS))
+    return common.stored(words, "word-gains"), common.stored(gains, "pair-gains"), float(-np.log(unseen))
+
+
+def _columns(found: pa.Table, *names: str) -> list[np.ndarray]:
+    return [found.column(c).to_numpy() for c in names]
+
+
+def fit(docs: DataFrame, target_ids: DataFrame, max_words: int = HEAD_WORDS, max_pairs: int = MAX_PAIRS) -> tuple[Models, DataFrame, DataFrame]:
+    """The broadcast part of both models, and the gains of the words and of the pairs that are too many to broadcast.
+
+    target_ids: the ids (doc_id) of target documents.
+    """
+    head = head_words(docs, max_words)
     # target ids grow with the documents: both sides are shuffled at every size
     ids = target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(True)).hint("merge")
     flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_t").isNotNull().alias("target"))
-    counts = pair_counts(flagged, vocabulary)
-
-    def totals(number) -> tuple[np.ndarray, np.ndarray]:
-        # one row per vocabulary entry: bounded by max_words
-        found = counts.groupBy(number.cast("long").alias("w")).agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
-        out = np.zeros((2, size))
-        out[:, found.column("w").to_numpy()] = [found.column("t").to_numpy(), found.column("n").to_numpy()]
-        return out[0], out[1]
-
-    singles, contexts = totals(F.col("key") % size), totals(F.floor(F.col("key") / size))
-    kept = common.most_frequent(counts, MIN_PAIR_COUNT, max_pairs).toArrow()
-    order = np.argsort(kept.column("key").to_numpy())
-    keys, n, t = (kept.column(c).to_numpy()[order] for c in ("key", "n", "t"))
-    rest = counts.where(F.col("n") >= MIN_PAIR_COUNT).select("key", "t", "n")
-    if len(n):
-        rest = rest.where(F.col("n") < int(n.min()))
-    pairs = (t.astype(np.float32), n.astype(np.float32))
-    if not singles[0].any():
-        pairs, singles, contexts = (pairs[1],) * 2, (singles[1],) * 2, (contexts[1],) * 2
-        rest = rest.withColumn("t", F.col("n"))
-    return Models(vocabulary, keys, pairs, singles, contexts), rest
+    words, pairs, unseen = gains_of(pair_counts(flagged, head))
+    # one row per broadcast word: bounded by max_words
+    number, *gains = _columns(words.where(F.col("word") > START).toArrow(), "word", *MODELS)
+    singles = np.zeros((2, len(head) + 1))
+    singles[:, number] = gains
+    inside = pairs.where((F.col("before") >= START) & (F.col("word") > START))
+    kept = common.most_frequent(inside, MIN_PAIR_COUNT, max_pairs).toArrow()
+    rest = pairs
+    if kept.num_rows:
+        least = int(kept.column("n").to_numpy().min())
+        rest = pairs.where((F.col("before") < START) | (F.col("word") < START) | (F.col("n") < least))
+    keys = pair_keys(*(x.astype(np.int64) for x in _columns(kept, "before", "word")))
+    order = np.argsort(keys)
+    models = Models(head, unseen, singles, keys[order], np.array(_columns(kept, *MODELS)).reshape(2, -1)[:, order])
+    return models, words.where(F.col("word") < START), rest
 
 
 def _packs(low_bits: np.uint64, key: np.ndarray, *others: np.ndarray) -> list[pa.Array]:
@@ -185,22 +212,36 @@ def _packs(low_bits: np.uint64, key: np.ndarray, *others: np.ndarray) -> list[pa
     return [pa.array(found.astype(np.int64)), *(pa.array([c[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for c in columns)]
 
 
-def _gains(tails: DataFrame, rest: DataFrame, shared, low_bits: np.uint64) -> DataFrame:
-    """row, less_target, less_background: what the pairs of `rest` take off the losses. tails: part, keys, rows."""
+def _packed_gains(gains: DataFrame, low_bits: np.uint64) -> DataFrame:
+    """part, keys, target, background: the gains of words (word) or pairs (before, word), packed by range of the key's hash."""
+    of_pairs = "before" in gains.columns
 
     def pack(batches):
         held, size = [], 0
+
+        def packed():
+            return pa.RecordBatch.from_arrays(_packs(low_bits, *map(np.concatenate, zip(*held))), names=["part", "keys", *MODELS])
+
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("key", "t", "n")])
-            size += len(held[-1][0])
+            number = batch.column("word").to_numpy()
+            key = pair_keys(batch.column("before").to_numpy(), number) if of_pairs else number
+            held.append((key, *(batch.column(m).to_numpy() for m in MODELS)))
+            size += len(key)
             if size > _GATHER:
-                yield pa.RecordBatch.from_arrays(_packs(low_bits, *map(np.concatenate, zip(*held))), names=["part", "keys", "t", "n"])
+                yield packed()
                 held, size = [], 0
         if size:
-            yield pa.RecordBatch.from_arrays(_packs(low_bits, *map(np.concatenate, zip(*held))), names=["part", "keys", "t", "n"])
+            yield packed()
+
+    wanted = gains.select(*["before"] * of_pairs, "word", *MODELS)
+    return wanted.mapInArrow(pack, "part long, keys binary, target binary, background binary")
+
+
+def _gains(tails: DataFrame, words: DataFrame, pairs: DataFrame, low_bits: np.uint64) -> DataFrame:
+    """row, less_target, less_background: what the words and pairs that are not broadcast take off the losses. tails: part, keys, rows."""
 
     def table(parts):
-        keys, t, n = (np.concatenate([np.frombuffer(p[i], "<i8") for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+        keys, t, n = (np.frombuffer(b"".join(p[i] for p in parts), kind) for i, kind in enumerate(("<i8", "<f8", "<f8")))
         order = np.argsort(keys)
         return keys[order], t[order], n[order]
 
@@ -214,7 +255,7 @@ def _gains(tails: DataFrame, rest: DataFrame, shared, low_bits: np.uint64) -> Da
     def look_up(batches):
         own, parts, known, held, size = None, [], None, [], 0
         for batch in batches:
-            for part, keys, t, n, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "t", "n", "rows")), strict=True):
+            for part, keys, t, n, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", *MODELS, "rows")), strict=True):
                 if part != own:
                     own, parts, known = part, [], None
                 if rows is None:
@@ -227,7 +268,7 @@ def _gains(tails: DataFrame, rest: DataFrame, shared, low_bits: np.uint64) -> Da
                 at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
                 hit = known[0][at] == key
                 at = at[hit]
-                held.append((np.frombuffer(rows, "<i8")[hit], *shared.value.gains(key[hit], (known[1][at], known[2][at]))))
+                held.append((np.frombuffer(rows, "<i8")[hit], known[1][at], known[2][at]))
                 size += len(at)
                 if size > _GATHER:
                     yield packed_sums(held)
@@ -254,21 +295,21 @@ def _gains(tails: DataFrame, rest: DataFrame, shared, low_bits: np.uint64) -> Da
         if held:
             yield total()
 
-    counts = rest.mapInArrow(pack, "part long, keys binary, t binary, n binary").withColumn("rows", F.lit(None).cast("binary"))
-    met = counts.unionByName(tails, allowMissingColumns=True).withColumn("late", F.col("rows").isNotNull())
+    gains = _packed_gains(words, low_bits).unionByName(_packed_gains(pairs, low_bits)).withColumn("rows", F.lit(None).cast("binary"))
+    met = gains.unionByName(tails, allowMissingColumns=True).withColumn("late", F.col("rows").isNotNull())
     ordered = met.repartition("part").sortWithinPartitions("part", "late").drop("late")
     changes = ordered.mapInArrow(look_up, "part long, rows binary, target binary, background binary")
     by_text = changes.repartition("part").sortWithinPartitions("part")
     return by_text.mapInArrow(add, "row long, less_target double, less_background double")
 
 
-def score(docs: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
+def score(docs: DataFrame, models: Models, words: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every document; losses are means per token."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(models)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low_bits = _U(64 - max(4, (RANGES * partitions).bit_length()))
-    elsewhere = not rest.isEmpty()
+    tail_words, elsewhere = not words.isEmpty(), not (words.isEmpty() and pairs.isEmpty())
     names = ["doc_id", "row", "n_tokens", "target", "background", "part", "keys", "rows"]
 
     def run(batches):
@@ -284,10 +325,11 @@ def score(docs: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
             texts, rows, kind = batch.column("text"), batch.column("row"), batch.column("doc_id").type
             place = rows.to_numpy()
             for low, high in wordhash.slices(texts):
-                words = wordhash.words_of(texts.slice(low, high - low), lower=True)
-                n = words.counts()
+                found = wordhash.words_of(texts.slice(low, high - low), lower=True)
+                n = found.counts()
                 doc = np.repeat(np.arange(high - low), n)
-                losses, key, known = shared.value.losses(*numbers(words, shared.value.words))
+                before, word = numbers(found, shared.value.words)
+                losses, key, known = shared.value.losses(before, word)
                 sums = [np.bincount(doc, x, high - low) for x in losses]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -297,8 +339,12 @@ def score(docs: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
                     names=names,
                 )
                 if elsewhere:
-                    held.append((key[~known], place[low:high][doc[~known]]))
+                    where = place[low:high][doc]
+                    held.append((key[~known], where[~known]))
                     size += len(held[-1][0])
+                    if tail_words:
+                        held.append((word[word < START], where[word < START]))
+                        size += len(held[-1][0])
                     if size > _GATHER:
                         yield tails()
                         held, size = [], 0
@@ -311,7 +357,7 @@ def score(docs: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
     if elsewhere:
         scored = common.stored(scored, "scores")
         own = scored.where("part IS NULL").drop("part", "keys", "rows")
-        gains = _gains(scored.where("part IS NOT NULL").select("part", "keys", "rows"), rest, shared, low_bits)
+        gains = _gains(scored.where("part IS NOT NULL").select("part", "keys", "rows"), words, pairs, low_bits)
         scored = own.join(gains, "row", "left").withColumns(
             {c: F.col(c) - F.coalesce(F.col(f"less_{c}"), F.lit(0.0)) for c in ("target", "background")}
         )
@@ -320,5 +366,5 @@ def score(docs: DataFrame, models: Models, rest: DataFrame) -> DataFrame:
     return means.withColumn("score", F.col("background_loss") - F.col("target_loss"))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, max_words: int = HEAD_WORDS, max_pairs: int = MAX_PAIRS) -> DataFrame:
     return score(docs, *fit(docs, target_ids, max_words, max_pairs))
