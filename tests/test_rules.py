@@ -47,7 +47,7 @@ def test_greedy_chain_and_state(spark):
 def test_renaming(spark, seed):
     rng = random.Random(seed)
     rows = [("_" * rng.randrange(3) + rng.choice(["1_FAST", "2_MEM"]), rng.randrange(2), i) for i in range(25)]
-    rows += [("9_SLOW", 0, 100), ("9_SLOW", 1, 100)]
+    rows += [("9_SLOW", 0, 100), ("9_SLOW", 1, 100)] + [("8_MEM", i % 3, 200 + i) for i in range(30)] + [("___5_FAST", 0, 300 + i) for i in range(4)]
     taken, want = set(), {}
     for key, src, line in sorted(rows, key=lambda r: r[1:]):
         new = key
@@ -152,6 +152,89 @@ def test_external_calls(spark):
     assert [f(0.0) for f in (lambda j: external.backoff(0, j), lambda j: external.backoff(9, j))] == [pytest.approx(6.8), 60.0]
     talks = external.simulate(requests.select("_key", F.col("prompt").alias("source_question")), lambda q, said: f"{q}{len(said)}", lambda q, said: "why?", 2)
     assert [m.content for m in talks.where("_key = '1'").first().messages] == ["hi0", "why?", "hi2", "why?"]
+    assert {(r._key, r.stage, r.attempts) for r in external.failures(external.call(requests, service, retries=0, base=0.001), "critic_api").collect()} == {("2", "critic_api", 1), ("3", "critic_api", 1)}
+
+
+def test_rounds_of_calls(spark, tmp_path):
+    marks = tmp_path / "seen"
+    marks.mkdir()
+
+    def service(prompt):
+        if prompt == "down" or (prompt == "late" and not (marks / "late").exists()):
+            (marks / prompt).touch()
+            raise external.Retryable("503")
+        return prompt.upper()
+
+    requests = spark.createDataFrame([("1", "hi"), ("2", "down"), ("3", "late")], "_key string, prompt string")
+    waits = []
+    got = {r._key: r for r in external.call_with_rounds(requests, service, durable, (1.0, 2.0), waits.append, retries=0, base=0.001).collect()}
+    assert waits == [1.0, 2.0]
+    assert {k: (r.stage, r.reply, [e.attempt for e in r.error_history]) for k, r in got.items()} == {
+        "1": ("done", "HI", []), "2": ("max_retry", None, [0, 1, 2]), "3": ("done", "LATE", [0]),
+    }
+    assert got["2"].error == "503"
+
+
+def test_gated_dialogues(spark):
+    external.distinct_models(("http://a/", "m"), ("http://b", "m"))
+    with pytest.raises(ValueError):
+        external.distinct_models(("http://A/", "m "), ("http://a", "m"))
+    def student(question, said):
+        return "I think it is so"
+
+    def tutor(question, said):
+        if question == "leak":
+            return "The answer: doğru cevap! is it?"
+        return "Why do you think so?" if len(said) < 3 else "Well done, that is all."
+
+    rows = spark.createDataFrame([("1", "good"), ("2", "leak")], "_key string, source_question string")
+    got = {r._key: r for r in external.simulate(rows, student, tutor, 2, min_turns=2, retries=1, least=10).collect()}
+    assert len(got["1"].messages) == 4 and got["1"].error is None and len(got["1"].attempts) == 4
+    assert got["2"].error == "tutor_reply_quality_error: direct_answer" and len(got["2"].messages) == 1 and len(got["2"].attempts) == 3
+    tries = spark.createDataFrame(list(got.values())).select("_key", F.explode("attempts").alias("a")).select("_key", "a.*", F.lit(2).alias("max_turns"), F.lit(2).alias("min_turns"))
+    flags = {r._key: r for r in validate.qc_flags(tries).collect()}
+    assert flags["1"].tutor_closing_without_question == 1 and flags["1"].tutor_retry_count == 0 and flags["1"].error is None
+    assert flags["2"].tutor_retry_count == 2 == flags["2"].tutor_direct_answer_detected and flags["2"].error == got["2"].error
+
+
+def test_quarantine(spark):
+    rows = spark.createDataFrame([("a", []), ("b", ["y", "x", "y"])], "_key string, reasons array<string>")
+    valid, invalid = validate.quarantine(rows)
+    assert valid.columns == ["_key"] and [r._key for r in valid.collect()] == ["a"] and invalid.first().reasons == ["x", "y"]
+
+
+def test_finished_records(spark):
+    """After duplicates, the profile's gate and quotas, in the order in which candidates came."""
+    say = lambda *words: [("user", " ".join(words)), ("assistant", "so what is it?")]
+    texts = [say(f"w{i}a", f"w{i}b", f"w{i}c", f"w{i}d") for i in range(6)]
+    candidates = [
+        ("FAST", 1, texts[0], "pass", "ok", True), ("FAST", 2, texts[0], "pass", "", True), ("FAST", 3, texts[1], "pass", "x", False), ("FAST", 4, texts[2], "review", None, True),
+        ("FAST", 5, texts[2], "pass", "", True), ("FAST", 6, texts[3], "pass", "", True), ("FAST", 7, texts[4], "pass", "", True), ("FAST", 8, texts[5], "pass", "", True), ("MEM", 9, texts[0], "pass", "", True),
+    ]
+    kind = "array<struct<role:string,content:string>>"
+    frame = spark.createDataFrame(candidates, f"profile string, ord long, messages {kind}, verdict string, note string, compliant boolean")
+    passed = spark.createDataFrame([(" FAST", texts[5]), ("OTHER", texts[0]), ("MEM", [])], f"profile string, messages {kind}")
+    assert quota.bootstrap(passed).count() == 1
+    got = {r.ord: r for r in quota.finished(frame, {"FAST": 2, "MEM": 5, "SLOW": 0}, durable, passed.withColumn("profile", F.btrim("profile")), 1).collect()}
+    assert {o: (r.outcome, r.verdict, r.note) for o, r in got.items()} == {
+        1: ("passed", "pass", "ok"), 2: ("failed", "fail", "exact_duplicate"), 3: ("failed", "fail", "x | profile_noncompliant"), 4: ("failed", "review", ""),
+        5: ("failed", "fail", "exact_duplicate"), 6: ("failed", "pass", "quota_reached"), 7: ("failed", "pass", "quota_reached"), 8: ("failed", "fail", "exact_duplicate"), 9: ("passed", "pass", ""),
+    }
+
+
+def test_repeated_events_stay_apart(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    events = spark.createDataFrame([("1", at(0), "x"), ("1", at(0), "x"), ("1", at(90), "x"), (None, at(5), None)], "event_id string, ts timestamp, extra string")
+    results = spark.createDataFrame([("1", at(3), True), ("1", at(9), False)], "event_id string, done_at timestamp, suspicious boolean")
+    got = sorted((r.event_id or "", r.ts.second, r.suspicious, r.timed_out) for r in sessions.timed_out(events, results).collect())
+    assert got == [("", 5, None, True), ("1", 0, True, False), ("1", 0, True, False), ("1", 30, None, True)]
+    twice = spark.createDataFrame([("a", "1", at(0)), ("a", "1", at(0)), ("b", "1", at(1))], "student_id string, event_id string, ts timestamp")
+    assert sorted((r.student_id, r.emitted) for r in sessions.cooled_down(twice, 7).collect()) == [("a", False), ("a", True), ("b", True)]
+
+
+def test_first_questions(spark):
+    questions = spark.range(200).select(F.col("id").alias("qi"))
+    assert {r.qi for r in quota.candidates(questions, first=5, most=80).collect()} == set(range(5, 85))
 
 
 def test_exam_intervals_over_days(spark):

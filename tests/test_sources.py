@@ -1,4 +1,7 @@
+import functools
+import hashlib
 import json
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +23,20 @@ def test_jsonl(spark, tmp_path):
     assert {r._key for r in jsonl.read_keys(spark, str(first), str(second)).collect()} == {"0_FAST", "1_FAST", "2_FAST", "9_MEM"}
     ordered = jsonl.read_ordered(spark, [str(first), str(first)]).orderBy("src_idx", "line_no").collect()
     assert [(r.src_idx, r.line_no, r._key) for r in ordered][:4] == [(0, 1, "0_FAST"), (0, 3, "1_FAST"), (0, 5, "2_FAST"), (1, 1, "0_FAST")]
+    assert {r.msg_hash for r in ordered} == {hashlib.sha1("user\nğ".encode()).hexdigest()}
+
+
+def test_line_numbers_over_many_blocks(spark, tmp_path):
+    path = tmp_path / "long.txt"
+    path.write_text("\n".join(f"line {i} " + "x" * (i % 97) for i in range(1, 4001)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = jsonl.numbered_lines(spark, str(path))
+        assert lines.select("value").rdd.getNumPartitions() > 1
+        assert all(r.value.startswith(f"line {r.line_no} ") for r in lines.collect()) and lines.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_arrays_and_sinks(spark, tmp_path):
@@ -27,8 +44,10 @@ def test_arrays_and_sinks(spark, tmp_path):
     bank = jsonl.read_array(spark, str(tmp_path / "bank.json"), "Question string, Difficulty string", 1, 3)
     assert [(r.qi, r.Question) for r in bank.orderBy("qi").collect()] == [(1, "q1"), (2, "q2"), (3, "q3")]
     jsonl.write_both(bank, str(tmp_path / "both"))
-    text = "".join(p.read_text() for p in (tmp_path / "both/array").glob("part*"))
-    assert len(json.loads(text)) == 3
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "both/array").glob("part*")]
+    assert sorted(r["qi"] for part in parts for r in part) == [1, 2, 3]
+    jsonl.write_both(bank.repartition(2, "qi"), str(tmp_path / "two"))
+    assert sum(len(json.loads(p.read_text())) for p in (tmp_path / "two/array").glob("part*")) == 3
     verdicts = bank.withColumn("verdict", F.when(F.col("qi") == 1, "pass").otherwise("fail"))
     jsonl.write_by(verdicts, str(tmp_path / "by"))
     assert (tmp_path / "by/by_verdict/by_verdict=pass").exists() and spark.read.json(str(tmp_path / "by/all")).count() == 3
@@ -56,7 +75,41 @@ def test_state(spark, tmp_path):
     assert bytes(store.one("1").first().image) == b"x" and "image" not in store.history().columns
     assert [r.has_image for r in sessions.history_items(store.history()).collect()] == [False, True]
     state.export(store.evidence(), str(tmp_path / "x"), "A")
-    assert spark.read.json(str(tmp_path / "x/manifest")).first().eventCount == 1 and (tmp_path / "x/events/student=s_1").exists()
+    about = json.loads("".join(p.read_text() for p in (tmp_path / "x/manifest").glob("part*")))
+    assert (about["examId"], about["eventCount"], about["examCode"]) == ("A", 1, "")
+    assert about["events"] == [{"eventId": "1", "examId": "A", "student": {"id": "s/1"}, "reason": "tab switch"}]
+    assert spark.read.json(str(tmp_path / "x/events")).first()["name"] == "s_1_tab_switch_1" and (tmp_path / "x/events/student=s_1").exists()
+    assert spark.read.parquet(str(tmp_path / "x/images")).first()["name"] == "s_1_tab_switch_1.jpg"
     assert state.jdbc_options("postgresql://u:p@h/db", "t")["url"] == "jdbc:postgresql://h:5432/db"
     with pytest.raises(ValueError):
         state.jdbc_options("mysql://h/db", "t")
+
+
+def test_database_tables(spark, tmp_path):
+    """The statements are those of PostgreSQL, which another database that knows ON CONFLICT runs too."""
+    connect = functools.partial(sqlite3.connect, str(tmp_path / "d.sqlite"))
+    with connect() as c:
+        c.execute("CREATE TABLE evidence (event_id TEXT PRIMARY KEY, metadata TEXT, image BLOB)")
+    rows = spark.createDataFrame([("1", "old", b"x", 1), ("1", "new", b"y", 2), ("2", "only", None, 1)], "event_id string, metadata string, image binary, ingest_seq long")
+    for _ in range(2):
+        state.upsert(rows.coalesce(1), connect, "evidence", "event_id", "ingest_seq", mark="?")
+    with connect() as c:
+        assert sorted(c.execute("SELECT * FROM evidence").fetchall()) == [("1", "new", b"y"), ("2", "only", None)]
+    kept = state.SnapshotTable(connect, mark="?")
+    kept.create()
+    assert kept.load("exam") == "{}"
+    kept.save("exam", '{"a":1}')
+    kept.save("exam", '{"a":2}')
+    assert kept.load("exam") == '{"a":2}'
+    assert state.upsert_sql("t", "k", ["k", "v"]) == "INSERT INTO t (k, v) VALUES (%s, %s) ON CONFLICT (k) DO UPDATE SET v = excluded.v"
+    calls, waits = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("down")
+        return "up"
+
+    assert state.with_retries(flaky, 3, 0.5, waits.append) == "up" and waits == [0.5, 0.5]
+    with pytest.raises(ZeroDivisionError):
+        state.with_retries(lambda: 1 // 0, 2, 0, waits.append)

@@ -15,7 +15,10 @@ def feed(spark, tmp_path):
 
     def run(frame, name, mode="append"):
         query = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
-        query.awaitTermination(180)
+        try:
+            assert query.awaitTermination(90), "the stream did not end"
+        finally:
+            query.stop()
         assert query.exception() is None and "batch" in live.progress(query)
         return spark.table(name).collect()
 
@@ -44,10 +47,22 @@ def test_presence_and_gaps(feed):
     make, run = feed
     rows = [("s", at(0), "1", "active"), ("s", at(5), "2", "active"), ("s", at(9), "3", "left"), ("t", at(500), "4", "active")]
     stream = make(rows, "student_id string, ts timestamp, event_id string, state string", "p")
-    assert [(r.student_id, r.status) for r in sorted(run(live.presence(stream), "presence"), key=lambda r: r["at"])] == [("s", "active"), ("s", "left"), ("t", "active")]
+    got = [(r.student_id, r.status, r["at"].replace(tzinfo=None)) for r in sorted(run(live.presence(stream), "presence"), key=lambda r: r["at"])]
+    # both have been silent for less than the limit, or have left
+    assert got == [("s", "active", at(0)), ("s", "left", at(9)), ("t", "active", at(500))]
     assert [(r.student_id, r.n) for r in run(live.report_gaps(stream), "gaps")] == [("s", 3)]
 
 
+def test_presence_turns_idle_by_event_time_and_state_ends(feed, spark):
+    make, run = feed
+    rows = [("s", at(0), "1", "active"), ("s", at(20), "2", "active"), ("u", at(30), "3", "left"), ("t", at(500), "4", "active")]
+    stream = make(rows, "student_id string, ts timestamp, event_id string, state string", "i")
+    found = run(live.presence(stream).repartition(1), "idle")
+    assert sorted((r.student_id, r.status, r["at"].replace(tzinfo=None)) for r in found if r.student_id != "t") == [
+        ("s", "active", at(0)), ("s", "idle", at(20)), ("u", "left", at(30)),
+    ]
+
+
 def test_timeouts(feed):
     make, run = feed
     events = make([("1", at(0)), ("2", at(1)), ("3", at(4000))], "event_id string, ts timestamp", "e")

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: White space as Python's regular expressions see it in Unicode strings.
 _SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
@@ -32,29 +37,36 @@ def tokens(text: Column, least: int = 3) -> Column:
     return F.filter(F.split(sanitise(text), " "), lambda t: F.length(t) >= least)
 
 
-def low64(text: Column) -> Column:
-    """The low 64 bits of the MD5 digest, as a signed long."""
-    return F.conv(F.substring(F.md5(text), 17, 16), 16, -10).cast("long")
-
-
-#: Two 32-bit counters side by side: bit j of a hash and bit j + 32.
-_TWO = (1 << 32) | 1
-
-
-def vote_sums(h: Column) -> list[Column]:
-    """Aggregates that count, for hashes h, how often each of the 64 bits is set: two counts in each sum."""
-    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_TWO))).alias(f"v{j}") for j in range(32)]
-
-
-def majority(n: Column) -> Column:
-    """The long whose bits are those that more than half of n hashes have set, from `vote_sums`; 0 for none."""
-    bits = F.lit(0).cast("long")
-    for j in range(32):
-        low, high = F.col(f"v{j}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(F.col(f"v{j}"), 32)
-        for count, place in ((low, j), (high, j + 32)):
-            one = 1 << place if place < 63 else -(1 << 63)
-            bits = bits.bitwiseOR(F.when(2 * count > n, F.lit(one)).otherwise(F.lit(0)).cast("long"))
-    return bits
+#: Tokens whose bits are counted at once.
+_AT_ONCE = 1 << 17
+
+
+def simhash64(words: Column) -> Column:
+    """The 64-bit SimHash of an array of words, repeats counted: of the low 64 bits of the words' MD5 digests, those that more than half have set.
+
+    A batch's different words are digested once, and their bits added up by text. 0 without words.
+    """
+    return _simhash64(words)
+
+
+@F.arrow_udf(LongType())
+def _simhash64(words: pa.Array) -> pa.Array:
+    lengths = np.array(pc.fill_null(pc.list_value_length(words), 0), np.int64)
+    codes = pc.list_flatten(words).dictionary_encode()
+    digests = b"".join(md5(w.encode()).digest()[:7:-1] for w in codes.dictionary.to_pylist())
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    codes, ends = np.array(codes.indices, np.int64), np.cumsum(lengths)
+    # running counts of each bit at the ends of the texts
+    counts, total = np.zeros((len(lengths) + 1, 64), np.int64), np.zeros(64, np.int64)
+    marks = np.concatenate([[0], ends])
+    for low in range(0, len(codes), _AT_ONCE):
+        sums = np.cumsum(bits[codes[low : low + _AT_ONCE]], axis=0, dtype=np.int64) + total
+        inside = np.flatnonzero((marks > low) & (marks <= low + len(sums)))
+        counts[inside] = sums[marks[inside] - low - 1]
+        total = sums[-1]
+    votes = np.diff(counts, axis=0)
+    set_bits = np.packbits(2 * votes > lengths[:, None], axis=1, bitorder="little")
+    return pa.array(set_bits.view("<i8").reshape(-1))
 
 
 def hamming(a: Column, b: Column) -> Column:

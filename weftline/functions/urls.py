@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the host that is allowed if no list is given.
-DEFAULT_HOST = "moodle.erzurum.edu.tr"
-
 
 def _parts(url: Column) -> tuple[Column, Column, Column]:
     """(origin, path, host): lower-case origin without a default port, path without slashes at its end."""
@@ -20,12 +17,12 @@ def _parts(url: Column) -> tuple[Column, Column, Column]:
     return F.when(host != "", origin), F.when(path == "", "/").otherwise(path), host
 
 
-def is_allowed(url: Column, allowed: tuple[str, ...] | list[str]) -> Column:
-    """Same origin and path equal to, or under, that of an allowed URL; without a list, the default host."""
+def is_allowed(url: Column, allowed: tuple[str, ...] | list[str], default_host: str | None = None) -> Column:
+    """Same origin and path equal to, or under, that of an allowed URL; without a list, any URL of the default host, if there is one."""
     origin, path, host = _parts(url)
     blocked = url.isNull() | (url == "") | F.startswith(url, F.lit("chrome://")) | F.startswith(url, F.lit("about:")) | origin.isNull()
     if not allowed:
-        return F.when(blocked, False).otherwise(host == DEFAULT_HOST)
+        return F.when(blocked, False).otherwise(host == default_host if default_host else F.lit(False))
 
     def matches(one: str) -> Column:
         other, under, _ = _parts(F.lit(one))

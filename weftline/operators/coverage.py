@@ -58,3 +58,8 @@ def dead_letters(lines: DataFrame, n_questions: int, profiles: tuple[str, ...] =
         F.lit("__profile"), F.coalesce(F.nullif("profile", F.lit("")), F.lit("NA")),
     )
     return bad.unionByName(known).withColumn("_key", F.when(F.col("error").isNull(), F.concat_ws("_", F.col("qi").cast("string"), "profile")).otherwise(letter))
+
+
+def task_order(tasks: DataFrame) -> DataFrame:
+    """Adds `place`, by which tasks (status, line_no) are taken up: questions never produced first, then partial ones, each by line."""
+    return tasks.withColumn("place", F.struct((F.col("status") != NONE).cast("int").alias("late"), F.col("line_no").cast("long").alias("line_no")))

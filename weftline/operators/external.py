@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import ANSWER_CUES
+
 RETRIES, BACKOFF_SECONDS, CAP_SECONDS = 3, 8.0, 60.0
 
 
@@ -60,23 +64,86 @@ def call(
     return rows.mapInPandas(run, "_key string, reply string, error string, attempts int")
 
 
-def simulate(candidates: DataFrame, student: Callable[[str, list], str], tutor: Callable[[str, list], str], max_turns: int) -> DataFrame:
-    """Adds `messages` to candidates (_key, source_question): two agents speak in turn, always `max_turns` times each."""
-    kept = [c for c in candidates.columns if c != "messages"]
+def distinct_models(student: tuple[str, str], tutor: tuple[str, str]) -> None:
+    """Refuses two agents that are one: the same model at the same base URL. Each is (base URL, model)."""
+    same = [a.strip().rstrip("/").lower() == b.strip().rstrip("/").lower() for a, b in [(student[0], tutor[0])]]
+    if all(same) and student[1].strip() == tutor[1].strip():
+        raise ValueError("student and tutor must be different models")
+
+
+def call_with_rounds(requests: DataFrame, service: Callable[[str], str], store, waits: tuple[float, ...] = (120.0, 300.0), wait=time.sleep, **options) -> DataFrame:
+    """_key, reply, error, stage, error_history: `call`, and what failed called again after each of `waits`.
+
+    error_history lists each failed round (attempt from 0, error). What fails in all rounds has the stage
+    max_retry. `store` keeps a round's outcome, so that no call is repeated when it is read again.
+    """
+    history = "error_history array<struct<attempt:int,error:string>>"
+    open_ = requests.select("_key", "prompt").withColumn("error_history", F.array().cast(history.split(" ", 1)[1]))
+    done = []
+    for attempt, seconds in enumerate((0.0, *waits)):
+        if attempt:
+            if open_.isEmpty():
+                break
+            wait(seconds)
+        outcome = store(call(open_, service, **options).drop("attempts"))
+        failed = F.struct(F.lit(attempt).alias("attempt"), F.col("error"))
+        joined = outcome.join(open_, "_key")
+        joined = joined.withColumn("error_history", F.when(F.col("error").isNull(), F.col("error_history")).otherwise(F.concat("error_history", F.array(failed))))
+        done.append(joined.where("error IS NULL").select("_key", "reply", "error", F.lit("done").alias("stage"), "error_history"))
+        open_ = joined.where("error IS NOT NULL").select("_key", "prompt", "error_history")
+    last = F.element_at("error_history", -1)["error"]
+    done.append(open_.select("_key", F.lit(None).cast("string").alias("reply"), last.alias("error"), F.lit("max_retry").alias("stage"), "error_history"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _reasons(reply: str, tutor: bool, closing: bool, least: int) -> list[str]:
+    """The gates of validate.reply_reasons, for a reply that has just come."""
+    clean = " ".join(re.sub(r"[^\w\s]", " ", reply.lower()).split())
+    found = ["short_or_empty"] if len(reply.strip()) < max(1, least) else []
+    if tutor and "?" not in reply and not closing:
+        found.append("no_question")
+    if tutor and any(cue in clean for cue in ANSWER_CUES):
+        found.append("direct_answer")
+    return found
+
+
+def simulate(
+    candidates: DataFrame, student: Callable[[str, list], str], tutor: Callable[[str, list], str], max_turns: int,
+    min_turns: int = 0, retries: int = 0, least: int = 0,
+) -> DataFrame:
+    """Adds messages, attempts and error to candidates (_key, source_question): two agents speak in turn, `max_turns` times each.
+
+    With `least`, replies pass the gates of validate.reply_reasons or are asked for again, `retries` times; a
+    reply that never passes ends the dialogue with an error. `attempts` is every reply that came, for validate.qc_flags.
+    """
+    new = ("messages", "attempts", "error")
+    kept = [c for c in candidates.columns if c not in new]
     schema = ", ".join(f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in kept)
 
+    def talk(question):
+        said: list[dict] = []
+        tried: list[dict] = []
+        for turn in range(1, max_turns + 1):
+            for role, agent in (("user", student), ("assistant", tutor)):
+                reasons: list[str] = []
+                for attempt in range(retries + 1):
+                    reply = agent(question, said)
+                    tried.append({"turn": turn, "role": role, "attempt": attempt, "reply": reply})
+                    reasons = _reasons(reply, role == "assistant", turn == max_turns and turn >= min_turns, least) if least else []
+                    if not reasons:
+                        break
+                if reasons:
+                    return said, tried, f"{'tutor' if role == 'assistant' else 'student'}_reply_quality_error: {','.join(reasons)}"
+                said.append({"role": role, "content": reply.strip() if least else reply})
+        return said, tried, None
+
     def run(frames):
         for frame in frames:
-            talks = []
-            for question in frame["source_question"]:
-                said: list[dict] = []
-                for _ in range(max_turns):
-                    said.append({"role": "user", "content": student(question, said)})
-                    said.append({"role": "assistant", "content": tutor(question, said)})
-                talks.append(said)
-            yield frame.assign(messages=talks)
-
-    return candidates.select(*kept).mapInPandas(run, schema + ", messages array<struct<role:string,content:string>>")
+            talks = [talk(q) for q in frame["source_question"]]
+            yield frame.assign(**{name: [t[i] for t in talks] for i, name in enumerate(new)})
+
+    added = "messages array<struct<role:string,content:string>>, attempts array<struct<turn:int,role:string,attempt:int,reply:string>>, error string"
+    return candidates.select(*kept).mapInPandas(run, f"{schema}, {added}")
 
 
 def failures(outcomes: DataFrame, stage: str) -> DataFrame:

@@ -103,18 +103,39 @@ def crosstab(rows: DataFrame) -> DataFrame:
 
 
 def two_stage(records: DataFrame, critics: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Adds critic, reply and `stage` to records: done, or where it broke off.
+    """Adds critic, reply, error and `stage` to records: done, or where it broke off.
 
     critics, verdicts: _key, body (the parsed reply, null if it could not be parsed); a missing row
-    means that the call itself failed.
+    means that the call itself failed. verdicts also have `errors`, what is wrong with the reply's scores.
     """
     c = critics.select("_key", F.col("body").alias("critic"), F.lit(True).alias("_c"))
-    v = verdicts.select("_key", F.col("body").alias("reply"), F.lit(True).alias("_v"))
+    v = verdicts.select("_key", F.col("body").alias("reply"), F.col("errors").alias("_errors"), F.lit(True).alias("_v"))
     stage = (
         F.when(F.col("_c").isNull(), "critic_api")
         .when(F.col("critic").isNull(), "critic_parse")
         .when(F.col("_v").isNull(), "verdict_api")
         .when(F.col("reply").isNull(), "verdict_parse")
+        .when(F.size("_errors") > 0, "schema_validation")
         .otherwise("done")
     )
-    return records.join(c, "_key", "left").join(v, "_key", "left").withColumn("stage", stage).drop("_c", "_v")
+    joined = records.join(c, "_key", "left").join(v, "_key", "left").withColumn("stage", stage)
+    told = F.when(F.col("stage") == "schema_validation", F.array_join("_errors", "; "))
+    return joined.withColumn("error", told).drop("_c", "_v", "_errors")
+
+
+def outcome_report(rows: DataFrame) -> DataFrame:
+    """One row: how many verdicts were overridden, failed with low confidence, or are open with high ambiguity.
+
+    rows: verdict, disagreement, confidence, ambiguity.
+    """
+    return rows.agg(
+        F.count_if(F.coalesce("disagreement", F.lit(False))).alias("overridden"),
+        F.count_if(F.coalesce((F.col("confidence") == "düşük") & (F.col("verdict") == "fail"), F.lit(False))).alias("unsure_fails"),
+        F.count_if(F.coalesce((F.col("ambiguity") == "yüksek") & (F.col("verdict") == "review"), F.lit(False))).alias("ambiguous_reviews"),
+    )
+
+
+def top_stages(outcomes: DataFrame) -> DataFrame:
+    """stage and n of the failed outcomes (stage; null counts as unknown), most frequent first."""
+    failed = outcomes.select(F.coalesce("stage", F.lit("unknown")).alias("stage")).where("stage <> 'done'")
+    return failed.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stage")

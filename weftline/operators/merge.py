@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from weftline.operators.quota import ranked
 
 
 def _one_per_key(dialogues: DataFrame, order: Column) -> DataFrame:
@@ -35,36 +39,41 @@ def renamed(rows: DataFrame) -> DataFrame:
     """Gives each row of (_key, src_idx, line_no) a key of its own, `new_key`, by underscores put in front.
 
     Rows come in order of source and line; a key that is taken gets one more underscore until it is
-    free. Only keys that are alike but for leading underscores can collide, and a row of base b whose
-    own key has u underscores takes the least free count from u on: per base a short sequence, decided
-    in order on counts only.
+    free. Only keys that are alike but for leading underscores can collide. Where all keys of a base have
+    the same underscores, the n-th row simply gets n - 1 more: places are counted by ranges of lines, so
+    that no base meets in one task. Otherwise a row of u underscores takes the least free count from u on;
+    such bases are streamed in order, and a task holds one number for each u of its base.
     """
     base, own = F.regexp_replace("_key", "^_+", ""), F.length("_key") - F.length(F.regexp_replace("_key", "^_+", ""))
     keyed = rows.select("*", base.alias("_base"), own.cast("int").alias("_own"))
-    # where all keys of a base have the same underscores, the n-th simply gets n - 1 more
-    same = Window.partitionBy("_base")
-    plain = F.min("_own").over(same) == F.max("_own").over(same)
-    marked = keyed.withColumns({"_plain": plain, "_rn": F.row_number().over(same.orderBy("src_idx", "line_no"))})
-    simple = marked.where("_plain").withColumn("_at", F.col("_own") + F.col("_rn") - 1)
-
-    def assign(key, frame):
-        taken: set[int] = set()
-        free: dict[int, int] = {}
-        out = []
-        for own_count in frame.sort_values(["src_idx", "line_no"])["_own"]:
-            at = free.get(own_count, own_count)
-            while at in taken:
-                at += 1
-            taken.add(at)
-            free[own_count] = at + 1
-            out.append(at)
-        return frame.sort_values(["src_idx", "line_no"]).assign(_at=out)[["_base", "src_idx", "line_no", "_at"]]
-
-    kinds = dict(keyed.dtypes)
-    hard = marked.where("NOT _plain")
-    placed = hard.select("_base", "_own", "src_idx", "line_no").groupBy("_base").applyInPandas(assign, f"_base string, src_idx {kinds['src_idx']}, line_no {kinds['line_no']}, _at int")
-    both = simple.unionByName(hard.join(placed, ["_base", "src_idx", "line_no"]))
-    return both.withColumn("new_key", F.concat(F.repeat(F.lit("_"), F.col("_at").cast("int")), "_base")).drop("_base", "_own", "_plain", "_rn", "_at")
+    kinds = keyed.groupBy("_base").agg((F.min("_own") == F.max("_own")).alias("_plain"))
+    marked = keyed.join(kinds, "_base")
+    simple = ranked(marked.where("_plain"), ["_base", "src_idx"], "line_no", "_rank")
+    sizes = marked.where("_plain").groupBy("_base", "src_idx").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_base").orderBy("src_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    simple = simple.join(sizes.select("_base", "src_idx", earlier.alias("_earlier")), ["_base", "src_idx"])
+    simple = simple.withColumn("_at", (F.col("_own") + F.col("_earlier") + F.col("_rank") - 1).cast("int"))
+
+    names = [*rows.columns, "_base", "_at"]
+
+    def assign(batches):
+        current, free = None, {}
+        for batch in batches:
+            out = []
+            for name, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != current:
+                    current, free = name, {}
+                at = free.get(u, u)  # all from v up to free[v] are taken, for every v
+                while (past := max((end for v, end in free.items() if v <= at < end), default=at)) > at:
+                    at = past
+                free[u] = at + 1
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(out, pa.int32())], names=names)
+
+    hard = marked.where("NOT _plain").select("_base", "_own", *rows.columns).repartition("_base").sortWithinPartitions("_base", "src_idx", "line_no")
+    placed = hard.mapInArrow(assign, StructType([*rows.schema.fields, StructField("_base", StringType()), StructField("_at", IntegerType())]))
+    both = simple.select(*rows.columns, "_base", "_at").unionByName(placed)
+    return both.withColumn("new_key", F.concat(F.repeat(F.lit("_"), F.col("_at")), "_base")).drop("_base", "_at")
 
 
 def sample_type(keys: DataFrame, run_keys: DataFrame, normal_keys: DataFrame) -> DataFrame:

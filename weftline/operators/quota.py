@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import messages as M
+from weftline.functions import text as T
+from weftline.operators import dedup
 from weftline.operators.dialogues import PROFILES
 
 #: Least turns and sampling temperatures by profile and difficulty, with defaults.
@@ -84,8 +87,8 @@ def admit(rows: DataFrame, quotas: dict[str, int], existing: DataFrame | None =
     return ranked_upto(rows, ["profile"], "ord", "_quota", "admitted").drop("_quota")
 
 
-def ranked_upto(rows: DataFrame, group: list[str], order: str, limit: str, out: str, cells: int = 256) -> DataFrame:
-    """Adds the boolean `out`: whether the row is among the first `limit` of its group by the long column `order`.
+def ranked(rows: DataFrame, group: list[str], order: str, out: str, cells: int = 256) -> DataFrame:
+    """Adds the row's place, from 1, in its group by the long column `order`.
 
     Few large groups don't meet in few tasks: each group's orders are cut into `cells` equal ranges.
     """
@@ -96,4 +99,51 @@ def ranked_upto(rows: DataFrame, group: list[str], order: str, limit: str, out:
     counts = celled.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(*group, "_cell", F.coalesce(F.sum("_n").over(span.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(order))
-    return celled.join(before, [*group, "_cell"]).withColumn(out, F.col("_before") + rank <= F.col(limit)).drop("_lo", "_hi", "_cell", "_before")
+    return celled.join(before, [*group, "_cell"]).withColumn(out, F.col("_before") + rank).drop("_lo", "_hi", "_cell", "_before")
+
+
+def ranked_upto(rows: DataFrame, group: list[str], order: str, limit: str, out: str, cells: int = 256) -> DataFrame:
+    """Adds the boolean `out`: whether the row is among the first `limit` of its group by the long column `order`."""
+    return ranked(rows, group, order, "_rank", cells).withColumn(out, F.col("_rank") <= F.col(limit)).drop("_rank")
+
+
+def bootstrap(passed: DataFrame, profiles: tuple[str, ...] = PROFILES) -> DataFrame:
+    """profile, ord, simhash, fingerprint of earlier passed records (profile, messages) that new ones are compared with.
+
+    Only records of known profiles that have messages count. Orders are negative: before all new ones.
+    """
+    profile = F.btrim("profile")
+    usable = passed.where(profile.isin(*profiles) & (F.size("messages") > 0))
+    return usable.select(
+        profile.alias("profile"), (F.monotonically_increasing_id() - F.lit(2**62)).alias("ord"),
+        T.simhash64(M.words(F.col("messages"))).alias("simhash"), M.fingerprint(F.col("messages")).alias("fingerprint"),
+    )
+
+
+def _noted(note: Column, more: Column) -> Column:
+    return F.when(more.isNull(), note).otherwise(F.btrim(F.concat(T.normalise_space(note), F.lit(" | "), more), F.lit(" |")))
+
+
+def finished(candidates: DataFrame, quotas: dict[str, int], store, passed: DataFrame | None = None, distance: int = 4, strict: bool = True) -> DataFrame:
+    """What becomes of judged candidates (profile, ord, messages, verdict, note, compliant), all of it in one plan.
+
+    In order, a candidate that repeats an earlier one of its profile fails, whatever became of the earlier
+    one; so does, if `strict`, one that does not comply with its profile. Those that still pass fill their
+    profile's quota, counting the `passed` records of earlier runs; what comes after is told quota_reached.
+    Adds duplicate_reason, duplicate_distance, outcome (passed, failed) and the completed verdict and note.
+    """
+    rows = candidates.withColumns({"simhash": T.simhash64(M.words(F.col("messages"))), "fingerprint": M.fingerprint(F.col("messages"))})
+    rows = store(rows)
+    before = None if passed is None else store(bootstrap(passed))
+    found = dedup.greedy(rows.select("profile", "ord", "simhash", "fingerprint"), store, distance, before)
+    reason = F.when(F.col("status") == "exact_duplicate", "exact_duplicate").when(F.col("status") == "near_duplicate", f"near_duplicate_hamming_le_{distance}")
+    joined = rows.join(found, ["profile", "ord"]).withColumn("duplicate_reason", reason)
+    wrong = F.lit(strict) & ~F.coalesce("compliant", F.lit(True))
+    note = _noted(_noted(F.coalesce("note", F.lit("")), F.when(wrong, "profile_noncompliant")), F.col("duplicate_reason"))
+    verdict = F.when(wrong | F.col("duplicate_reason").isNotNull(), "fail").otherwise(F.col("verdict"))
+    judged = store(joined.withColumns({"verdict": verdict, "note": note, "duplicate_distance": F.when(F.col("status") == "near_duplicate", F.col("distance"))}))
+    passes = F.coalesce(F.col("verdict") == "pass", F.lit(False))
+    placed = admit(judged.where(passes), quotas, passed)
+    full = _noted(F.col("note"), F.when(~F.col("admitted"), "quota_reached"))
+    placed = placed.withColumns({"note": full, "outcome": F.when(F.col("admitted"), "passed").otherwise("failed")}).drop("admitted")
+    return placed.unionByName(judged.where(~passes).withColumn("outcome", F.lit("failed"))).drop("simhash", "fingerprint", "status", "distance")

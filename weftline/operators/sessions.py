@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from weftline.functions import text as T
 
@@ -28,7 +30,9 @@ THROTTLE_SECONDS, THROTTLE_ATTEMPTS = 60, 10
 UNFOCUS_SECONDS, COOLDOWN_SECONDS = 3, 7
 HISTORY_DEFAULT, HISTORY_MOST = 200, 1000
 SCREENSHOT_BYTES = 5 * 1024 * 1024
-LIMITS = {"type": 80, "reason": 80, "details": 1000, "tab_url": 2000, "tab_title": 500}
+LIMITS = {"type": 80, "reason": 80, "details": 1000, "tab_url": 2000, "tab_title": 500, "extensions": 50}
+#: Commands and events are ordered within cells of so many seconds.
+CELL_SECONDS = 600
 
 
 def _first_word(words: tuple[str, ...], hay: Column) -> Column:
@@ -93,10 +97,15 @@ def smoothed(results: DataFrame) -> DataFrame:
 
 def timed_out(events: DataFrame, results: DataFrame, seconds: int = TIMEOUT_SECONDS) -> DataFrame:
     """Adds to events (event_id, ts) the first result within the time, or `timed_out`. results: event_id, done_at, suspicious, verdict."""
-    joined = events.join(results.withColumnRenamed("event_id", "_event"), (F.col("event_id") == F.col("_event")) & (F.col("done_at") <= F.col("ts") + F.expr(f"INTERVAL {seconds} SECONDS")) & (F.col("done_at") >= F.col("ts")), "left")
+    # equal events are one row with a count until each has its result
+    once = events.groupBy(*events.columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    limit = F.col("ts") + F.expr(f"INTERVAL {seconds} SECONDS")
+    near = (F.col("event_id") == F.col("_event")) & (F.col("done_at") <= limit) & (F.col("done_at") >= F.col("ts"))
     rest = [c for c in results.columns if c != "event_id"]
-    picked = joined.groupBy(*events.columns).agg(F.min_by(F.struct(*rest), "done_at").alias("r"))
-    return picked.select(*events.columns, "r.*", F.col("r").isNull().alias("timed_out"))
+    first = F.min(F.when(F.col("_event").isNotNull(), F.struct("done_at", F.struct(*rest).alias("r"))))
+    picked = once.join(results.withColumnRenamed("event_id", "_event"), near, "left").groupBy(*events.columns, "_copies").agg(first.alias("f"))
+    each = picked.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
+    return each.select(*events.columns, "f.r.*", F.col("f").isNull().alias("timed_out"))
 
 
 def alert_counts(events: DataFrame) -> DataFrame:
@@ -112,17 +121,22 @@ def presence(events: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> Da
     return last.select("student_id", "last_seen", F.when(stale, "idle").otherwise(F.col("state")).alias("status"))
 
 
+def _cell(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / (CELL_SECONDS * 1_000_000))
+
+
 def exam_intervals(commands: DataFrame) -> DataFrame:
     """exam_id, started_at, ended_at of each start among (ts, action start/stop, exam_id, minutes).
 
-    An exam ends at its stop, at the next start, or after its minutes, whichever comes first.
+    An exam ends at its stop, at the next start, or after its minutes, whichever comes first. Commands of
+    one instant are ordered by exam_id.
     """
-    own = commands.withColumn("_day", F.to_date("ts"))
-    days = own.groupBy("_day").agg(F.min("ts").alias("_first"))
-    # one row for each day; commands themselves are ordered within their days
-    days = days.select(F.col("_day").alias("_d"), F.lead("_first").over(Window.orderBy("_day")).alias("_after"))
-    following = F.lead(F.struct("ts")).over(Window.partitionBy("_day").orderBy("ts"))
-    ended = own.withColumn("_next", following).join(days, F.col("_day").eqNullSafe(F.col("_d"))).where("action = 'start'")
+    own = commands.withColumn("_cell", _cell(F.col("ts")))
+    cells = own.groupBy("_cell").agg(F.min("ts").alias("_first"))
+    # one row for each cell with commands; commands themselves are ordered within their cells
+    cells = cells.select(F.col("_cell").alias("_c"), F.lead("_first").over(Window.orderBy("_cell")).alias("_after"))
+    following = F.lead(F.struct("ts")).over(Window.partitionBy("_cell").orderBy("ts", "exam_id"))
+    ended = own.withColumn("_next", following).join(cells, F.col("_cell").eqNullSafe(F.col("_c"))).where("action = 'start'")
     ended = ended.withColumn("next_ts", F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col("_next.ts")))
     over = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes"))
     return ended.select("exam_id", F.col("ts").alias("started_at"), F.least(over, F.coalesce("next_ts", over)).alias("ended_at"))
@@ -131,20 +145,22 @@ def exam_intervals(commands: DataFrame) -> DataFrame:
 def during_exam(events: DataFrame, exams: DataFrame) -> DataFrame:
     """Events with the exam that ran when they arrived. Exams follow one another, so that the latest start decides.
 
-    The starts are merged into the events' order by day cells: each event looks up the last start at or
-    before it in its day, or the day's opening exam; no event meets more than one exam.
+    The starts are merged into the events' order by cells of time: each event looks up the last start at or
+    before it in its cell, or the exam that opened the cell; no event meets more than one exam. Only one
+    row for each cell that has events or starts is ordered as a whole.
     """
-    day = F.to_date("ts")
-    marks = exams.select(F.col("started_at").alias("ts"), F.struct("exam_id", "started_at", "ended_at").alias("x"))
-    days = events.select(day.alias("day")).distinct()
-    opening = days.join(marks, F.to_date(F.col("ts")) < F.col("day")).groupBy("day").agg(F.max_by("x", "ts").alias("open"))
-    both = events.select(day.alias("day"), "ts", F.struct(*events.columns).alias("e"), F.lit(None).cast(marks.schema["x"].dataType).alias("x")).unionByName(
-        marks.select(day.alias("day"), "ts", F.lit(None).cast(events.select(F.struct(*events.columns)).schema[0].dataType).alias("e"), "x")
-    )
-    order = Window.partitionBy("day").orderBy("ts", F.col("e").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("l", F.last("x", ignorenulls=True).over(order)).where("e IS NOT NULL").join(opening, "day", "left")
-    exam = F.coalesce("l", "open")
-    running = found.withColumn("exam", exam).withColumn("exam", F.when(F.col("ts") < F.col("exam.ended_at"), F.col("exam")))
+    x = F.struct(F.col("started_at").alias("at"), "exam_id", "started_at", "ended_at")
+    marks = exams.select(F.col("started_at").alias("ts"), x.alias("x"))
+    kind = marks.schema["x"].dataType
+    rows = events.select("ts", F.struct(*events.columns).alias("e"))
+    both = rows.withColumn("x", F.lit(None).cast(kind)).unionByName(marks.withColumn("e", F.lit(None).cast(rows.schema["e"].dataType)))
+    both = both.withColumn("cell", _cell(F.col("ts")))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = both.groupBy("cell").agg(F.max("x").alias("last")).select(F.col("cell").alias("_c"), F.max("last").over(before).alias("open"))
+    order = Window.partitionBy("cell").orderBy("ts", F.col("e").isNotNull(), "x.exam_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("l", F.last("x", ignorenulls=True).over(order)).where("e IS NOT NULL")
+    opened = found.join(cells, F.col("cell").eqNullSafe(F.col("_c"))).withColumn("exam", F.coalesce("l", "open"))
+    running = opened.withColumn("exam", F.when(F.col("ts") < F.col("exam.ended_at"), F.col("exam")))
     return running.select("e.*", F.col("exam.exam_id").alias("exam_id"), F.col("exam.started_at").alias("exam_started_at"))
 
 
@@ -169,16 +185,17 @@ def blacklisted(installed: DataFrame, blacklist: DataFrame) -> DataFrame:
 
 
 def alerts_normalised(alerts: DataFrame) -> DataFrame:
-    """Client alerts with defaults and limits; the id is made here, the token is not kept."""
+    """Client alerts with defaults and limits; the id is made here, the token is not kept. `extensions` is an array."""
     blank = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
     cut = lambda c, name: F.substring(c, 1, LIMITS[name])
     kind = F.coalesce(blank("type"), F.lit("client_alert"))
     details = F.coalesce("details", F.lit(""))
     return alerts.select(
-        F.substring(F.sha2(F.concat_ws("|", "student_id", F.col("ts").cast("string"), kind, details), 256), 1, 32).alias("event_id"),
+        F.substring(F.sha2(F.concat_ws("|", "student_id", F.unix_micros(F.col("ts").cast("timestamp")), kind, details), 256), 1, 32).alias("event_id"),
         "student_id", "ts", cut(kind, "type").alias("type"), cut(F.coalesce(blank("reason"), kind), "reason").alias("reason"),
         cut(details, "details").alias("details"), cut(F.coalesce("tab_url", F.lit("")), "tab_url").alias("tab_url"),
         cut(F.coalesce("tab_title", F.lit("")), "tab_title").alias("tab_title"),
+        F.slice(F.coalesce("extensions", F.array().cast(alerts.schema["extensions"].dataType)), 1, LIMITS["extensions"]).alias("extensions"),
         F.coalesce(blank("analysis_status"), F.lit("suspicious")).alias("analysis_status"),
         F.coalesce(blank("verdict"), F.lit("ŞÜPHELİ")).alias("verdict"),
         F.coalesce(blank("agent_reason"), blank("details"), F.lit("Kural tabanlı alarm.")).alias("agent_reason"),
@@ -186,11 +203,11 @@ def alerts_normalised(alerts: DataFrame) -> DataFrame:
 
 
 def unfocus_episodes(focus: DataFrame, seconds: int = UNFOCUS_SECONDS) -> DataFrame:
-    """student_id, since, until of unfocused spans that last long enough, from (student_id, ts, focused).
+    """student_id, since, until of unfocused spans that last long enough, from (student_id, ts, event_id, focused).
 
-    Consecutive events of one state are one span; a span that never ends counts.
+    Consecutive events of one state are one span; a span that never ends counts. Ties on time go by event_id.
     """
-    own = Window.partitionBy("student_id").orderBy("ts")
+    own = Window.partitionBy("student_id").orderBy("ts", "event_id")
     change = focus.withColumn("_before", F.lag("focused").over(own)).where("_before IS NULL OR _before <> focused")
     spans = change.withColumn("until", F.lead("ts").over(own)).where("NOT focused")
     long = F.col("until").isNull() | (F.col("until") >= F.col("ts") + F.expr(f"INTERVAL {seconds} SECONDS"))
@@ -206,26 +223,26 @@ def changed_urls(visits: DataFrame) -> DataFrame:
 def _sequential(events: DataFrame, key: str, start, step, out: str) -> DataFrame:
     """Adds the boolean `out` by a rule whose outcome feeds back into later decisions.
 
-    `step(state, seconds, flag)` gives the next state and the outcome for each event of a key in order;
-    `start` is the first state. Partitions are sorted and streamed: a task holds one key's small state,
-    not its events.
+    `step(state, seconds, flag)` gives the next state and the outcome for each event of a key in order of
+    time and event_id; `start` is the first state. Partitions are sorted and streamed with all their
+    columns: a task holds one key's small state, not its events.
     """
-    kind = dict(events.dtypes)
+    names = [*events.columns, out]
 
-    def run(frames):
+    def run(batches):
         own, state = None, start
-        for frame in frames:
+        for batch in batches:
             found = []
-            for k, t, flag in zip(frame["k"], frame["t"], frame["flag"], strict=True):
+            for k, t, flag in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if k != own:
                     own, state = k, start
                 state, outcome = step(state, t, flag)
                 found.append(outcome)
-            yield frame[["event_id"]].assign(**{out: found})
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(found, pa.bool_())], names=names)
 
-    slim = events.select(F.col(key).cast("string").alias("k"), F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id", "flag")
-    decided = slim.repartition("k").sortWithinPartitions("k", "t", "event_id").mapInPandas(run, f"event_id {kind['event_id']}, {out} boolean")
-    return events.join(decided, "event_id")
+    lead = [F.col(key).cast("string").alias("_w_key"), F.col("ts").cast("timestamp").cast("double").alias("_w_time"), F.col("flag").alias("_w_flag")]
+    ordered = events.select(*lead, *events.columns).repartition("_w_key").sortWithinPartitions("_w_key", "_w_time", "event_id")
+    return ordered.mapInArrow(run, StructType([*events.schema.fields, StructField(out, BooleanType())]))
 
 
 def throttled(attempts: DataFrame) -> DataFrame:
@@ -345,12 +362,61 @@ def screenshot(data_url: Column) -> tuple[Column, Column]:
     return F.when(F.coalesce(large, F.lit(False)), 413).when(F.coalesce(good, F.lit(False)), 200).otherwise(400), F.when(good & ~large, mime)
 
 
+def _object(payload: Column) -> Column:
+    """The fields of a JSON object as they are, nested ones too; null if the text is no object."""
+    return F.from_json(payload, "map<string,variant>")
+
+
+def _json(fields: Column) -> Column:
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
 def evidence_metadata(payload: Column, exam_id: Column, started_at: Column, exam_code: Column) -> Column:
     """The payload (JSON text) without screenshot and filename; exam fields are added only where absent, not where null."""
-    kept = F.map_filter(F.from_json(payload, "map<string,string>"), lambda k, _: ~k.isin("screenshot", "filename"))
+    kept = F.map_filter(_object(payload), lambda k, _: ~k.isin("screenshot", "filename"))
     for name, value in (("examId", exam_id), ("examStartedAt", started_at), ("examCode", exam_code)):
-        kept = F.when(F.map_contains_key(kept, name), kept).otherwise(F.map_concat(kept, F.create_map(F.lit(name), value.cast("string"))))
-    return F.to_json(kept, {"ignoreNullFields": "false"})
+        kept = F.when(F.map_contains_key(kept, name), kept).otherwise(F.map_concat(kept, F.create_map(F.lit(name), value.cast("string").cast("variant"))))
+    return _json(kept)
+
+
+def public_state(state: Column) -> Column:
+    """The exam's state (JSON text) as everybody may see it: without its code."""
+    return _json(F.map_filter(_object(state), lambda k, _: k != "exam_code"))
+
+
+def manifest_event(event_id: Column, metadata: Column) -> Column:
+    """An event of an export's manifest: its id and the fields of its metadata, whose own eventId would win."""
+    fields = F.coalesce(_object(metadata), F.create_map().cast("map<string,variant>"))
+    own = F.create_map(F.lit("eventId"), event_id.cast("string").cast("variant"))
+    return _json(F.when(F.map_contains_key(fields, "eventId"), fields).otherwise(F.map_concat(own, fields)))
+
+
+def manifest(evidence: DataFrame, exam_id: str) -> tuple[DataFrame, DataFrame]:
+    """(one row about the exam, its events newest first) of the newest HISTORY_MOST rows of an exam.
+
+    The row holds examId, and of the newest event examCode and examStartedAt, and eventCount; events have
+    event_id, student_id (unknown if there is none) and `event`, the JSON text of manifest_event.
+    """
+    rows = listed(evidence, HISTORY_MOST, exam_id)
+    text = lambda path: F.coalesce(F.get_json_object("metadata", path), F.lit(""))
+    newest = F.struct("created_at", "event_id")
+    about = rows.agg(
+        F.lit(exam_id).alias("examId"), F.coalesce(F.max_by(text("$.examCode"), newest), F.lit("")).alias("examCode"),
+        F.coalesce(F.max_by(text("$.examStartedAt"), newest), F.lit("")).alias("examStartedAt"), F.count(F.lit(1)).alias("eventCount"),
+    )
+    student = F.coalesce(F.nullif(text("$.student.id"), F.lit("")), F.lit("unknown"))
+    return about, rows.select("event_id", "created_at", student.alias("student_id"), manifest_event(F.col("event_id"), F.col("metadata")).alias("event"))
+
+
+def active_tab(tabs: DataFrame) -> DataFrame:
+    """Per browser (client_id) the tab to capture: the first active one that can be captured, tabs of the focused window first.
+
+    tabs: client_id, window_id, focused, place (of the tab in the order of windows and tabs), active, url.
+    """
+    usable = tabs.where(F.col("active") & F.coalesce(F.col("url").rlike(r"(?i)^https?://"), F.lit(False)))
+    order = F.struct((~F.coalesce("focused", F.lit(False))).alias("behind"), "place")
+    rest = [c for c in tabs.columns if c != "client_id"]
+    return usable.groupBy("client_id").agg(F.min_by(F.struct(*rest), order).alias("t")).select("client_id", "t.*")
 
 
 def download_name(student_id: Column, reason: Column, event_id: Column) -> Column:

@@ -128,6 +128,50 @@ def reply_flags(reply: Column, role: Column, turn: Column, max_turns: Column, mi
     )
 
 
+def reply_reasons(reply: Column, role: Column, turn: Column, max_turns: Column, min_turns: Column, least: int = 10) -> Column:
+    """All that is wrong with one generated reply, in order: short_or_empty, no_question, direct_answer."""
+    tutor = F.coalesce(role == "assistant", F.lit(False))
+    return _reasons(
+        _when(F.coalesce(T.is_short(reply, least), F.lit(True)), "short_or_empty"),
+        _when(tutor & ~T.asks(reply) & ~_closing(turn, max_turns, min_turns), "no_question"),
+        _when(tutor & T.gives_answer(reply), "direct_answer"),
+    )
+
+
+def _closing(turn: Column, max_turns: Column, min_turns: Column) -> Column:
+    return (turn == max_turns) & (turn >= min_turns)
+
+
+#: Counters of what was found wrong with replies, by its reason.
+DETECTED = {"short_or_empty": "short_or_empty_reply_detected", "no_question": "tutor_no_question_detected", "direct_answer": "tutor_direct_answer_detected"}
+
+
+def qc_flags(attempts: DataFrame, least: int = 10) -> DataFrame:
+    """Per dialogue (_key) the counters of its replies' quality gates, and `error` of the first reply without a good attempt.
+
+    attempts: _key, turn (from 1), role, attempt (from 0), reply, max_turns, min_turns. Every attempt that
+    something is wrong with is a retry; of a reply, attempts end with the first good one. The error names
+    the reply's speaker and the reasons of its last attempt.
+    """
+    judged = attempts.withColumn("_r", reply_reasons(F.col("reply"), F.col("role"), F.col("turn"), F.col("max_turns"), F.col("min_turns"), least))
+    tutor, bad = F.col("role") == "assistant", F.size("_r") > 0
+    closing = tutor & ~T.asks(F.col("reply")) & _closing(F.col("turn"), F.col("max_turns"), F.col("min_turns"))
+    replies = judged.groupBy("_key", "turn", "role").agg(
+        F.count_if(bad).alias("bad"), F.count_if(~bad).alias("good"), F.count_if(closing).alias("closing"), F.max_by(F.array_join("_r", ","), "attempt").alias("last"),
+        *(F.count_if(F.array_contains("_r", r)).alias(name) for r, name in DETECTED.items()),
+    )
+    name = F.when(tutor, "tutor").otherwise("student")
+    place = F.struct("turn", tutor.alias("late"))
+    lost = F.col("good") == 0
+    return replies.groupBy("_key").agg(
+        F.coalesce(F.sum(F.when(~tutor, F.col("bad"))), F.lit(0)).alias("student_retry_count"),
+        F.coalesce(F.sum(F.when(tutor, F.col("bad"))), F.lit(0)).alias("tutor_retry_count"),
+        *(F.sum(n).alias(n) for n in DETECTED.values()),
+        F.sum("closing").alias("tutor_closing_without_question"),
+        F.min_by(F.when(lost, F.concat(name, F.lit("_reply_quality_error: "), "last")), F.when(lost, place)).alias("error"),
+    )
+
+
 def quarantine(records: DataFrame, reasons: str = "reasons") -> tuple[DataFrame, DataFrame]:
     """(valid, invalid): records without and with reasons; the invalid ones list each reason once, sorted."""
     valid = records.where(F.size(reasons) == 0).drop(reasons)

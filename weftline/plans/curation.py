@@ -66,7 +66,7 @@ _SIMHASH = f"""tok AS (SELECT doc_id, unnest({_TOKENS}) AS w FROM documents),
 
 def _simhashes(spark, sf_dir):
     words = _docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("words"), F.sha1(T.sanitise(F.col("text"))).alias("fingerprint"))
-    return D.with_simhash(words, "doc_id", "words").select("doc_id", _profile().alias("profile"), "simhash", "fingerprint")
+    return D.with_simhash(words, "words").select("doc_id", _profile().alias("profile"), "simhash", "fingerprint")
 
 
 @query(f"WITH {_SIMHASH} SELECT doc_id, simhash FROM sim")
@@ -74,15 +74,26 @@ def simhash64(spark, sf_dir):
     return _simhashes(spark, sf_dir).select("doc_id", "simhash")
 
 
-@query(f"""WITH {_SIMHASH}, p AS (SELECT {_P} AS profile, doc_id, simhash FROM sim)
+#: Rows of equal hashes are one; pairs are of their first rows.
+_HASHES = f"p AS (SELECT {_P} AS profile, doc_id, simhash FROM sim), k AS (SELECT profile, simhash, min(doc_id) AS doc_id, count(*) AS members FROM p GROUP BY profile, simhash)"
+
+
+@query(f"""WITH {_SIMHASH}, {_HASHES}
     SELECT x.profile, x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.simhash, y.simhash))::INT AS distance
-    FROM p x JOIN p y ON x.profile = y.profile AND x.doc_id < y.doc_id WHERE bit_count(xor(x.simhash, y.simhash)) <= 3""")
+    FROM k x JOIN k y ON x.profile = y.profile AND x.doc_id < y.doc_id WHERE bit_count(xor(x.simhash, y.simhash)) <= 3""")
 def near_dup_pairs(spark, sf_dir):
-    rows = durable(_simhashes(spark, sf_dir).select("profile", F.col("doc_id").alias("ord"), "simhash"))
-    return dedup.near_pairs(rows, 3)
+    rows = _simhashes(spark, sf_dir).select("profile", F.col("doc_id").alias("ord"), "simhash")
+    return dedup.near_pairs(durable(dedup.representatives(rows)), 3)
+
 
+@query(f"WITH {_SIMHASH}, {_HASHES} SELECT p.profile, p.doc_id, k.doc_id AS representative, members FROM p JOIN k ON k.profile = p.profile AND k.simhash = p.simhash")
+def near_dup_members(spark, sf_dir):
+    rows = _simhashes(spark, sf_dir).select("profile", F.col("doc_id").alias("ord"), "simhash")
+    first = dedup.representatives(rows).withColumnRenamed("ord", "representative")
+    return rows.join(first, ["profile", "simhash"]).select("profile", F.col("ord").alias("doc_id"), "representative", "members")
 
-@query(f"""WITH RECURSIVE {_SIMHASH}, p AS (
+
+_GREEDY = f"""{_SIMHASH}, p AS (
         SELECT {_P} AS profile, doc_id, simhash, sha1({SAN_TEXT}) AS fp, row_number() OVER (PARTITION BY {_P} ORDER BY doc_id) AS i FROM sim JOIN documents USING (doc_id)
     ), g AS (
         SELECT profile, i, doc_id, [simhash] AS kept, [fp] AS fps, 'kept' AS status, NULL::INT AS distance FROM p WHERE i = 1
@@ -93,12 +104,36 @@ def near_dup_pairs(spark, sf_dir):
                CASE WHEN list_contains(g.fps, p.fp) THEN 'exact_duplicate' WHEN len(list_filter(g.kept, lambda k: bit_count(xor(k, p.simhash)) <= 3)) > 0 THEN 'near_duplicate' ELSE 'kept' END,
                CASE WHEN list_contains(g.fps, p.fp) THEN 0 ELSE bit_count(xor(list_filter(g.kept, lambda k: bit_count(xor(k, p.simhash)) <= 3)[1], p.simhash))::INT END
         FROM g JOIN p ON p.profile = g.profile AND p.i = g.i + 1
-    ) SELECT profile, doc_id, status, distance FROM g""")
+    )"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT profile, doc_id, status, distance FROM g")
 def greedy_dedup(spark, sf_dir):
     rows = durable(_simhashes(spark, sf_dir).withColumnRenamed("doc_id", "ord"))
     return dedup.greedy(rows, durable, 3).select("profile", F.col("ord").alias("doc_id"), "status", "distance")
 
 
+#: Judged candidates made of documents: what a verdict is after duplicates, the profile's gate and quotas.
+@query(f"""WITH RECURSIVE {_GREEDY}, j AS (
+        SELECT g.*, CASE quality WHEN 1 THEN 'pass' WHEN 0 THEN 'fail' ELSE CASE WHEN doc_id % 2 = 0 THEN 'pass' ELSE 'review' END END AS judged, doc_id % 13 = 0 AS wrong FROM g LEFT JOIN labels USING (doc_id)
+    ), v AS (
+        SELECT *, CASE WHEN wrong OR status <> 'kept' THEN 'fail' ELSE judged END AS verdict,
+            'n' || CASE WHEN wrong THEN ' | profile_noncompliant' ELSE '' END || CASE status WHEN 'exact_duplicate' THEN ' | exact_duplicate' WHEN 'near_duplicate' THEN ' | near_duplicate_hamming_le_3' ELSE '' END AS note FROM j
+    ), q AS (
+        SELECT *, row_number() OVER (PARTITION BY profile, verdict = 'pass' ORDER BY doc_id) <= CASE profile WHEN 'FAST' THEN 20 WHEN 'MEM' THEN 40 ELSE 100000 END AS room FROM v
+    ) SELECT profile, doc_id, verdict, CASE WHEN verdict = 'pass' AND room THEN 'passed' ELSE 'failed' END AS outcome, note || CASE WHEN verdict = 'pass' AND NOT room THEN ' | quota_reached' ELSE '' END AS note,
+        CASE WHEN status = 'near_duplicate' THEN distance END AS duplicate_distance FROM q""")
+def judged_outcomes(spark, sf_dir):
+    rows = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    model = F.when(F.col("quality") == 1, "pass").when(F.col("quality") == 0, "fail").when(F.col("doc_id") % 2 == 0, "pass").otherwise("review")
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    candidates = rows.select(
+        _profile().alias("profile"), F.col("doc_id").alias("ord"), messages.alias("messages"), model.alias("verdict"), F.lit("n").alias("note"), (F.col("doc_id") % 13 != 0).alias("compliant")
+    )
+    done = quota.finished(candidates, {"FAST": 20, "MEM": 40, "SLOW": 100_000}, durable, distance=3)
+    return done.select("profile", F.col("ord").alias("doc_id"), "verdict", "outcome", "note", "duplicate_distance")
+
+
 # records made of documents and labels -----------------------------------------
 
 #: Records whose keys collide: three documents or so share a key.
@@ -145,7 +180,8 @@ def content_dedup(spark, sf_dir):
 
 
 _PASSED = "p AS (SELECT (doc_id % 200) || '_' || " + _P + " AS _key, quality AS src_idx, doc_id AS line_no FROM labels)"
-_DLG = "d AS (SELECT (doc_id % 250) || '_' || " + _P + " AS _key, doc_id AS line_no, source AS topic, lang AS system FROM documents WHERE doc_id % 7 <> 0)"
+#: Questions whose number leaves 7 when divided by 23 have no dialogues of their own.
+_DLG = "d AS (SELECT (CASE WHEN doc_id % 250 % 23 = 7 THEN 1000 ELSE 0 END + doc_id % 250) || '_' || " + _P + " AS _key, doc_id AS line_no, source AS topic, lang AS system FROM documents)"
 
 
 def _passed(spark, sf_dir):
@@ -153,8 +189,8 @@ def _passed(spark, sf_dir):
 
 
 def _dialogues(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where("doc_id % 7 <> 0")
-    return rows.select(F.concat_ws("_", (F.col("doc_id") % 250).cast("string"), _profile()).alias("_key"), F.col("doc_id").alias("line_no"), F.col("source").alias("topic"), F.col("lang").alias("system"))
+    q = F.col("doc_id") % 250
+    return _docs(spark, sf_dir).select(F.concat_ws("_", (F.when(q % 23 == 7, 1000).otherwise(0) + q).cast("string"), _profile()).alias("_key"), F.col("doc_id").alias("line_no"), F.col("source").alias("topic"), F.col("lang").alias("system"))
 
 
 @query(f"""WITH {_PASSED}, {_DLG}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _key ORDER BY line_no) AS rn FROM d) WHERE rn = 1)
@@ -217,21 +253,15 @@ def profile_counts(spark, sf_dir):
     return reports.profile_counts(_records(spark, sf_dir))
 
 
-@query("SELECT count(*) AS read, count(*) AS written, TRUE AS balanced FROM documents")
-def reconcile_split(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id")
-    return reports.reconcile(rows, rows.where("doc_id % 10 = 0"), rows.where("doc_id % 10 <> 0"))
-
-
 # candidates, quotas, coverage --------------------------------------------------
 
 
-@query("SELECT qi, profile, qi || '_' || profile AS _key FROM (SELECT DISTINCT conv_id AS qi FROM conversations WHERE conv_id >= 5 AND conv_id < 85), (SELECT unnest(['FAST', 'MEM', 'SLOW']) AS profile) "
+@query("SELECT qi, profile, qi || '_' || profile AS _key FROM (SELECT DISTINCT conv_id AS qi FROM conversations), (SELECT unnest(['FAST', 'MEM', 'SLOW']) AS profile) "
        "WHERE qi || '_' || profile NOT IN (SELECT conv_id || '_' || ['FAST', 'MEM', 'SLOW'][(conv_id % 3 + 1)::INT] FROM conversations WHERE conv_id % 2 = 0)")
 def candidates_todo(spark, sf_dir):
     made = records(spark, sf_dir)
     questions = made.select(F.col("conv_id").alias("qi"))
-    return quota.not_done(quota.candidates(questions, first=5, most=80), made.where("conv_id % 2 = 0")).select("qi", "profile", "_key")
+    return quota.not_done(quota.candidates(questions), made.where("conv_id % 2 = 0")).select("qi", "profile", "_key")
 
 
 _ORDER = "('0x' || substr(md5('42:' || {0}), 1, 15))::BIGINT"
@@ -257,15 +287,15 @@ def quota_admission(spark, sf_dir):
     return quota.admit(rows.where("conv_id % 10 <> 0"), quota.plan(50), rows.where("conv_id % 10 = 0")).select("conv_id", "profile", "admitted")
 
 
-_COVER = """made AS (SELECT doc_id % 150 AS qi, list_distinct(list(CASE WHEN doc_id % 17 = 0 THEN 'OTHER' ELSE """ + _P + """ END)) AS m FROM documents WHERE doc_id < 200 GROUP BY 1),
-    c AS (SELECT p_partkey AS qi, p_brand AS category, list_filter(['FAST', 'MEM', 'SLOW'], lambda x: NOT list_contains(coalesce(m, []), x)) AS missing, coalesce(m, []) AS m FROM part LEFT JOIN made ON qi = p_partkey WHERE p_partkey < 400),
+_COVER = """made AS (SELECT doc_id % 400 AS qi, list_distinct(list(CASE WHEN doc_id % 17 = 0 THEN 'OTHER' ELSE """ + _P + """ END)) AS m FROM documents GROUP BY 1),
+    c AS (SELECT p_partkey AS qi, p_brand AS category, list_filter(['FAST', 'MEM', 'SLOW'], lambda x: NOT list_contains(coalesce(m, []), x)) AS missing, coalesce(m, []) AS m FROM part LEFT JOIN made ON qi = p_partkey),
     cov AS (SELECT qi, category, list_contains(m, 'FAST') AS "FAST", list_contains(m, 'MEM') AS "MEM", list_contains(m, 'SLOW') AS "SLOW", array_to_string(missing, ',') AS missing,
         CASE WHEN len(missing) = 0 THEN 'tam' WHEN len(m) > 0 THEN 'kısmi' ELSE 'üretilmedi' END AS status FROM c)"""
 
 
 def _coverage(spark, sf_dir):
-    questions = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("qi"), F.col("p_brand").alias("category"))
-    made = _docs(spark, sf_dir).where("doc_id < 200").select(F.concat_ws("_", (F.col("doc_id") % 150).cast("string"), F.when(F.col("doc_id") % 17 == 0, "OTHER").otherwise(_profile())).alias("_key"))
+    questions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qi"), F.col("p_brand").alias("category"))
+    made = _docs(spark, sf_dir).select(F.concat_ws("_", (F.col("doc_id") % 400).cast("string"), F.when(F.col("doc_id") % 17 == 0, "OTHER").otherwise(_profile())).alias("_key"))
     return C.coverage(questions, made)
 
 
@@ -279,6 +309,15 @@ def coverage_totals(spark, sf_dir):
     return _coverage(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_COVER}, t AS (SELECT qi AS line_no, status FROM cov WHERE status <> 'tam') SELECT line_no, status, row_number() OVER (ORDER BY status <> 'üretilmedi', line_no) AS place FROM t")
+def task_priority(spark, sf_dir):
+    tasks = _coverage(spark, sf_dir).where(F.col("status") != C.FULL).select(F.col("qi").alias("line_no"), "status")
+    keyed = C.task_order(tasks).withColumn("one", F.col("place.late"))
+    late = tasks.where(F.col("status") == C.NONE).agg(F.count(F.lit(1)).alias("early"))
+    ranked = quota.ranked(keyed, ["one"], "line_no", "rank").crossJoin(F.broadcast(late))
+    return ranked.select("line_no", "status", (F.col("rank") + F.when(F.col("one") == 1, F.col("early")).otherwise(0)).alias("place"))
+
+
 # splits ------------------------------------------------------------------------
 
 
@@ -302,7 +341,7 @@ def label_split_counts(spark, sf_dir):
     return rows.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "val").alias("val"))
 
 
-_GROUPS = f"""g AS (SELECT doc_id % 120 AS question, {_P} AS profile, CASE WHEN doc_id % 29 = 0 THEN '_' ELSE '' END || (doc_id % 120) || '_' || {_P} AS _key, doc_id FROM documents WHERE doc_id % 4 <> 1),
+_GROUPS = f"""g AS (SELECT doc_id % 121 AS question, {_P} AS profile, CASE WHEN doc_id % 29 = 0 THEN '_' ELSE '' END || (doc_id % 121) || '_' || {_P} AS _key, doc_id FROM documents),
     q AS (SELECT question, array_to_string(list_sort(list_distinct(list(profile))), '') || '|error=' || max(CASE WHEN _key LIKE '\\_%' ESCAPE '\\' THEN 1 ELSE 0 END) AS bucket FROM g GROUP BY question),
     z AS (SELECT *, count(*) OVER (PARTITION BY bucket) AS n, row_number() OVER (PARTITION BY bucket ORDER BY {_ORDER.format('question')}) AS rn FROM q),
     y AS (SELECT *, round_even(n * 0.1, 0)::BIGINT AS t, round_even(n * 0.1, 0)::BIGINT AS v FROM z),
@@ -312,9 +351,9 @@ _GROUPS = f"""g AS (SELECT doc_id % 120 AS question, {_P} AS profile, CASE WHEN
 
 def _groups(spark, sf_dir):
     doc = F.col("doc_id")
-    rows = _docs(spark, sf_dir).where("doc_id % 4 <> 1")
-    key = F.concat(F.when(doc % 29 == 0, "_").otherwise(""), F.concat_ws("_", (doc % 120).cast("string"), _profile()))
-    return split.by_question(rows.select("doc_id", (doc % 120).alias("question"), _profile().alias("profile"), key.alias("_key")))
+    rows = _docs(spark, sf_dir)
+    key = F.concat(F.when(doc % 29 == 0, "_").otherwise(""), F.concat_ws("_", (doc % 121).cast("string"), _profile()))
+    return split.by_question(rows.select("doc_id", (doc % 121).alias("question"), _profile().alias("profile"), key.alias("_key")))
 
 
 @query(f"WITH {_GROUPS} SELECT doc_id, g.question, split FROM g JOIN sp ON sp.question = g.question")
@@ -327,9 +366,24 @@ def group_split_counts(spark, sf_dir):
     return _groups(spark, sf_dir).groupBy("split").agg(F.count_distinct("question").alias("questions"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("SELECT 0::BIGINT AS shared_questions")
+#: A split by profile alone: its questions are in both parts.
+_LEAKY = f"""{_TYPED}, o AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY {_ORDER.format('_key')}) AS rn, count(*) OVER (PARTITION BY profile) AS n FROM ty),
+    sp AS (SELECT doc_id, doc_id % 121 AS question, CASE WHEN rn <= CASE WHEN n > 1 THEN least(greatest(round_even(n * 0.1, 0)::BIGINT, 1), n - 1) ELSE 1 END THEN 'val' ELSE 'train' END AS split FROM o)"""
+
+
+def _leaky(spark, sf_dir):
+    return split.by_profile(_typed(spark, sf_dir)).withColumn("question", F.col("doc_id") % 121)
+
+
+@query(f"WITH {_LEAKY} SELECT question, count(DISTINCT split) AS splits FROM sp GROUP BY question HAVING count(DISTINCT split) > 1")
 def leakage_check(spark, sf_dir):
-    return split.overlaps(_groups(spark, sf_dir), "question").agg(F.count(F.lit(1)).alias("shared_questions"))
+    return split.overlaps(_leaky(spark, sf_dir), "question")
+
+
+@query(f"WITH {_LEAKY}, w AS (SELECT * FROM sp WHERE split = 'val' OR doc_id % 50 <> 3) SELECT (SELECT count(*) FROM sp) AS read, count(*) AS written, count(*) = (SELECT count(*) FROM sp) AS balanced FROM w")
+def reconcile_split(spark, sf_dir):
+    rows = _leaky(spark, sf_dir)
+    return reports.reconcile(rows, rows.where("split = 'val'"), rows.where("split = 'train' AND doc_id % 50 <> 3"))
 
 
 # verdicts ----------------------------------------------------------------------
@@ -420,12 +474,45 @@ def criteria_verdict(spark, sf_dir):
     return rows.select("doc_id", T.lenient_bool(F.col("a")).alias("truth"), verdict.alias("verdict"), note.alias("note"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'critic_api' WHEN doc_id % 7 = 0 THEN 'critic_parse' WHEN doc_id % 4 = 0 THEN 'verdict_api' WHEN doc_id % 9 = 0 THEN 'verdict_parse' ELSE 'done' END AS stage FROM documents""")
+#: A critic's and a judge's replies to documents: some are missing, some can't be parsed, and scores are checked.
+_STAGED = f"""{_JUDGED}, c AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN '{{}}' END AS critic FROM documents WHERE doc_id % 5 <> 0),
+    r AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN '{{}}' END AS reply, CASE WHEN doc_id % 11 = 0 THEN 'bad score; worse' END AS wrong FROM documents WHERE doc_id % 4 <> 0),
+    st AS (SELECT v.doc_id, verdict, CASE WHEN c.doc_id IS NULL THEN 'critic_api' WHEN critic IS NULL THEN 'critic_parse' WHEN r.doc_id IS NULL THEN 'verdict_api' WHEN reply IS NULL THEN 'verdict_parse'
+        WHEN wrong IS NOT NULL THEN 'schema_validation' ELSE 'done' END AS stage, wrong FROM v LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id))"""
+
+
+def _staged(spark, sf_dir):
+    keys = _judged(spark, sf_dir).select(F.col("doc_id").alias("_key"), "verdict")
+    critics = keys.where("_key % 5 <> 0").select("_key", F.when(F.col("_key") % 7 != 0, "{}").alias("body"))
+    errors = F.when(F.col("_key") % 11 == 0, F.array(F.lit("bad score"), F.lit("worse"))).otherwise(F.array().cast("array<string>"))
+    verdicts = keys.where("_key % 4 <> 0").select("_key", F.when(F.col("_key") % 9 != 0, "{}").alias("body"), errors.alias("errors"))
+    return judge.two_stage(keys, critics, verdicts)
+
+
+@query(f"WITH {_STAGED} SELECT doc_id, stage, CASE WHEN stage = 'schema_validation' THEN wrong END AS error FROM st")
 def judge_stages(spark, sf_dir):
-    keys = _docs(spark, sf_dir).select(F.col("doc_id").alias("_key"))
-    critics = keys.where("_key % 5 <> 0").withColumn("body", F.when(F.col("_key") % 7 != 0, "{}"))
-    verdicts = keys.where("_key % 4 <> 0").withColumn("body", F.when(F.col("_key") % 9 != 0, "{}"))
-    return judge.two_stage(keys, critics, verdicts).select(F.col("_key").alias("doc_id"), "stage")
+    return _staged(spark, sf_dir).select(F.col("_key").alias("doc_id"), "stage", "error")
+
+
+@query(f"WITH {_STAGED} SELECT stage, count(*) AS n FROM st WHERE stage <> 'done' GROUP BY stage")
+def error_stages(spark, sf_dir):
+    return judge.top_stages(_staged(spark, sf_dir))
+
+
+@query(f"""WITH {_JUDGED}, m AS (SELECT v.*, CASE quality WHEN 1 THEN 'pass' WHEN 0 THEN 'fail' END AS model, CASE quality WHEN 0 THEN 'düşük' END AS confidence, CASE WHEN doc_id % 3 = 1 THEN 'yüksek' END AS ambiguity FROM v LEFT JOIN labels USING (doc_id))
+    SELECT count(*) FILTER (coalesce(model, '?') <> verdict) AS overridden, count(*) FILTER (confidence = 'düşük' AND verdict = 'fail') AS unsure_fails, count(*) FILTER (ambiguity = 'yüksek' AND verdict = 'review') AS ambiguous_reviews FROM m""")
+def outcome_report(spark, sf_dir):
+    rows = _judged(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    differs, _ = judge.overridden(F.when(F.col("quality") == 1, "pass").when(F.col("quality") == 0, "fail"), F.col("verdict"))
+    return judge.outcome_report(rows.select("verdict", differs.alias("disagreement"), F.when(F.col("quality") == 0, "düşük").alias("confidence"), F.when(F.col("doc_id") % 3 == 1, "yüksek").alias("ambiguity")))
+
+
+@query(f"""WITH {_JUDGED}, p AS (SELECT doc_id, verdict, CASE WHEN doc_id % 5 = 0 THEN 'profile_hint_missing:' || profile END AS issue, CASE WHEN doc_id % 2 = 0 THEN 'seen' END AS told FROM v)
+    SELECT doc_id, CASE WHEN issue IS NOT NULL THEN 'fail' ELSE verdict END AS verdict, CASE WHEN issue IS NULL THEN told ELSE concat_ws(' | ', told, issue) END AS note FROM p""")
+def profile_gate(spark, sf_dir):
+    rows = _judged(spark, sf_dir).withColumn("issue", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("profile_hint_missing:"), "profile")))
+    verdict, note = judge.profile_gate(F.col("verdict"), F.when(F.col("doc_id") % 2 == 0, "seen"), F.col("issue"))
+    return rows.select("doc_id", verdict.alias("verdict"), note.alias("note"))
 
 
 # parsing -----------------------------------------------------------------------
@@ -494,20 +581,19 @@ def error_kinds(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.error_kind(F.when(doc % 3 == 0, "declared"), F.when(doc % 3 == 1, "bad JSON here").otherwise("other"), F.lit("ValueError")).alias("kind"))
 
 
-@query("""SELECT doc_id AS line_no, CASE WHEN doc_id % 8 IN (0, 4, 5, 6, 7) THEN doc_id % 40 END AS qi, CASE doc_id % 8 WHEN 0 THEN 'MEM' WHEN 7 THEN 'ODD' END AS profile,
-    CASE doc_id % 8 WHEN 1 THEN 'bad_json' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'missing_fields:missing,qi' WHEN 4 THEN 'missing_not_a_filled_list' WHEN 5 THEN 'qi_out_of_range' WHEN 6 THEN 'missing_not_a_filled_list' WHEN 7 THEN 'unknown_profile' END AS error,
-    CASE doc_id % 8 WHEN 0 THEN (doc_id % 40) || '_MEM' WHEN 7 THEN '__invalid__line' || doc_id || '__qi' || (doc_id % 40) || '__profileODD' ELSE '__invalid__line' || doc_id || '__qi' || CASE WHEN doc_id % 8 IN (4, 5, 6) THEN (doc_id % 40)::VARCHAR ELSE 'NA' END || '__profileNA' END AS _key
-    FROM documents WHERE doc_id % 16 <> 8 AND NOT (doc_id % 8 = 5 AND doc_id % 40 < 5)""")
+#: Lines of a coverage file by what is wrong with them; those of case 5 count up to 79, twice the number of questions.
+@query("""WITH l AS (SELECT doc_id AS line_no, doc_id % 8 AS c, CASE WHEN doc_id % 8 = 5 THEN doc_id % 80 ELSE doc_id % 40 END AS q FROM documents WHERE doc_id % 16 <> 8),
+    e AS (SELECT *, CASE c WHEN 1 THEN 'bad_json' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'missing_fields:missing,qi' WHEN 4 THEN 'missing_not_a_filled_list' WHEN 5 THEN CASE WHEN q >= 40 THEN 'qi_out_of_range' END
+        WHEN 6 THEN 'missing_not_a_filled_list' WHEN 7 THEN 'unknown_profile' END AS error, CASE WHEN c = 0 THEN 'MEM' WHEN c = 5 AND q < 40 THEN 'FAST' WHEN c = 7 THEN 'ODD' END AS profile FROM l)
+    SELECT line_no, CASE WHEN c IN (0, 4, 5, 6, 7) THEN q END AS qi, profile, error,
+        CASE WHEN error IS NULL THEN q || '_' || profile ELSE '__invalid__line' || line_no || '__qi' || CASE WHEN c IN (4, 5, 6, 7) THEN q::VARCHAR ELSE 'NA' END || '__profile' || coalesce(profile, 'NA') END AS _key FROM e""")
 def dead_letters(spark, sf_dir):
-    doc, qi = F.col("doc_id").cast("string"), (F.col("doc_id") % 40).cast("string")
     case = F.col("doc_id") % 8
+    qi = (F.col("doc_id") % F.when(case == 5, 80).otherwise(40)).cast("string")
     full = lambda status, missing: F.concat(F.lit('{"status":"' + status + '","missing":' + missing + ',"qi":'), qi, F.lit("}"))
     line = (
         F.when(F.col("doc_id") % 16 == 8, full("tam", "[]")).when(case == 0, full("kısmi", '["MEM","MEM"]')).when(case == 1, "{bad")
         .when(case == 2, "[1]").when(case == 3, '{"status":"kısmi"}').when(case == 4, full("kısmi", "[]"))
         .when(case == 5, full("üretilmedi", '["FAST"]')).when(case == 6, full("kısmi", '"x"')).otherwise(full("kısmi", '["ODD"]'))
     )
-    lines = _docs(spark, sf_dir).where("NOT (doc_id % 8 = 5 AND doc_id % 40 < 5)").select(F.col("doc_id").alias("line_no"), line.alias("value"))
-    # questions 0 to 39 exist for all but the lines of case 5, whose numbers count from the bank's end
-    bad = C.dead_letters(lines.where("line_no % 8 = 5"), 5)
-    return C.dead_letters(lines.where("line_no % 8 <> 5"), 40).unionByName(bad)
+    return C.dead_letters(_docs(spark, sf_dir).select(F.col("doc_id").alias("line_no"), line.alias("value")), 40)

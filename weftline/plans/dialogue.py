@@ -208,6 +208,27 @@ def reply_gates(spark, sf_dir):
     return t.select("conv_id", "turn", V.reply_flags(F.col("text"), F.col("role"), F.col("turn"), F.lit(5), F.lit(3), least=40).alias("flag"))
 
 
+#: Each conversation's turns as one attempt at a reply, and every fifth turn as a second attempt at the one before.
+_TRIES = f"""WITH a AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN turn - 1 ELSE turn END AS turn, CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END AS attempt, turn % 3 = 0 AS tutor, text FROM conversations),
+    r AS (SELECT *, length(trim(text)) < 40 AS short, tutor AND NOT contains(text, '?') AND NOT turn = 5 AS mute, tutor AND NOT contains(text, '?') AND turn = 5 AS closing,
+        tutor AND regexp_matches({SAN_TEXT}, 'cevap şu|cevap su|doğru cevap|dogru cevap|nihai cevap') AS told FROM a),
+    w AS (SELECT *, short OR mute OR told AS bad, concat_ws(',', CASE WHEN short THEN 'short_or_empty' END, CASE WHEN mute THEN 'no_question' END, CASE WHEN told THEN 'direct_answer' END) AS why FROM r),
+    g AS (SELECT conv_id, turn, tutor, bool_and(bad) AS lost, arg_max(why, attempt) AS why FROM w GROUP BY conv_id, turn, tutor)"""
+
+
+@query(f"""{_TRIES}, l AS (SELECT conv_id, arg_min(CASE WHEN tutor THEN 'tutor' ELSE 'student' END || '_reply_quality_error: ' || why, (turn, tutor)) AS error FROM g WHERE lost GROUP BY conv_id)
+    SELECT conv_id, count(*) FILTER (bad AND NOT tutor) AS student_retry_count, count(*) FILTER (bad AND tutor) AS tutor_retry_count, count(*) FILTER (short) AS short_or_empty_reply_detected,
+        count(*) FILTER (mute) AS tutor_no_question_detected, count(*) FILTER (told) AS tutor_direct_answer_detected, count(*) FILTER (closing) AS tutor_closing_without_question, any_value(l.error) AS error
+    FROM w LEFT JOIN l USING (conv_id) GROUP BY conv_id""")
+def reply_qc(spark, sf_dir):
+    turn = F.col("turn")
+    attempts = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("_key"), F.when(turn % 5 == 4, turn - 1).otherwise(turn).alias("turn"), F.when(turn % 5 == 4, 1).otherwise(0).alias("attempt"),
+        F.when(turn % 3 == 0, "assistant").otherwise("user").alias("role"), F.col("text").alias("reply"), F.lit(5).alias("max_turns"), F.lit(3).alias("min_turns"),
+    )
+    return V.qc_flags(attempts, least=40).withColumnRenamed("_key", "conv_id")
+
+
 @query(f"SELECT conv_id, turn, (text IS NOT NULL AND trim(text) <> '') AS filled, contains(text, '?') AS asks, regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]') AS turkish, regexp_matches({SAN_TEXT}, 'cevap şu|cevap su|doğru cevap|dogru cevap|nihai cevap') AS leaks FROM conversations")
 def text_predicates(spark, sf_dir):
     text = F.col("text")

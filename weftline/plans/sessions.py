@@ -107,31 +107,36 @@ def dashboard_counters(spark, sf_dir):
     return S.dashboard(rows)
 
 
-@query(f"""WITH {_E}, r AS (SELECT event_id, ts + to_seconds((event_id * 7 % 40)::INT) AS done_at, value > 40 AS suspicious FROM e WHERE event_id % 5 <> 0
+#: Every tenth event arrives twice.
+_TWICE = "tw AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE event_id % 10 = 3)"
+
+
+def _twice(events):
+    return events.unionByName(events.where("event_id % 10 = 3"))
+
+
+@query(f"""WITH {_E}, {_TWICE}, r AS (SELECT event_id, ts + to_seconds((event_id * 7 % 40)::INT) AS done_at, value > 40 AS suspicious FROM e WHERE event_id % 5 <> 0
         UNION ALL SELECT event_id, ts + to_seconds((event_id % 25)::INT), FALSE FROM e WHERE event_id % 6 = 0),
     j AS (SELECT e.event_id, min(r.done_at) AS done_at FROM e LEFT JOIN r ON r.event_id = e.event_id AND r.done_at >= e.ts AND r.done_at <= e.ts + INTERVAL 20 SECONDS GROUP BY e.event_id)
-    SELECT event_id, done_at, done_at IS NULL AS timed_out FROM j""")
+    SELECT event_id, done_at, done_at IS NULL AS timed_out FROM tw JOIN j USING (event_id)""")
 def analysis_timeout(spark, sf_dir):
     e = _events(spark, sf_dir)
     later = lambda n: F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("decimal(18,6)"))
     first = e.where("event_id % 5 <> 0").select("event_id", later(F.col("event_id") * 7 % 40).alias("done_at"), (F.col("value") > 40).alias("suspicious"))
     second = e.where("event_id % 6 = 0").select("event_id", later(F.col("event_id") % 25).alias("done_at"), F.lit(False).alias("suspicious"))
-    return S.timed_out(e.select("event_id", "ts"), first.unionByName(second)).select("event_id", "done_at", "timed_out")
+    return S.timed_out(_twice(e).select("event_id", "ts"), first.unionByName(second)).select("event_id", "done_at", "timed_out")
 
 
 @query(f"""WITH {_E}, l AS (SELECT student_id, max(ts) AS last_seen, arg_max(CASE WHEN reason = 'manual' THEN 'left' ELSE 'active' END, (ts, event_id)) AS state FROM e GROUP BY student_id)
     SELECT student_id, last_seen, CASE WHEN state = 'active' AND last_seen < (SELECT max(ts) FROM e) - INTERVAL 1 DAY THEN 'idle' ELSE state END AS status FROM l""")
 def presence_idle(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("state", F.when(F.col("reason") == "manual", "left").otherwise("active"))
-    now = e.agg(F.max("ts").alias("now"))
-    rows = S.presence(e, F.lit(None).cast("timestamp"), 86400).drop("status")
-    last = e.groupBy("student_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
-    stale = (F.col("state") == "active") & (F.col("last_seen") < F.col("now") - F.expr("INTERVAL 1 DAY"))
-    return rows.join(last, "student_id").crossJoin(F.broadcast(now)).select("student_id", "last_seen", F.when(stale, "idle").otherwise(F.col("state")).alias("status"))
+    now = e.agg(F.max("ts")).first()[0]
+    return S.presence(e, F.lit(now).cast(e.schema["ts"].dataType), 86400)
 
 
 #: One attempt after the other, per address, as the rule is stated.
-@query(f"""WITH RECURSIVE {_E}, a AS (SELECT student_id % 5 AS addr, event_id, epoch_us(ts) / 3e9 AS t, event_id % 37 = 0 AS good, row_number() OVER (PARTITION BY student_id % 5 ORDER BY ts, event_id) AS i FROM e),
+@query(f"""WITH RECURSIVE {_E}, {_TWICE}, a AS (SELECT student_id % 5 AS addr, event_id, epoch_us(ts) / 3e9 AS t, event_id % 37 = 0 AS good, row_number() OVER (PARTITION BY student_id % 5 ORDER BY ts, event_id) AS i FROM tw),
     s AS (SELECT addr, i, event_id, FALSE AS blocked, CASE WHEN good THEN []::DOUBLE[] ELSE [t] END AS held FROM a WHERE i = 1
         UNION ALL SELECT a.addr, a.i, a.event_id, len(list_filter(s.held, lambda x: x >= a.t - 60)) >= 10,
             CASE WHEN len(list_filter(s.held, lambda x: x >= a.t - 60)) >= 10 THEN list_filter(s.held, lambda x: x >= a.t - 60) WHEN a.good THEN []::DOUBLE[] ELSE list_append(list_filter(s.held, lambda x: x >= a.t - 60), a.t) END
@@ -140,23 +145,23 @@ def presence_idle(spark, sf_dir):
 def login_throttle(spark, sf_dir):
     # three thousand times faster than the table's clock, so that attempts crowd
     fast = F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) / 3000).cast("long"))
-    e = _events(spark, sf_dir).select("event_id", fast.alias("ts"), (F.col("student_id") % 5).alias("addr"), (F.col("event_id") % 37 == 0).alias("flag"))
+    e = _twice(_events(spark, sf_dir)).select("event_id", fast.alias("ts"), (F.col("student_id") % 5).alias("addr"), (F.col("event_id") % 37 == 0).alias("flag"))
     return S.throttled(e).select("event_id", "blocked")
 
 
-@query(f"""WITH RECURSIVE {_E}, a AS (SELECT student_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY student_id ORDER BY ts, event_id) AS i FROM e),
+@query(f"""WITH RECURSIVE {_E}, {_TWICE}, a AS (SELECT student_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY student_id ORDER BY ts, event_id) AS i FROM tw),
     s AS (SELECT student_id, i, event_id, TRUE AS emitted, t AS last FROM a WHERE i = 1
         UNION ALL SELECT a.student_id, a.i, a.event_id, a.t - s.last >= 43200, CASE WHEN a.t - s.last >= 43200 THEN a.t ELSE s.last END FROM s JOIN a ON a.student_id = s.student_id AND a.i = s.i + 1)
     SELECT event_id, emitted FROM s""")
 def capture_cooldown(spark, sf_dir):
-    return S.cooled_down(_events(spark, sf_dir), 43200).select("event_id", "emitted")
+    return S.cooled_down(_twice(_events(spark, sf_dir)), 43200).select("event_id", "emitted")
 
 
-@query(f"""WITH {_E}, f AS (SELECT student_id, ts, reason <> 'window_unfocused' AS focused, lag(reason <> 'window_unfocused') OVER (PARTITION BY student_id ORDER BY ts) AS b FROM e),
-    c AS (SELECT *, lead(ts) OVER (PARTITION BY student_id ORDER BY ts) AS until FROM f WHERE b IS NULL OR b <> focused)
+@query(f"""WITH {_E}, f AS (SELECT student_id, ts, reason <> 'window_unfocused' AS focused, event_id, lag(reason <> 'window_unfocused') OVER (PARTITION BY student_id ORDER BY ts, event_id) AS b FROM e),
+    c AS (SELECT *, lead(ts) OVER (PARTITION BY student_id ORDER BY ts, event_id) AS until FROM f WHERE b IS NULL OR b <> focused)
     SELECT student_id, ts AS since, until FROM c WHERE NOT focused AND (until IS NULL OR until >= ts + INTERVAL 3 SECONDS)""")
 def unfocus_episodes(spark, sf_dir):
-    return S.unfocus_episodes(_events(spark, sf_dir).select("student_id", "ts", (F.col("reason") != "window_unfocused").alias("focused")))
+    return S.unfocus_episodes(_events(spark, sf_dir).select("student_id", "ts", "event_id", (F.col("reason") != "window_unfocused").alias("focused")))
 
 
 @query(f"WITH {_E}, l AS (SELECT *, lag(tab_url) OVER (PARTITION BY student_id ORDER BY ts, event_id) AS b FROM e) SELECT event_id, student_id AS tab_id, tab_url AS url FROM l WHERE b IS NULL OR b <> tab_url")
@@ -219,23 +224,23 @@ def history_items(spark, sf_dir):
 
 
 @query(f"""WITH {_VOTES}, n AS (SELECT * FROM sm ORDER BY ts DESC, event_id DESC LIMIT 1000)
-    SELECT 'exam' || exam_id AS exam_id, coalesce(arg_max(CASE WHEN event_id % 3 = 0 THEN 'C' || event_id END, (ts, event_id)) FILTER (event_id % 3 = 0), '') AS exam_code, arg_max(mode, (ts, event_id)) AS mode, max(ts) AS last_event_at,
+    SELECT 'exam' || exam_id AS exam_id, coalesce(arg_max(CASE WHEN event_id % 3 = 0 THEN 'C' || event_id END, (ts, event_id)) FILTER (event_id % 3 = 0), '') AS exam_code, arg_max(mode, (ts, event_id)) AS mode, max(ts) AS last_event_at, arg_max(CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts - INTERVAL 1 HOUR END, (ts, event_id)) FILTER (event_id % 4 <> 0) AS started_at,
         count(*) AS event_count, count(*) FILTER (status = 'suspicious') AS suspicious_count FROM n WHERE exam_id <> 2 GROUP BY exam_id""")
 def exam_history_rollup(spark, sf_dir):
     rows = _smoothed(spark, sf_dir).select(
         "event_id", F.col("ts").alias("created_at"), F.when(F.col("exam_id") != 2, F.concat(F.lit("exam"), F.col("exam_id").cast("string"))).alias("exam_id"),
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("C"), F.col("event_id").cast("string"))).otherwise("").alias("exam_code"),
-        F.lit(None).cast("timestamp").alias("started_at"), "mode", "status", F.lit(False).alias("suspicious"),
+        F.when(F.col("event_id") % 4 != 0, F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("started_at"), "mode", "status", F.lit(False).alias("suspicious"),
     )
-    return S.exam_history(rows).drop("started_at")
+    return S.exam_history(rows)
 
 
-_EXAMS = """cm AS (SELECT ts, CASE WHEN event_type = 'signup' THEN 'start' ELSE 'stop' END AS action, 'x' || event_id AS exam_id, (30 + event_id % 600) AS minutes FROM events WHERE event_id % 100 < 7 AND event_type IN ('signup', 'error')),
-    ex AS (SELECT exam_id, ts AS started_at, least(ts + to_minutes(minutes::INT), coalesce(nx, ts + to_minutes(minutes::INT))) AS ended_at FROM (SELECT *, lead(ts) OVER (ORDER BY ts) AS nx FROM cm) WHERE action = 'start')"""
+_EXAMS = """cm AS (SELECT ts, CASE WHEN event_type = 'signup' THEN 'start' ELSE 'stop' END AS action, 'x' || event_id AS exam_id, (30 + event_id % 600) AS minutes FROM events WHERE event_type IN ('signup', 'error')),
+    ex AS (SELECT exam_id, ts AS started_at, least(ts + to_minutes(minutes::INT), coalesce(nx, ts + to_minutes(minutes::INT))) AS ended_at FROM (SELECT *, lead(ts) OVER (ORDER BY ts, exam_id) AS nx FROM cm) WHERE action = 'start')"""
 
 
 def _exams(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 100 < 7 AND event_type IN ('signup', 'error')")
+    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error')")
     commands = e.select("ts", F.when(F.col("event_type") == "signup", "start").otherwise("stop").alias("action"), F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("exam_id"), (30 + F.col("event_id") % 600).cast("int").alias("minutes"))
     return S.exam_intervals(commands)
 
@@ -283,28 +288,64 @@ def blacklist_join(spark, sf_dir):
     return S.blacklisted(installed, blacklist).select("extension", "installed_name", "blacklist_name")
 
 
-@query("""SELECT user_id AS student_id, ts, substr(CASE WHEN event_id % 3 = 0 THEN 'client_alert' ELSE event_type END, 1, 80) AS type, CASE WHEN event_id % 3 = 0 THEN 'client_alert' ELSE event_type END AS reason, substr(props, 1, 1000) AS details,
-    CASE WHEN event_id % 5 = 0 THEN 'clean' ELSE 'suspicious' END AS analysis_status, 'ŞÜPHELİ' AS verdict, props AS agent_reason FROM events""")
+@query("""WITH a AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'client_alert' ELSE event_type END AS kind, CASE WHEN event_id % 4 = 1 THEN '' ELSE repeat(props, 60) END AS d, epoch_us(ts) AS us FROM events)
+    SELECT substr(sha256(concat_ws('|', user_id::VARCHAR, us::VARCHAR, kind, d)), 1, 32) AS event_id, user_id AS student_id, ts, substr(kind, 1, 80) AS type,
+    substr(CASE WHEN event_id % 6 = 1 THEN repeat('r', 90) ELSE kind END, 1, 80) AS reason, substr(d, 1, 1000) AS details, substr(repeat('u', (event_id % 30 * 100)::INT), 1, 2000) AS tab_url,
+    CASE WHEN event_id % 2 = 0 THEN substr(repeat('t', (event_id % 900)::INT), 1, 500) ELSE '' END AS tab_title, least(event_id % 70, 50) AS n_extensions,
+    CASE WHEN event_id % 5 = 0 THEN 'clean' ELSE 'suspicious' END AS analysis_status, 'ŞÜPHELİ' AS verdict, CASE WHEN d = '' THEN 'Kural tabanlı alarm.' ELSE d END AS agent_reason FROM a""")
 def alert_normalise(spark, sf_dir):
-    none = F.lit(None).cast("string")
+    none, eid = F.lit(None).cast("string"), F.col("event_id")
     alerts = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("student_id"), "ts", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).otherwise("").alias("type"), none.alias("reason"), F.col("props").alias("details"),
-        none.alias("tab_url"), none.alias("tab_title"), F.when(F.col("event_id") % 5 == 0, "clean").alias("analysis_status"), F.lit("").alias("verdict"), none.alias("agent_reason"),
+        F.col("user_id").alias("student_id"), "ts", F.when(eid % 3 != 0, F.col("event_type")).otherwise("").alias("type"), F.when(eid % 6 == 1, F.repeat(F.lit("r"), F.lit(90))).alias("reason"),
+        F.when(eid % 4 != 1, F.repeat("props", F.lit(60))).alias("details"), F.repeat(F.lit("u"), (eid % 30 * 100).cast("int")).alias("tab_url"),
+        F.when(eid % 2 == 0, F.repeat(F.lit("t"), (eid % 900).cast("int"))).alias("tab_title"), F.when(eid % 70 != 0, F.array_repeat(F.lit("x"), (eid % 70).cast("int"))).alias("extensions"),
+        F.when(eid % 5 == 0, "clean").alias("analysis_status"), F.lit("").alias("verdict"), none.alias("agent_reason"),
     )
-    return S.alerts_normalised(alerts).drop("event_id", "tab_url", "tab_title")
+    made = S.alerts_normalised(alerts)
+    return made.withColumn("n_extensions", F.size("extensions").cast("long")).drop("extensions")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'mine' ELSE 'E1' END AS exam_id, event_type AS kind FROM events""")
+#: Half of the payloads name their exam themselves, one of them by null; all have nested values.
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'mine' WHEN 2 THEN NULL ELSE 'E1' END AS exam_id, event_id % 4 <> 2 AS exam_named, '2024' AS started_at, event_type AS kind, user_id::VARCHAR AS student,
+    event_id::VARCHAR AS n, (event_id % 2 = 0)::VARCHAR AS suspicious, '[1,{"a":null}]' AS listed, FALSE AS image FROM events""")
 def evidence_metadata(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    own = F.struct(F.lit("mine").alias("examId"), F.lit("b64").alias("screenshot"), F.col("event_type").alias("kind"))
-    other = F.struct(F.lit("f.jpg").alias("filename"), F.col("event_type").alias("kind"))
-    payload = F.when(F.col("event_id") % 2 == 0, F.to_json(own)).otherwise(F.to_json(other))
+    e, eid = table(spark, sf_dir, "events"), F.col("event_id")
+    quoted = lambda name, value: F.concat(F.lit(f'"{name}":"'), value.cast("string"), F.lit('"'))
+    exam = F.when(eid % 4 == 0, '"examId":"mine",').when(eid % 4 == 2, '"examId":null,').otherwise("")
+    payload = F.concat(
+        F.lit("{"), exam, F.lit('"screenshot":"b64","filename":"f.jpg","l":[1,{"a":null}],'), quoted("kind", F.col("event_type")), F.lit(',"n":'), eid.cast("string"),
+        F.lit(',"suspicious":'), (eid % 2 == 0).cast("string"), F.lit(',"student":{'), quoted("id", F.col("user_id")), F.lit("}}"),
+    )
     made = e.select("event_id", S.evidence_metadata(payload, F.lit("E1"), F.lit("2024"), F.lit("CODE")).alias("m"))
-    return made.select("event_id", F.get_json_object("m", "$.examId").alias("exam_id"), F.get_json_object("m", "$.kind").alias("kind"))
+    at = lambda path: F.get_json_object("m", path)
+    return made.select(
+        "event_id", at("$.examId").alias("exam_id"), (~F.contains("m", F.lit('"examId":null'))).alias("exam_named"), at("$.examStartedAt").alias("started_at"), at("$.kind").alias("kind"),
+        at("$.student.id").alias("student"), at("$.n").alias("n"), at("$.suspicious").alias("suspicious"), at("$.l").alias("listed"), F.contains("m", F.lit("b64")).alias("image"),
+    )
+
+
+@query("""SELECT event_id, '{"active":' || (user_id % 2 = 0)::VARCHAR || ',"name":"' || event_type || '","minutes":' || event_id || '}' AS state FROM events""")
+def public_state(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    code = F.when(F.col("event_id") % 3 > 0, ',"exam_code":"S3"').otherwise("")
+    state = F.concat(F.lit('{"active":'), (F.col("user_id") % 2 == 0).cast("string"), code, F.lit(',"name":"'), F.col("event_type"), F.lit('","minutes":'), F.col("event_id").cast("string"), F.lit("}"))
+    return e.select("event_id", S.public_state(state).alias("state"))
+
+
+#: Browsers of six windows or so: a student's events are tabs.
+@query(f"""WITH {_E}, t AS (SELECT student_id AS client_id, event_id % 6 AS window_id, event_id % 6 = 4 AS focused, event_id AS place, event_id % 3 <> 1 AS active, CASE WHEN event_id % 5 = 0 THEN 'chrome://newtab' ELSE tab_url END AS url FROM e)
+    SELECT client_id, window_id, place, url FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY focused DESC, place) AS n FROM t WHERE active AND starts_with(url, 'http')) WHERE n = 1""")
+def active_tab(spark, sf_dir):
+    eid = F.col("event_id")
+    url = F.when(eid % 5 == 0, "chrome://newtab").otherwise(F.col("tab_url"))
+    tabs = _events(spark, sf_dir).select(F.col("student_id").alias("client_id"), (eid % 6).alias("window_id"), (eid % 6 == 4).alias("focused"), eid.alias("place"), (eid % 3 != 1).alias("active"), url.alias("url"))
+    return S.active_tab(tabs).select("client_id", "window_id", "place", "url")
 
 
-@query(f"WITH {_EV} SELECT exam_id, event_count FROM (SELECT 'exam' || exam AS exam_id, count(*) AS event_count FROM ev GROUP BY exam)")
+@query(f"""WITH {_EV}, x AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, event_id DESC) AS n FROM ev WHERE exam = 2 QUALIFY n <= 1000)
+    SELECT event_id, event_id AS listed_id, 'exam2' AS exam_id, kind, 'unknown' AS student_id, (SELECT count(*) FROM x) AS event_count, '' AS exam_code FROM x""")
 def export_manifest(spark, sf_dir):
-    rows = _evidence(spark, sf_dir).groupBy(F.get_json_object("metadata", "$.examId").alias("exam_id"))
-    return rows.agg(F.count(F.lit(1)).alias("event_count"))
+    about, events = S.manifest(_evidence(spark, sf_dir), "exam2")
+    at = lambda path: F.get_json_object("event", path)
+    listed = events.select("event_id", at("$.eventId").alias("listed_id"), at("$.examId").alias("exam_id"), at("$.kind").alias("kind"), "student_id")
+    return listed.crossJoin(F.broadcast(about.select(F.col("eventCount").alias("event_count"), F.col("examCode").alias("exam_code"))))

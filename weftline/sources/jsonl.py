@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.utils import AnalysisException
 
+from weftline.functions import messages as M
+
 MESSAGES = "array<struct<role:string,content:string>>"
 #: The fields of a dialogue record that operators read.
 DIALOGUE = (
@@ -44,21 +47,34 @@ def read_keys(spark: SparkSession, *paths: str) -> DataFrame:
     return lines.select(key.alias("_key")).where("_key IS NOT NULL").distinct()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and line_no (from 1, blank lines counted) of the lines of one text file.
+
+    A line's number is that of the file's blocks before its own, and its place in the block: only one row for
+    each block is ordered as a whole, and the lines stay where they are read.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("block", (before - F.col("first") + 1).alias("shift"))
+    return lines.join(starts, "block").select("value", (F.col("at") + F.col("shift")).alias("line_no"))
+
+
 def read_ordered(spark: SparkSession, paths: list[str], schema: str = DIALOGUE) -> DataFrame:
-    """Records with src_path, src_idx (place of the file in `paths`) and line_no (from 1, blank lines counted).
+    """Records with src_path, src_idx (place of the file in `paths`), line_no (from 1, blank lines counted) and msg_hash.
 
-    Line numbers come from the order of the file's splits; they are gapless within a file.
+    msg_hash is the hash of the messages' contents, null without messages; of records without such a field, of the line.
     """
     found = None
     for i, path in enumerate(paths):
-        numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-        lines = spark.createDataFrame(numbered, "value string, line_no long")
-        one = lines.select(F.lit(path).alias("src_path"), F.lit(i).alias("src_idx"), "line_no", "value")
+        one = numbered_lines(spark, path).select(F.lit(path).alias("src_path"), F.lit(i).alias("src_idx"), "line_no", "value")
         found = one if found is None else found.unionByName(one)
     if found is None:
         raise ValueError("no input files")
     parsed = found.where(F.btrim("value") != "").withColumn("r", F.from_json("value", schema, {"mode": "FAILFAST"}))
-    return parsed.select("r.*", "src_path", "src_idx", "line_no")
+    has_messages = "messages" in parsed.schema["r"].dataType.fieldNames()
+    msg_hash = M.content_hash(F.col("r.messages")) if has_messages else F.sha1("value")
+    return parsed.select("r.*", "src_path", "src_idx", "line_no", msg_hash.alias("msg_hash"))
 
 
 def read_array(spark: SparkSession, path: str, item: str, first: int = 0, most: int | None = None) -> DataFrame:
@@ -82,13 +98,20 @@ def write(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_both(rows: DataFrame, path: str) -> None:
-    """JSON Lines under lines/, and array/ whose single file is an array: brackets around comma-led lines."""
+    """JSON Lines under lines/, and array/ whose every file is a JSON array of its partition's records."""
     write(rows, f"{path}/lines")
-    ordered = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"), F.monotonically_increasing_id().alias("o"))
-    first = ordered.agg(F.min("o").alias("f"))
-    lines = ordered.crossJoin(F.broadcast(first)).select("o", F.concat(F.when(F.col("o") == F.col("f"), "").otherwise(","), F.col("value")).alias("value"))
-    ends = rows.sparkSession.createDataFrame([(-1, "["), (2**62, "]")], "o long, value string")
-    lines.unionByName(ends).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(f"{path}/array")
+
+    def arrays(batches):
+        mark = "["
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            if values:
+                yield pa.RecordBatch.from_pydict({"value": [mark + values[0], *("," + v for v in values[1:])]})
+                mark = ","
+        yield pa.RecordBatch.from_pydict({"value": ["]" if mark == "," else "[]"]})
+
+    objects = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    objects.mapInArrow(arrays, "value string").write.mode("overwrite").text(f"{path}/array")
 
 
 def write_by(rows: DataFrame, path: str, column: str = "verdict") -> None:

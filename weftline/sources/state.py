@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,12 +65,107 @@ def jdbc_options(url: str, table: str) -> dict[str, str]:
     return options | {k: v for k, v in (("user", parts.username), ("password", parts.password)) if v}
 
 
+def with_retries(action, attempts: int = 3, delay: float = 1.0, wait=time.sleep):
+    """The action's result; it is tried so many times, with a fixed delay between."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return action()
+        except Exception:
+            if not left:
+                raise
+            wait(delay)
+
+
+def upsert_sql(table: str, key: str, columns: list[str], mark: str = "%s") -> str:
+    """INSERT ... ON CONFLICT DO UPDATE of all columns: the last write of a key wins."""
+    others = ", ".join(f"{c} = excluded.{c}" for c in columns if c != key)
+    return f"INSERT INTO {table} ({', '.join(columns)}) VALUES ({', '.join([mark] * len(columns))}) ON CONFLICT ({key}) DO UPDATE SET {others}"
+
+
+def upsert(rows: DataFrame, connect, table: str, key: str, order: str, mark: str = "%s", batch: int = 1000, attempts: int = 3, delay: float = 1.0) -> None:
+    """Writes the last row (by `order`) of each key into a database table, by each partition in batches and transactions of its own.
+
+    `connect` opens a connection of Python's database interface inside the tasks; `mark` is its placeholder.
+    A batch that fails is tried again with a new connection; since the last write wins, repeating one changes nothing.
+    """
+    columns = [c for c in rows.columns if c != order]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in columns if c != key)), order).alias("r")).select(key, "r.*").select(*columns)
+    statement = upsert_sql(table, key, columns, mark)
+
+    def write(partition):
+        held = []
+
+        def put():
+            connection = connect()
+            try:
+                connection.cursor().executemany(statement, held)
+                connection.commit()
+            finally:
+                connection.close()
+
+        for row in partition:
+            held.append(tuple(bytes(v) if isinstance(v, bytearray) else v for v in row))
+            if len(held) >= batch:
+                with_retries(put, attempts, delay)
+                held = []
+        if held:
+            with_retries(put, attempts, delay)
+
+    last.foreachPartition(write)
+
+
+class SnapshotTable:
+    """Named JSON snapshots in a database table (key, payload, updated_at), the last write winning. `connect` as for `upsert`."""
+
+    def __init__(self, connect, table: str = "snapshots", mark: str = "%s", attempts: int = 3, delay: float = 1.0):
+        self.connect, self.table, self.mark, self.attempts, self.delay = connect, table, mark, attempts, delay
+
+    def _run(self, statement: str, values: tuple) -> list:
+        def once():
+            connection = self.connect()
+            try:
+                cursor = connection.cursor()
+                cursor.execute(statement, values)
+                found = cursor.fetchall() if cursor.description else []
+                connection.commit()
+                return found
+            finally:
+                connection.close()
+
+        return with_retries(once, self.attempts, self.delay)
+
+    def create(self) -> None:
+        self._run(f"CREATE TABLE IF NOT EXISTS {self.table} (key TEXT PRIMARY KEY, payload TEXT NOT NULL, updated_at TIMESTAMP NOT NULL)", ())
+
+    def save(self, key: str, payload: str) -> None:
+        statement = (
+            f"INSERT INTO {self.table} (key, payload, updated_at) VALUES ({self.mark}, {self.mark}, CURRENT_TIMESTAMP) "
+            "ON CONFLICT (key) DO UPDATE SET payload = excluded.payload, updated_at = excluded.updated_at"
+        )
+        self._run(statement, (key, payload))
+
+    def load(self, key: str) -> str:
+        found = self._run(f"SELECT payload FROM {self.table} WHERE key = {self.mark}", (key,))
+        return found[0][0] if found else "{}"
+
+
 def export(evidence: DataFrame, path: str, exam_id: str) -> None:
-    """An exam's manifest (one line: id, count, and then events in files of their own) and a folder for each student."""
-    chosen = evidence.where(F.get_json_object("metadata", "$.examId") == exam_id)
-    student = F.coalesce(F.get_json_object("metadata", "$.student.id"), F.lit("unknown"))
-    name = sessions.download_name(student, F.coalesce(F.get_json_object("metadata", "$.reason"), F.get_json_object("metadata", "$.type")), F.col("event_id"))
-    named = chosen.select(sessions.T.safe_name(student, "unknown").alias("student"), name.alias("name"), "event_id", "metadata", "image", "mime_type")
-    chosen.agg(F.lit(exam_id).alias("examId"), F.count(F.lit(1)).alias("eventCount")).write.mode("overwrite").json(f"{path}/manifest")
-    named.drop("image").write.mode("overwrite").partitionBy("student").json(f"{path}/events")
-    named.where("image IS NOT NULL").write.mode("overwrite").partitionBy("student").parquet(f"{path}/images")
+    """An exam's archive: manifest/ (one JSON line: examId, examCode, examStartedAt, exportedAt, eventCount, events), and events/ and
+    images/ with a folder for each student, rows named as files are to be. The archive holds the newest HISTORY_MOST events.
+    """
+    about, events = sessions.manifest(evidence, exam_id)
+    # bounded: no more than HISTORY_MOST events
+    listed = events.agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros("created_at")).alias("o"), F.col("event_id").alias("i"), "event"))).alias("e"))
+    whole = about.crossJoin(listed).select("*", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["event"]), ","), F.lit("]")).alias("events")).drop("e")
+    line = F.to_json(F.struct("examId", "examCode", "examStartedAt", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("exportedAt"), "eventCount"))
+    text = F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit(',"events":'), "events", F.lit("}"))
+    whole.withColumn("line", line).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    reason = F.coalesce(F.get_json_object("metadata", "$.reason"), F.get_json_object("metadata", "$.type"))
+    named = sessions.listed(evidence, sessions.HISTORY_MOST, exam_id).select("event_id", "metadata").join(events.select("event_id", "student_id"), "event_id")
+    named = named.select(
+        sessions.T.safe_name(F.col("student_id"), "unknown").alias("student"), sessions.download_name(F.col("student_id"), reason, F.col("event_id")).alias("name"), "event_id", "metadata"
+    )
+    named.write.mode("overwrite").partitionBy("student").json(f"{path}/events")
+    images = evidence.select("event_id", "image", "mime_type").where("image IS NOT NULL AND startswith(mime_type, 'image/')")
+    suffix = F.when(F.col("mime_type") == "image/png", ".png").otherwise(".jpg")
+    images.join(named.drop("metadata"), "event_id").withColumn("name", F.concat("name", suffix)).write.mode("overwrite").partitionBy("student").parquet(f"{path}/images")

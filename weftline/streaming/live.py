@@ -1,7 +1,8 @@
 """Live operators on session events: votes, timeouts, presence, throttling and silence.
 
-Stateful operators keep a few values per student or address, in the state store; every one has a
-watermark or a timer after which its state goes.
+Stateful operators keep a few values per student or address, in the state store. All of them measure time
+by the events themselves: a watermark trails the newest event by `late`, events behind it are dropped, and
+every state has a timer after which it goes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ EVENTS = (
     "event_id string, exam_id string, student_id string, reason string, mode string, ts timestamp, tab_url string, tab_title string, "
     "active_process string, window_title string"
 )
+LATE = "10 seconds"
 
 
 def routed(events: DataFrame) -> DataFrame:
@@ -25,36 +27,46 @@ def routed(events: DataFrame) -> DataFrame:
     return sessions.routed(events)
 
 
-def _epoch(value: pd.Timestamp) -> float:
-    return pd.Timestamp(value).timestamp()
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """The rows with a watermark on ts and `_us`, the same time in microseconds, which no session time zone changes."""
+    return rows.withWatermark("ts", late).withColumn("_us", F.unix_micros("ts"))
 
 
-def votes(results: DataFrame, idle: str = "2 hours") -> DataFrame:
-    """event_id, exam_id, student_id, confirmed for voting results (exam_id, student_id, ts, event_id, suspicious), in order of time in each batch."""
+def _expire(state: GroupState, us: int, seconds: float) -> None:
+    """Sets the timer to so long after an event's time."""
+    state.setTimeoutTimestamp(max(int(us // 1000 + seconds * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def _in_order(frames) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(["_us", "event_id"])
+
+
+def votes(results: DataFrame, idle: str = "2 hours", late: str = LATE) -> DataFrame:
+    """event_id, exam_id, student_id, confirmed for voting results (exam_id, student_id, ts, event_id, suspicious), in order of time in each batch.
+
+    A student's votes are forgotten when nothing is heard for `idle`.
+    """
 
     def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        frame = _in_order(frames)
         out = []
         for vote in frame["suspicious"].fillna(False).astype(bool):
             held = [*held, int(vote)][-sessions.VOTES :]
             out.append(bool(vote and len(held) >= sessions.VOTES and sum(held) >= sessions.VOTES_NEEDED))
         state.update((held,))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        _expire(state, frame["_us"].iloc[-1], pd.Timedelta(idle).total_seconds())
         yield frame[["event_id", "exam_id", "student_id"]].assign(confirmed=out)
 
-    def guarded(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return iter(())
-        return run(key, frames, state)
-
-    return results.groupBy("exam_id", "student_id").applyInPandasWithState(
-        guarded, "event_id string, exam_id string, student_id string, confirmed boolean", "votes array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return _timed(results, late).groupBy("exam_id", "student_id").applyInPandasWithState(
+        run, "event_id string, exam_id string, student_id string, confirmed boolean", "votes array<int>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def timed_out(events: DataFrame, results: DataFrame, late: str = "10 seconds", seconds: int = sessions.TIMEOUT_SECONDS) -> DataFrame:
+def timed_out(events: DataFrame, results: DataFrame, late: str = LATE, seconds: int = sessions.TIMEOUT_SECONDS) -> DataFrame:
     """Events with their result, or null once the time is over by both watermarks (an outer interval join)."""
     e = events.withWatermark("ts", late)
     r = results.withColumnRenamed("event_id", "_event").withWatermark("done_at", late)
@@ -62,58 +74,59 @@ def timed_out(events: DataFrame, results: DataFrame, late: str = "10 seconds", s
     return e.join(r, near, "leftOuter").drop("_event")
 
 
-def presence(events: DataFrame, seconds: int = sessions.STALE_SECONDS) -> DataFrame:
+def presence(events: DataFrame, seconds: int = sessions.STALE_SECONDS, late: str = LATE) -> DataFrame:
     """student_id, status, at: each change of a student's presence from (student_id, ts, event_id, state active/left).
 
-    An active student turns idle when nothing is heard for so long (processing time); a report revives.
+    An active student turns idle once the watermark is so long past the last report, whose time `at` then is.
+    State goes with the same timer, whoever it is of: a report after it counts as a change.
     """
 
     def run(key, frames, state: GroupState):
-        before = state.get[0] if state.exists else None
+        before, last = state.get if state.exists else (None, 0)
         if state.hasTimedOut:
-            at = state.get[1]
+            state.remove()
             if before == "active":
-                state.update(("idle", at))
-                yield pd.DataFrame({"student_id": [key[0]], "status": ["idle"], "at": [pd.Timestamp(at, unit="s")]})
+                yield pd.DataFrame({"student_id": [key[0]], "status": ["idle"], "us": [last]})
             return
         out = []
-        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            if row.state != before:
-                out.append((key[0], row.state, row.ts))
-            before, at = row.state, _epoch(row.ts)
-        state.update((before, at))
-        if before == "active":
-            state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame(out, columns=["student_id", "status", "at"])
-
-    return events.groupBy("student_id").applyInPandasWithState(
-        run, "student_id string, status string, at timestamp", "status string, at double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        for row in _in_order(frames).itertuples(index=False, name=None):
+            us, now = row[0], row[2]
+            if now != before:
+                out.append((key[0], now, us))
+            before, last = now, us
+        state.update((before, int(last)))
+        _expire(state, last, seconds)
+        yield pd.DataFrame(out, columns=["student_id", "status", "us"])
+
+    changes = _timed(events, late).select("_us", "event_id", "state", "student_id", "ts").groupBy("student_id").applyInPandasWithState(
+        run, "student_id string, status string, us long", "status string, us long", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return changes.select("student_id", "status", F.timestamp_micros("us").alias("at"))
 
 
-def throttled(attempts: DataFrame) -> DataFrame:
-    """event_id, addr, blocked for attempts (addr, ts, event_id, flag: right code); state goes a minute after the last attempt."""
+def throttled(attempts: DataFrame, late: str = LATE) -> DataFrame:
+    """event_id, addr, blocked for attempts (addr, ts, event_id, flag: right code); state goes two minutes after the last attempt."""
 
     def run(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         held = list(state.get[0]) if state.exists else []
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        frame = _in_order(frames)
         out = []
-        for row in frame.itertuples():
-            t = _epoch(row.ts)
+        for us, right in zip(frame["_us"], frame["flag"], strict=True):
+            t = us / 1e6
             held = [x for x in held if x >= t - sessions.THROTTLE_SECONDS]
             stop = len(held) >= sessions.THROTTLE_ATTEMPTS
             out.append(stop)
             if not stop:
-                held = [] if row.flag else [*held, t]
+                held = [] if right else [*held, t]
         state.update((held,))
-        state.setTimeoutDuration(2 * sessions.THROTTLE_SECONDS * 1000)
+        _expire(state, frame["_us"].iloc[-1], 2 * sessions.THROTTLE_SECONDS)
         yield frame[["event_id", "addr"]].assign(blocked=out)
 
-    return attempts.groupBy("addr").applyInPandasWithState(
-        run, "event_id string, addr string, blocked boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return _timed(attempts, late).groupBy("addr").applyInPandasWithState(
+        run, "event_id string, addr string, blocked boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
