@@ -108,6 +108,14 @@ def test_packing(docs, rows):
     assert in_order == sorted(in_order)
 
 
+def test_ids_of_any_type(spark, tmp_path):
+    spark.createDataFrame([("x", "one two three four five"), (None, "one two three four five"), ("b", "one two three four six"), ("c", None)], "doc_id string, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert {(r.doc_id, r.length) for r in packing.pieces(docs).collect()} >= {("c", 1), (None, 4)}
+    got = {(r.doc_id, r.component_id) for r in ngram_join.similar_components(docs, 30).collect()}
+    assert got == {("x", "b"), (None, "b"), ("b", "b"), ("c", "c")}
+
+
 def test_fast_ids_are_the_library_s():
     fast, plain = ByteBpe(), ByteBpe(default_path())
     for text in ("it's  12 a\n\nb", "Ünïcode ß Ω", "tab\tx  ", "日本 <|endoftext|> x", "a\x0bb c", "İ ΑΣ", "don't!!  \n \n x", "ж" * 50):

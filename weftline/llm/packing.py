@@ -8,7 +8,7 @@ be numbered.
 
 Edge cases: a null text counts as empty and gives one piece holding the end id; very long texts
 give many pieces of the full length; repeated rows are packed one by one; an empty table gives an
-empty result. Columns other than doc_id and text are ignored.
+empty result. Columns other than doc_id and text are ignored; ids keep their type.
 """
 
 from __future__ import annotations
@@ -25,10 +25,7 @@ from weftline.llm.tokens import ByteBpe
 
 MAX_LENGTH = 1024
 END_ID = 0
-#: Cells in which the sequences of one bucket are numbered side by side.
-CELLS = 512
-
-_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_FIELDS = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def decompose(n: int, most: int = MAX_LENGTH) -> list[tuple[int, int]]:
@@ -47,33 +44,39 @@ def pieces(docs: DataFrame, most: int = MAX_LENGTH, path: str | None = None, kee
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
     if most < 1 or most & (most - 1):
         raise ValueError("the sequence length must be a power of two")
-    schema = _FIELDS + (", ids array<int>" if keep_ids else "")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_FIELDS}" + (", ids array<int>" if keep_ids else "")
     encoder = ByteBpe(path)
 
     def cut(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
+            out: dict[str, list] = {k: [] for k in ("at", "start", "length", "ids_crc32", "doc_tokens")}
             held: list[np.ndarray] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for at, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(encoder.ids(text or ""), np.uint32(END_ID)).astype("<u4", copy=False)
                 for start, length in decompose(len(ids), most):
                     piece = ids[start : start + length]
-                    for name, value in zip(out, (doc_id, start, length, zlib.crc32(piece.tobytes()), len(ids)), strict=True):
+                    for name, value in zip(out, (at, start, length, zlib.crc32(piece.tobytes()), len(ids)), strict=True):
                         out[name].append(value)
                     if keep_ids:
                         held.append(piece.astype(np.int32))
             columns = [pa.array(v, pa.int64()) for v in out.values()]
+            columns[0] = batch.column(0).take(columns[0])
             if keep_ids:
                 columns.append(pa.array(held, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=[*out, *["ids"] * keep_ids])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *list(out)[1:], *["ids"] * keep_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, most: int = MAX_LENGTH, path: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """The pieces with sequence_id (gapless over all buckets, shortest lengths first) and offset."""
+    """The pieces with sequence_id (gapless over all buckets, shortest lengths first) and offset.
+
+    The pieces of one length are numbered side by side in as many cells as a cell has pieces, or so: neither
+    a cell nor the table of all cells grows faster than the root of the number of pieces.
+    """
     cut = common.stored(pieces(docs, most, path, keep_ids), "pieces")
-    cell = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(CELLS)).cast("int")
+    cells = max(1, round(cut.count() ** 0.5))
+    cell = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(cells)).cast("int")
     order = [F.col(c) for c in ("doc_id", "start", "ids_crc32")]
     return (
         common.numbered(cut.withColumn("cell", cell), [], ["length", "cell"], order, "sequence_id")
