@@ -255,3 +255,9 @@ def test_exam_intervals_over_days(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     naive = {(r.exam_id, r.started_at.replace(tzinfo=None), r.ended_at.replace(tzinfo=None)) for r in got}
     assert naive == want and len({r.task for r in got}) > 1
+
+
+def test_prompts(spark):
+    row = spark.createDataFrame([("what?", "a" * 900, None)], "q string, a string, n string")
+    made = row.select(external.prompt("Q: {q} A: {reference} {n} {other}", q=F.col("q"), reference=F.col("a"), n=F.col("n")).alias("p")).first().p
+    assert made == "Q: what? A: " + "a" * 800 + "  {other}"

@@ -69,3 +69,11 @@ def test_timeouts(feed):
     results = make([("1", at(5), True), ("2", at(30), True), ("3", at(4001), False)], "event_id string, done_at timestamp, suspicious boolean", "r")
     got = {r.event_id: r.suspicious for r in run(live.timed_out(events, results), "timeouts")}
     assert got["1"] is True and got.get("3") is False and got.get("2") is None
+
+
+def test_received_lines(feed):
+    make, run = feed
+    lines = make([('{"event_id":"1","student_id":"s","ts":"2024-01-01T00:00:00Z","reason":"periodic","mode":"web"}',), ("{broken",), ('{"event_id":"2"}',)], "value string", "lines")
+    events, bad = live.received(lines)
+    got = run(live.routed(events), "received")
+    assert [(r.event_id, r.route) for r in got] == [("1", "require_vlm")] and len(run(bad, "bad")) == 2

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import messages as M
@@ -95,3 +96,10 @@ def test_messages(spark):
     assert [x.role for x in r[0].w] == ["system", "user", "assistant", "user", "assistant"]
     assert r[0].h == hashlib.sha1("\n---\n".join(["user\na", "assistant\nb?", "user\nc", "assistant\nd"]).encode()).hexdigest() and r[1].h is None
     assert [x.content for x in r[0].t] == ["a", "c", "d"] and r[0].x[0].content == "S\n\na" and r[0].c == "<|im_start|>user\na<|im_end|>\n"
+
+
+def test_keys_that_must_parse(spark):
+    fine = spark.createDataFrame([("__7_MEM",)], "k string").select(*T.key_parts_or_fail(F.col("k"))).first()
+    assert tuple(fine) == ("7", "MEM")
+    with pytest.raises(Exception, match="not a key: x_1"):
+        spark.createDataFrame([("x_1",)], "k string").select(*T.key_parts_or_fail(F.col("k"))).collect()

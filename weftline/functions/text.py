@@ -132,6 +132,12 @@ def key_parts(key: Column, prefixed: bool = False) -> tuple[Column, Column]:
     return F.when(fits, F.regexp_extract(key, form, 1)), F.when(fits, F.regexp_extract(key, form, 2))
 
 
+def key_parts_or_fail(key: Column) -> tuple[Column, Column]:
+    """(question, profile) of a key with or without leading underscores; another form ends the query with an error that names it."""
+    fail = F.raise_error(F.concat(F.lit("not a key: "), F.coalesce(key, F.lit("null"))))
+    return tuple(F.when(part.isNull(), fail.cast("string")).otherwise(part) for part in key_parts(key, True))
+
+
 def key_tail(key: Column) -> tuple[Column, Column]:
     """(question, profile) split at the last underscore, where digits stand before it."""
     form = r"^(\d+)_([^_]*)$"

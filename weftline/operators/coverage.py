@@ -63,3 +63,10 @@ def dead_letters(lines: DataFrame, n_questions: int, profiles: tuple[str, ...] =
 def task_order(tasks: DataFrame) -> DataFrame:
     """Adds `place`, by which tasks (status, line_no) are taken up: questions never produced first, then partial ones, each by line."""
     return tasks.withColumn("place", F.struct((F.col("status") != NONE).cast("int").alias("late"), F.col("line_no").cast("long").alias("line_no")))
+
+
+def with_questions(tasks: DataFrame, bank: DataFrame) -> DataFrame:
+    """Tasks and errors (qi, error) with the columns of the question at place qi of the bank; errors get none."""
+    names = [c for c in bank.columns if c != "qi"]
+    found = tasks.where("error IS NULL").join(bank, "qi", "left").select(*tasks.columns, *names)
+    return found.unionByName(tasks.where("error IS NOT NULL"), allowMissingColumns=True)

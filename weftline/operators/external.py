@@ -9,7 +9,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import ANSWER_CUES
@@ -64,6 +64,26 @@ def call(
     return rows.mapInPandas(run, "_key string, reply string, error string, attempts int")
 
 
+#: Fixed value: characters of the reference answer that a prompt may hold.
+REFERENCE_CHARS = 800
+
+
+def prompt(template: str, limits: dict[str, int] | None = None, **columns: Column) -> Column:
+    """The template with each {name} replaced by a column's text (null: empty), cut to limits[name] characters if there is one.
+
+    Of a text put in, braces stay as they are.
+    """
+    limits = {"reference": REFERENCE_CHARS} | (limits or {})
+    parts = []
+    for i, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2 and part in columns:
+            text = F.coalesce(columns[part].cast("string"), F.lit(""))
+            parts.append(F.substring(text, 1, limits[part]) if part in limits else text)
+        else:
+            parts.append(F.lit("{" + part + "}" if i % 2 else part))
+    return F.concat(*parts)
+
+
 def distinct_models(student: tuple[str, str], tutor: tuple[str, str]) -> None:
     """Refuses two agents that are one: the same model at the same base URL. Each is (base URL, model)."""
     same = [a.strip().rstrip("/").lower() == b.strip().rstrip("/").lower() for a, b in [(student[0], tutor[0])]]

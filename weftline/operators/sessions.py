@@ -30,7 +30,7 @@ THROTTLE_SECONDS, THROTTLE_ATTEMPTS = 60, 10
 UNFOCUS_SECONDS, COOLDOWN_SECONDS = 3, 7
 HISTORY_DEFAULT, HISTORY_MOST = 200, 1000
 SCREENSHOT_BYTES = 5 * 1024 * 1024
-LIMITS = {"type": 80, "reason": 80, "details": 1000, "tab_url": 2000, "tab_title": 500, "extensions": 50}
+LIMITS = {"type": 80, "reason": 80, "details": 1000, "tab_url": 2000, "tab_title": 500, "extensions": 50, "topic": 35}
 #: Commands and events are ordered within cells of so many seconds.
 CELL_SECONDS = 600
 

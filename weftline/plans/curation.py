@@ -582,11 +582,14 @@ def error_kinds(spark, sf_dir):
 
 
 #: Lines of a coverage file by what is wrong with them; those of case 5 count up to 79, twice the number of questions.
-@query("""WITH l AS (SELECT doc_id AS line_no, doc_id % 8 AS c, CASE WHEN doc_id % 8 = 5 THEN doc_id % 80 ELSE doc_id % 40 END AS q FROM documents WHERE doc_id % 16 <> 8),
+_LETTERS = """l AS (SELECT doc_id AS line_no, doc_id % 8 AS c, CASE WHEN doc_id % 8 = 5 THEN doc_id % 80 ELSE doc_id % 40 END AS q FROM documents WHERE doc_id % 16 <> 8),
     e AS (SELECT *, CASE c WHEN 1 THEN 'bad_json' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'missing_fields:missing,qi' WHEN 4 THEN 'missing_not_a_filled_list' WHEN 5 THEN CASE WHEN q >= 40 THEN 'qi_out_of_range' END
-        WHEN 6 THEN 'missing_not_a_filled_list' WHEN 7 THEN 'unknown_profile' END AS error, CASE WHEN c = 0 THEN 'MEM' WHEN c = 5 AND q < 40 THEN 'FAST' WHEN c = 7 THEN 'ODD' END AS profile FROM l)
+        WHEN 6 THEN 'missing_not_a_filled_list' WHEN 7 THEN 'unknown_profile' END AS error, CASE WHEN c = 0 THEN 'MEM' WHEN c = 5 AND q < 40 THEN 'FAST' WHEN c = 7 THEN 'ODD' END AS profile FROM l), dl AS (
     SELECT line_no, CASE WHEN c IN (0, 4, 5, 6, 7) THEN q END AS qi, profile, error,
-        CASE WHEN error IS NULL THEN q || '_' || profile ELSE '__invalid__line' || line_no || '__qi' || CASE WHEN c IN (4, 5, 6, 7) THEN q::VARCHAR ELSE 'NA' END || '__profile' || coalesce(profile, 'NA') END AS _key FROM e""")
+        CASE WHEN error IS NULL THEN q || '_' || profile ELSE '__invalid__line' || line_no || '__qi' || CASE WHEN c IN (4, 5, 6, 7) THEN q::VARCHAR ELSE 'NA' END || '__profile' || coalesce(profile, 'NA') END AS _key FROM e)"""
+
+
+@query(f"WITH {_LETTERS} SELECT * FROM dl")
 def dead_letters(spark, sf_dir):
     case = F.col("doc_id") % 8
     qi = (F.col("doc_id") % F.when(case == 5, 80).otherwise(40)).cast("string")
@@ -597,3 +600,9 @@ def dead_letters(spark, sf_dir):
         .when(case == 5, full("üretilmedi", '["FAST"]')).when(case == 6, full("kısmi", '"x"')).otherwise(full("kısmi", '["ODD"]'))
     )
     return C.dead_letters(_docs(spark, sf_dir).select(F.col("doc_id").alias("line_no"), line.alias("value")), 40)
+
+
+@query(f"WITH {_LETTERS} SELECT line_no, _key, p_brand AS category, p_name AS question FROM dl LEFT JOIN part ON p_partkey = qi AND error IS NULL")
+def question_lookup(spark, sf_dir):
+    bank = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qi"), F.col("p_brand").alias("category"), F.col("p_name").alias("question"))
+    return C.with_questions(dead_letters(spark, sf_dir), bank).select("line_no", "_key", "category", "question")

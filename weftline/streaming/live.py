@@ -22,6 +22,13 @@ EVENTS = (
 LATE = "10 seconds"
 
 
+def received(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, bad lines) of JSON texts (value) as they arrive; an event must have its id, student and time."""
+    parsed = lines.select("value", F.from_json("value", EVENTS).alias("e"))
+    good = F.coalesce(F.col("e.event_id").isNotNull() & F.col("e.student_id").isNotNull() & F.col("e.ts").isNotNull(), F.lit(False))
+    return parsed.where(good).select("e.*"), parsed.where(~good).select("value")
+
+
 def routed(events: DataFrame) -> DataFrame:
     """Routing has no state: the batch rule serves."""
     return sessions.routed(events)
