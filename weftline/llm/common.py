@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,6 +77,20 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def cleared(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Removes, at the end of the block, the tables stored in it under other names than `kept`."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        made = _written.pop()
+        stay = [path for path in made if path.rsplit("/", 1)[1].rpartition("-")[0] in kept]
+        removed(spark, [path for path in made if path not in stay])
+        if _written:
+            _written[-1] += stay
+
+
 def stored_alone(build: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
     """The stored result of `build` and its path. Whatever else was stored on the way is removed."""
     _written.append([])
@@ -118,6 +133,24 @@ def join_split(df: DataFrame, keyed: DataFrame, on: list[str], weight: str) -> D
     return hot.unionByName(rest)
 
 
+def join_salted(df: DataFrame, keyed: DataFrame, on: str, by: str) -> DataFrame:
+    """Inner join of a stored `df` with a table of one row per key whose rows may be large, such as texts.
+
+    A heavy key's rows are dealt by a hash of the column `by` over as many copies of the key's row as their
+    number asks for; only the heavy keys' numbers, fewer than 1 / HEAVY_SHARE rows, are broadcast.
+    """
+    sizes = df.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    limit = max(LEAST_HEAVY, int(total * HEAVY_SHARE))
+    if most <= limit:
+        return df.join(keyed, on)
+    heavy = F.broadcast(sizes.where(F.col("_n") > limit).select(on, F.ceil(F.col("_n") / limit).cast("int").alias("_fan")))
+    fan, salt = F.coalesce("_fan", F.lit(1)), f"{ROW}_salt"
+    dealt = df.join(heavy, on, "left").withColumn(salt, F.pmod(F.xxhash64(by), fan).cast("int")).drop("_fan")
+    copies = keyed.join(heavy, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), fan - 1))).drop("_fan")
+    return dealt.join(copies, [on, salt]).drop(salt)
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
