@@ -110,23 +110,28 @@ def test_lm_scores(docs, rows, head, broadcast, monkeypatch):
 
 def test_lm_counts_are_exact_whatever_their_size(spark):
     n = 2**24 + 1
-    table = [(0, 1, n, 1), (1, 2, n + 2, n), (1, -5, 3, 0), (-5, 1, 2, 1), (2, 2, 1, 0)]
-    pairs = spark.createDataFrame(table, "before long, word long, n long, t long")
-    words, gains, unseen = lm_scoring.gains_of(pairs)
-    total = [sum(r[k] for r in table) for k in (3, 2)]
-    assert unseen == pytest.approx(-math.log(0.1 / 3), rel=1e-15)
-
-    def base(k, w):
-        return 0.3 * sum(r[3 - k] for r in table if r[1] == w) / total[k] + 0.1 / 3
-
-    for r in words.collect():
-        assert [r.target, r.background] == pytest.approx([math.log(base(k, r.word) / (0.1 / 3)) for k in (0, 1)], rel=1e-12)
-    got = {(r.before, r.word): (r.target, r.background) for r in gains.collect()}
-    assert got.keys() == {r[:2] for r in table[:4]}
-    for (a, b), both in got.items():
-        count = {k: next(r[3 - k] for r in table if r[:2] == (a, b)) for k in (0, 1)}
-        context = {k: max(1, sum(r[3 - k] for r in table if r[0] == a)) for k in (0, 1)}
-        assert both == pytest.approx([math.log1p(0.6 * count[k] / context[k] / base(k, b)) for k in (0, 1)], rel=1e-12)
+    words = [(1, n, 5, 2, 1), (2, n + 2, n, 0, 0), (-5, 3, 0, 1, 0)]
+    pairs = [(0, 1, n - 1, 1), (1, 2, n - 7, 4), (1, -5, 3, 0), (-5, 1, 2, 1)]
+    gains = lm_scoring.gains_of(
+        spark.createDataFrame(words, "word long, n long, t long, last_n long, last_t long"), spark.createDataFrame(pairs, "before long, word long, n long, t long")
+    )
+    total = [sum(r[k] for r in words) for k in (2, 1)]
+    assert gains[2] == pytest.approx(-math.log(0.1 / 3), rel=1e-15)
+    base = {(k, r[0]): 0.3 * r[2 - k] / total[k] + 0.1 / 3 for r in words for k in (0, 1)}
+    for r in gains[0].collect():
+        assert [r.target, r.background] == pytest.approx([math.log(base[k, r.word] / (0.1 / 3)) for k in (0, 1)], rel=1e-7)
+    context = {(k, r[0]): r[2 - k] - r[4 - k] for r in words for k in (0, 1)} | {(0, 0): 1, (1, 0): 3}
+    got = {(r.before, r.word): (r.target, r.background) for r in gains[1].collect()}
+    assert got.keys() == {r[:2] for r in pairs}
+    for r in pairs:
+        assert got[r[:2]] == pytest.approx([math.log1p(0.6 * r[3 - k] / max(1, context[k, r[0]]) / base[k, r[1]]) for k in (0, 1)], rel=1e-7)
+
+
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_lm_targets_by_broadcast_and_by_shuffle(docs, rows, broadcast):
+    flagged = lm_scoring.with_target(docs, docs.where("doc_id < 4").select("doc_id"), broadcast).collect()
+    want = collections.Counter((t, i is not None and i < 4) for i, t, *_ in rows)
+    assert collections.Counter((r.text, r.target) for r in flagged) == want
 
 
 def test_lm_without_targets(docs, empty):

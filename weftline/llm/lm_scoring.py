@@ -34,6 +34,8 @@ MIN_PAIR_COUNT = 2
 #: Words and pairs that are broadcast; all others are looked up by shuffling.
 HEAD_WORDS = 200_000
 MAX_PAIRS = 1_000_000
+#: Target ids that are broadcast while words and pairs are counted; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 #: Shares of pair, single-word and uniform probability.
 WEIGHTS = (0.6, 0.3, 0.1)
 
@@ -48,6 +50,7 @@ _U = np.uint64
 _TOP = _U(1 << 63)
 _PAIR = _U(0xA24BAED4963EE407)
 MODELS = ("target", "background")
+COUNTS = ("n", "t", "last_n", "last_t")
 
 
 @dataclass
@@ -64,24 +67,33 @@ class Models:
     keys: np.ndarray
     gains: np.ndarray
 
-    def losses(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(per-token losses as far as they are known here, pair keys, which pairs are known here)."""
-        losses = self.unseen - self.singles[:, np.maximum(word, START)]
+    def known(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair keys, which pairs are known here)."""
         key = pair_keys(before, word)
         if not len(self.keys):
-            return losses, key, np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        known = self.keys[at] == key
-        losses[:, known] -= self.gains[:, at[known]]
-        return losses, key, known
+            return key, np.zeros(len(key), bool)
+        return key, self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+
+    def losses(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Per-token losses as far as they are known here."""
+        losses = self.unseen - self.singles[:, np.maximum(word, START)]
+        key, known = self.known(before, word)
+        if known.any():
+            losses[:, known] -= self.gains[:, np.searchsorted(self.keys, key[known])]
+        return losses
+
+
+def word_numbers(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
+    number = (hashes | _TOP).view(np.int64)
+    if not len(head):
+        return number
+    at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
+    return np.where(head[at] == hashes, at + 1, number)
 
 
 def numbers(words: wordhash.Words, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(before, word): each token's number and that of the token before it in its text. head: sorted hashes of the broadcast words."""
-    word = (words.hashes | _TOP).view(np.int64)
-    if len(head):
-        at = np.minimum(np.searchsorted(head, words.hashes), len(head) - 1)
-        word = np.where(head[at] == words.hashes, at + 1, word)
+    word = word_numbers(words.hashes, head)
     before = np.empty_like(word)
     before[1:] = word[:-1]
     starts = words.first[:-1]
@@ -93,24 +105,57 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return wordhash.mix(wordhash.mix(before.view(_U) + _PAIR) * _PAIR + word.view(_U)).view(np.int64)
 
 
-def head_words(docs: DataFrame, most: int = HEAD_WORDS) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all documents; none of those that occur once."""
+def with_target(docs: DataFrame, target_ids: DataFrame, broadcast: int = BROADCAST_IDS) -> DataFrame:
+    """text, target (whether the document's id is among target_ids) of every document.
+
+    Counted ids are broadcast, so that no text moves; more than `broadcast` of them are joined by shuffling,
+    and the texts then written, since they are read twice.
+    """
+    ids = common.stored(target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(True)), "targets")
+    few = ids.count() <= broadcast
+    ids = F.broadcast(ids) if few else ids.hint("merge")
+    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_t").isNotNull().alias("target"))
+    return flagged if few else common.stored(flagged, "flagged")
+
+
+def word_counts(flagged: DataFrame) -> DataFrame:
+    """word (hash), n, last_n (how often it ends a text) in all documents, t, last_t in target documents. Stored."""
 
     def count(batches):
         for batch in batches:
-            texts = batch.column("text")
+            texts, target = batch.column("text"), np.array(batch.column("target").to_pylist(), bool)
             for low, high in wordhash.slices(texts, 3 * wordhash.SLICE):
-                word, n = np.unique(wordhash.words_of(texts.slice(low, high - low), lower=True).hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([wordhash.signed(word), pa.array(n.astype(np.int64))], names=["word", "n"])
+                words = wordhash.words_of(texts.slice(low, high - low), lower=True)
+                size, of_target = words.counts(), target[low:high]
+                word, inverse = np.unique(words.hashes, return_inverse=True)
+                last, in_target = inverse[words.first[1:][size > 0] - 1], np.repeat(of_target, size)
+                sums = (np.bincount(x, minlength=len(word)) for x in (inverse, inverse[in_target], last, last[of_target[size > 0]]))
+                yield pa.RecordBatch.from_arrays([wordhash.signed(word), *(pa.array(x.astype(np.int64)) for x in sums)], names=["word", *COUNTS])
 
-    counts = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = common.stored(counts.where("n > 1"), "words")
+    counts = flagged.mapInArrow(count, "word long, n long, t long, last_n long, last_t long")
+    return common.stored(counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
+
+
+def head_words(counts: DataFrame, most: int = HEAD_WORDS) -> np.ndarray:
+    """Sorted hashes of the most frequent words; none of those that occur once."""
     kept = common.most_frequent(counts, 2, most).select("word").toArrow()
-    return np.sort(kept.column("word").to_numpy().astype(np.int64).view(np.uint64))
+    return np.sort(kept.column("word").to_numpy().astype(np.int64).view(_U))
+
+
+def with_numbers(counts: DataFrame, head: np.ndarray) -> DataFrame:
+    """The counts with words' numbers in place of their hashes."""
+    shared = counts.sparkSession.sparkContext.broadcast(head)
+
+    def renumber(batches):
+        for batch in batches:
+            number = word_numbers(np.ascontiguousarray(batch.column("word").to_numpy()).view(_U), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(number), *(batch.column(c) for c in COUNTS)], names=["word", *COUNTS])
+
+    return common.stored(counts.select("word", *COUNTS).mapInArrow(renumber, counts.schema), "numbered")
 
 
 def pair_counts(flagged: DataFrame, head: np.ndarray) -> DataFrame:
-    """before, word, n (in all documents), t (in target documents) of every pair. flagged: text, target. Stored."""
+    """before, word, n (in all documents), t (in target documents) of every pair that occurs MIN_PAIR_COUNT times. Stored."""
     shared = flagged.sparkSession.sparkContext.broadcast(head)
 
     def merged(parts):
@@ -139,7 +184,8 @@ def pair_counts(flagged: DataFrame, head: np.ndarray) -> DataFrame:
             yield batch_of(parts)
 
     counted = flagged.select("text", "target").mapInArrow(count, "before long, word long, n long, t long")
-    return common.stored(counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pairs")
+    summed = counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return common.stored(summed.where(F.col("n") >= MIN_PAIR_COUNT), "pairs")
 
 
 def _joined(rows: DataFrame, counts: DataFrame, on: str) -> DataFrame:
@@ -152,24 +198,26 @@ def single_probability(count: Column, total: int, size: int) -> Column:
     return WEIGHTS[1] * count / F.lit(float(max(total, 1))) + F.lit(WEIGHTS[2] / max(size, 1))
 
 
-def gains_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(word gains, pair gains, the loss of an unseen word) from the stored pairs (before, word, n, t). Both stored.
+def gains_of(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(word gains, pair gains, the loss of an unseen word) from stored counts of words (word, n, t, last_n, last_t) and pairs. Both stored.
 
-    Word gains: word, target, background. Pair gains: before, word, n, target, background.
+    Word gains: word, target, background. Pair gains: before, word, n, target, background. A word is a
+    context as often as it occurs without ending a text; the start of a text is one for each text with words.
+    Counts are exact; their gains are rounded to floats here, before any part of them is broadcast or shuffled.
     """
-    counted = lambda c, n, t: pairs.groupBy(c).agg(F.sum("n").alias(n), F.sum("t").alias(t))
-    singles = common.stored(counted("word", "single_n", "single_t"), "singles")
-    size, n, t = singles.agg(F.count(F.lit(1)), F.coalesce(F.sum("single_n"), F.lit(0)), F.coalesce(F.sum("single_t"), F.lit(0))).first()
-    contexts = counted("before", "context_n", "context_t")
-    often = pairs.where(F.col("n") >= MIN_PAIR_COUNT)
+    sums = words.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(c), F.lit(0)) for c in COUNTS)).first()
+    size, n, t, starts_n, starts_t = sums
+    start = words.sparkSession.createDataFrame([(START, starts_n, starts_t)], "before long, context_n long, context_t long")
+    contexts = words.select(F.col("word").alias("before"), (F.col("n") - F.col("last_n")).alias("context_n"), (F.col("t") - F.col("last_t")).alias("context_t"))
+    singles = words.select("word", F.col("n").alias("single_n"), F.col("t").alias("single_t"))
     kinds = {"target": "t", "background": "n"} if t else dict.fromkeys(MODELS, "n")
     base = {m: single_probability(F.col(f"single_{c}"), t if c == "t" else n, size) for m, c in kinds.items()}
     unseen = WEIGHTS[2] / max(size, 1)
-    words = singles.select("word", *(F.log(base[m] / F.lit(unseen)).alias(m) for m in MODELS))
-    joined = _joined(_joined(often, common.stored(contexts, "contexts"), "before"), singles, "word")
+    word_gains = singles.select("word", *(F.log(base[m] / F.lit(unseen)).cast("float").alias(m) for m in MODELS))
+    joined = _joined(_joined(pairs, contexts.unionByName(start), "before"), singles, "word")
     gain = {m: F.log1p(WEIGHTS[0] * F.col(c) / F.greatest(F.col(f"context_{c}"), F.lit(1)) / base[m]) for m, c in kinds.items()}
-    gains = joined.select("before", "word", "n", *(gain[m].alias(m) for m in MODELS))
-    return common.stored(words, "word-gains"), common.stored(gains, "pair-gains"), float(-np.log(unseen))
+    gains = joined.select("before", "word", "n", *(gain[m].cast("float").alias(m) for m in MODELS))
+    return common.stored(word_gains, "word-gains"), common.stored(gains, "pair-gains"), float(-np.log(unseen))
 
 
 def _columns(found: pa.Table, *names: str) -> list[np.ndarray]:
@@ -181,11 +229,11 @@ def fit(docs: DataFrame, target_ids: DataFrame, max_words: int = HEAD_WORDS, max
 
     target_ids: the ids (doc_id) of target documents.
     """
-    head = head_words(docs, max_words)
-    # target ids grow with the documents: both sides are shuffled at every size
-    ids = target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(True)).hint("merge")
-    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_t").isNotNull().alias("target"))
-    words, pairs, unseen = gains_of(pair_counts(flagged, head))
+    with common.cleared(docs.sparkSession, "word-gains", "pair-gains"):
+        flagged = with_target(docs, target_ids)
+        counts = word_counts(flagged)
+        head = head_words(counts, max_words)
+        words, pairs, unseen = gains_of(with_numbers(counts, head), pair_counts(flagged, head))
     # one row per broadcast word: bounded by max_words
     number, *gains = _columns(words.where(F.col("word") > START).toArrow(), "word", *MODELS)
     singles = np.zeros((2, len(head) + 1))
@@ -238,10 +286,10 @@ def _packed_gains(gains: DataFrame, low_bits: np.uint64) -> DataFrame:
 
 
 def _gains(tails: DataFrame, words: DataFrame, pairs: DataFrame, low_bits: np.uint64) -> DataFrame:
-    """row, less_target, less_background: what the words and pairs that are not broadcast take off the losses. tails: part, keys, rows."""
+    """row, less_target, less_background: what the words and pairs that are not broadcast take off the losses. Stored. tails: part, keys, rows."""
 
     def table(parts):
-        keys, t, n = (np.frombuffer(b"".join(p[i] for p in parts), kind) for i, kind in enumerate(("<i8", "<f8", "<f8")))
+        keys, t, n = (np.frombuffer(b"".join(p[i] for p in parts), kind) for i, kind in enumerate(("<i8", "<f4", "<f4")))
         order = np.argsort(keys)
         return keys[order], t[order], n[order]
 
@@ -268,7 +316,7 @@ def _gains(tails: DataFrame, words: DataFrame, pairs: DataFrame, low_bits: np.ui
                 at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
                 hit = known[0][at] == key
                 at = at[hit]
-                held.append((np.frombuffer(rows, "<i8")[hit], known[1][at], known[2][at]))
+                held.append((np.frombuffer(rows, "<i8")[hit], known[1][at].astype("<f8"), known[2][at].astype("<f8")))
                 size += len(at)
                 if size > _GATHER:
                     yield packed_sums(held)
@@ -300,7 +348,7 @@ def _gains(tails: DataFrame, words: DataFrame, pairs: DataFrame, low_bits: np.ui
     ordered = met.repartition("part").sortWithinPartitions("part", "late").drop("late")
     changes = ordered.mapInArrow(look_up, "part long, rows binary, target binary, background binary")
     by_text = changes.repartition("part").sortWithinPartitions("part")
-    return by_text.mapInArrow(add, "row long, less_target double, less_background double")
+    return common.stored(by_text.mapInArrow(add, "row long, less_target double, less_background double"), "changes")
 
 
 def score(docs: DataFrame, models: Models, words: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -310,56 +358,52 @@ def score(docs: DataFrame, models: Models, words: DataFrame, pairs: DataFrame) -
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low_bits = _U(64 - max(4, (RANGES * partitions).bit_length()))
     tail_words, elsewhere = not words.isEmpty(), not (words.isEmpty() and pairs.isEmpty())
-    names = ["doc_id", "row", "n_tokens", "target", "background", "part", "keys", "rows"]
 
-    def run(batches):
-        held, size, kind = [], 0, pa.null()
-
-        def tails():
-            packs = _packs(low_bits, *map(np.concatenate, zip(*held)))
-            n = len(packs[0])
-            empty = [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
-            return pa.RecordBatch.from_arrays([*empty, *packs], names=names)
+    def tokens_of(batch):
+        """(rows' places, tokens of each, before, word) by slices of a batch's texts."""
+        for low, high in wordhash.slices(batch.column("text")):
+            found = wordhash.words_of(batch.column("text").slice(low, high - low), lower=True)
+            yield low, high, found.counts(), *numbers(found, shared.value.words)
 
+    def losses(batches):
         for batch in batches:
-            texts, rows, kind = batch.column("text"), batch.column("row"), batch.column("doc_id").type
-            place = rows.to_numpy()
-            for low, high in wordhash.slices(texts):
-                found = wordhash.words_of(texts.slice(low, high - low), lower=True)
-                n = found.counts()
+            for low, high, n, before, word in tokens_of(batch):
                 doc = np.repeat(np.arange(high - low), n)
-                before, word = numbers(found, shared.value.words)
-                losses, key, known = shared.value.losses(before, word)
-                sums = [np.bincount(doc, x, high - low) for x in losses]
+                sums = [np.bincount(doc, x, high - low) for x in shared.value.losses(before, word)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(low, high - low), rows.slice(low, high - low), pa.array(n.astype(np.int64)), *map(pa.array, sums),
-                        pa.nulls(high - low, pa.int64()), pa.nulls(high - low, pa.binary()), pa.nulls(high - low, pa.binary()),
-                    ],
-                    names=names,
-                )
-                if elsewhere:
-                    where = place[low:high][doc]
-                    held.append((key[~known], where[~known]))
-                    size += len(held[-1][0])
-                    if tail_words:
-                        held.append((word[word < START], where[word < START]))
-                        size += len(held[-1][0])
-                    if size > _GATHER:
-                        yield tails()
-                        held, size = [], 0
+                    [*(batch.column(c).slice(low, high - low) for c in ("doc_id", "row")), pa.array(n.astype(np.int64)), *map(pa.array, sums)],
+                    names=["doc_id", "row", "n_tokens", *MODELS],
+                )
+
+    def unknown(batches):
+        held, size = [], 0
+
+        def packed():
+            return pa.RecordBatch.from_arrays(_packs(low_bits, *map(np.concatenate, zip(*held))), names=["part", "keys", "rows"])
+
+        for batch in batches:
+            place = batch.column("row").to_numpy()
+            for low, high, n, before, word in tokens_of(batch):
+                key, known = shared.value.known(before, word)
+                where, tail = np.repeat(place[low:high], n), word < START
+                held.append((key[~known], where[~known]))
+                if tail_words:
+                    held.append((word[tail], where[tail]))
+                size += sum(len(x) for x, _ in held[-1 - tail_words :])
+                if size > _GATHER:
+                    yield packed()
+                    held, size = [], 0
         if size:
-            yield tails()
+            yield packed()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row long, n_tokens long, target double, background double, part long, keys binary, rows binary"
-    scored = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    scored = rows.mapInArrow(losses, f"doc_id {kind}, row long, n_tokens long, target double, background double")
     if elsewhere:
-        scored = common.stored(scored, "scores")
-        own = scored.where("part IS NULL").drop("part", "keys", "rows")
-        gains = _gains(scored.where("part IS NOT NULL").select("part", "keys", "rows"), words, pairs, low_bits)
-        scored = own.join(gains, "row", "left").withColumns(
-            {c: F.col(c) - F.coalesce(F.col(f"less_{c}"), F.lit(0.0)) for c in ("target", "background")}
+        # the texts are read twice, so that what travels is written once only, by the shuffle
+        gains = _gains(rows.select("row", "text").mapInArrow(unknown, "part long, keys binary, rows binary"), words, pairs, low_bits)
+        scored = scored.join(gains, "row", "left").withColumns(
+            {c: F.col(c) - F.coalesce(F.col(f"less_{c}"), F.lit(0.0)) for c in MODELS}
         )
     tokens = F.greatest("n_tokens", F.lit(1))
     means = scored.select("doc_id", "n_tokens", (F.col("target") / tokens).alias("target_loss"), (F.col("background") / tokens).alias("background_loss"))
