@@ -177,7 +177,7 @@ def pair_counts(flagged: DataFrame, head: np.ndarray) -> DataFrame:
                 of_target = np.repeat(target[low:high], words.counts())
                 parts.append(merged([(pair_keys(before, word), before, word, np.ones(len(word)), of_target.astype(float))]))
                 held += len(parts[-1][0])
-                if held > _GATHER:
+                if held > _GATHER // 3:
                     yield batch_of(parts)
                     parts, held = [], 0
         if held:
