@@ -133,6 +133,15 @@ def join_split(df: DataFrame, keyed: DataFrame, on: list[str], weight: str) -> D
     return hot.unionByName(rest)
 
 
+def anti_split(df: DataFrame, keyed: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """The rows of `df` without a row in `keyed`, which is as for `join_split`: heavy keys' rows are dropped where they are read."""
+    total, most = keyed.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    limit = max(LEAST_HEAVY, int(total * HEAVY_SHARE))
+    if most > limit:
+        df = df.join(F.broadcast(keyed.where(F.col(weight) > limit).select(*on)), on, "left_anti")
+    return df.join(keyed.where(F.col(weight) <= limit).select(*on), on, "left_anti")
+
+
 def join_salted(df: DataFrame, keyed: DataFrame, on: str, by: str) -> DataFrame:
     """Inner join of a stored `df` with a table of one row per key whose rows may be large, such as texts.
 

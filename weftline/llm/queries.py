@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, fingerprints, html_extract, language_id, lm_scoring, mixing, ngram_join, packing, sharding, substring_dedup
+from weftline.llm import exact_dedup, fingerprints, html_extract, language_id, lm_scoring, mixing, ngram_join, packing, sharding, spelling, substring_dedup, turn_repair, url_filter
 from weftline.llm.common import documents
 
 SHARDS = 40
@@ -49,6 +49,18 @@ def op10_mix(spark, sf_dir):
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op11_turn_repair(spark, sf_dir):
+    return turn_repair.repair_report(documents(spark, sf_dir, "conversations"))
+
+
+def op12_url_filter(spark, sf_dir):
+    return url_filter.judge(documents(spark, sf_dir, "pages"))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_lm_score": op2_lm_score,
@@ -60,6 +72,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_mix": op10_mix,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_url_filter": op12_url_filter,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES = {
@@ -112,4 +127,50 @@ ORACLES = {
         FROM hashed d JOIN u ON d.source IS NOT DISTINCT FROM u.source
         JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h
     """,
+    # links that are whole addresses or begin at the host's root; a component is walked from its blocked addresses
+    "op12_url_filter": r"""
+        WITH RECURSIVE rules(name, start, verdict) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), p AS (
+            SELECT row_number() OVER () AS i, page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), q AS (
+            SELECT i, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*([?][^#]*)?', 1) AS query
+            FROM p
+        ), tags AS (
+            SELECT i, host, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)|<(?:link|meta)\b[^>]*>')) AS tag FROM q
+        ), named AS (
+            SELECT i, host, trim(replace(CASE
+                       WHEN lower(tag[1:5]) = '<link' AND regexp_matches(tag, '(?is)\srel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''>]*)', 1)
+                       WHEN lower(tag[1:5]) = '<meta' AND regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)url\s*=\s*["'']?([^"''>]*)', 1)
+                   END, '&amp;', '&')) AS link
+            FROM tags
+        ), ends AS (
+            SELECT i, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(link, strpos(link, '://') + 3) WHEN starts_with(link, '//') THEN substr(link, 3) ELSE host || link END AS rest
+            FROM named WHERE regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:/)?/') AND (host <> '' OR link LIKE '%://%')
+        ), addressed AS (
+            SELECT 'page' AS kind, i, host, path, query FROM q
+            UNION ALL
+            SELECT 'link', i, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), regexp_extract(rest, '^[^?#]*([?][^#]*)?', 1) FROM ends
+        ), judged AS (
+            SELECT kind, i, host, path, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS node,
+                   (SELECT arg_max(struct_pack(rule := name || start, verdict := verdict), (length(name || start), length(name), verdict = 'allow'))
+                    FROM rules r WHERE (a.host = r.name OR ends_with(a.host, '.' || r.name)) AND starts_with(a.path, r.start)) AS d
+            FROM addressed a
+        ), edges AS (
+            SELECT DISTINCT s.node AS x, t.node AS y, s.d.verdict AS vx, t.d.verdict AS vy
+            FROM judged s JOIN judged t USING (i) WHERE s.kind = 'page' AND t.kind = 'link' AND s.host <> '' AND t.host <> ''
+        ), ways AS (
+            SELECT x, y FROM edges UNION SELECT y, x FROM edges
+        ), bad(node) AS (
+            SELECT x FROM edges WHERE vx = 'block' UNION SELECT y FROM edges WHERE vy = 'block'
+            UNION
+            SELECT ways.y FROM bad JOIN ways ON ways.x = bad.node
+        )
+        SELECT q.page_id, j.host, j.path, j.d.rule AS rule,
+               coalesce(j.d.verdict, CASE WHEN j.host <> '' AND j.node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict,
+               CASE WHEN j.d IS NOT NULL THEN 'rule' WHEN j.host <> '' AND j.node IN (SELECT node FROM bad) THEN 'alias' ELSE 'default' END AS decided_by
+        FROM q JOIN judged j USING (i) WHERE j.kind = 'page'
+    """,
 }
