@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,18 +28,24 @@ from pyspark.sql import functions as F
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S
 )
-_HINTS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 #: Elements whose content is never text of the page.
-_SKIPPED = frozenset("script style noscript template textarea title iframe svg math object select option button canvas audio video head".split())
+_SKIPPED = frozenset("script style noscript template textarea title iframe svg annotation object select option button canvas audio video head".split())
 _INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var wbr nobr acronym ruby rt rp input".split()
+    "time tt u var wbr nobr acronym ruby rt rp input math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover "
+    "munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose mmultiscripts semantics".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are closed by the next of their kind and say nothing about their content.
-_LEAVES = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 thead tbody tfoot body html".split())
+_FLOW = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are closed by the next of their kind, and the elements that this does not reach beyond.
+_LEAVES = {
+    "p": (), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",),
+    "thead": ("table",), "tbody": ("table",), "tfoot": ("table",),
+}
+_KIN = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
 _FURNITURE_TAGS = frozenset("nav aside footer form menu dialog fieldset address".split())
 _ARTICLE_TAGS = frozenset("article main".split())
 _FURNITURE = frozenset(
@@ -48,8 +55,13 @@ _FURNITURE = frozenset(
     "tags copyright toolbar search form contentinfo complementary".split()
 )
 _ARTICLE = frozenset("article content post entry story main body text".split())
-_WORDS = re.compile(r"[a-z]+")
-_FLOW = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What may stand beside such a word in a name like "main-menu" or "commentList".
+_BESIDE = frozenset(
+    "site page main top bottom left right box list bar section block wrapper wrap container area inner outer item items slot unit panel post "
+    "posts article content primary secondary global group row column col text link links icon button user reader message messages body "
+    "entry thread fixed sticky the div gpt google header".split()
+)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 #: `says`: 1 inside an article, -1 inside page furniture, 0 where no element says anything.
 FEATURES = (
@@ -77,6 +89,29 @@ LABELLED = (
 )
 
 
+@lru_cache(maxsize=4096)
+def _says(name: str) -> tuple[bool, bool]:
+    """(article, furniture) of one class, id or role: a listed word, or listed words beside neutral ones only."""
+    parts = [x.lower() for x in _PARTS.findall(name) if not x.isdigit()]
+    furniture = any(x in _FURNITURE for x in parts) and all(x in _FURNITURE or x in _BESIDE for x in parts)
+    article = not furniture and any(x in _ARTICLE for x in parts) and all(x in _ARTICLE or x in _BESIDE for x in parts)
+    return article, furniture or name == "site-header"
+
+
+def _hints(name: str, written: str) -> tuple[bool, bool]:
+    """(article, furniture) as an element's attributes say. Headings are named after what they announce and say nothing, ids of leaves likewise."""
+    article = furniture = False
+    for m in _ATTRIBUTE.finditer(written):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _NOT_SHOWN.search(value):
+            furniture = True
+        elif name not in _FLOW and (key in ("class", "role") or key in ("id", "aria-label") and name not in _LEAVES):
+            for word in value.split():
+                says = _says(word) if len(word) <= 64 else (False, False)
+                article, furniture = article or says[0], furniture or says[1]
+    return article, furniture
+
+
 @dataclass(slots=True)
 class Block:
     text: str
@@ -87,12 +122,53 @@ class Block:
     heading: bool
 
 
+class _Open:
+    """The open elements, each with whether it stands in an article and in furniture."""
+
+    def __init__(self):
+        self._stack: list[tuple[str, bool, bool]] = []
+        self._names: Counter = Counter()
+
+    @property
+    def article(self) -> bool:
+        return bool(self._stack) and self._stack[-1][1]
+
+    @property
+    def furniture(self) -> bool:
+        return bool(self._stack) and self._stack[-1][2]
+
+    def push(self, name: str, article: bool, furniture: bool) -> None:
+        self._stack.append((name, self.article or article, self.furniture or furniture))
+        self._names[name] += 1
+
+    def pop(self) -> None:
+        self._names[self._stack.pop()[0]] -= 1
+
+    def close(self, names: tuple[str, ...], beyond: tuple[str, ...] = ()) -> None:
+        """Closes the innermost element of such a name, and all within, unless one of `beyond` stands between."""
+        if not any(self._names[n] for n in names):
+            return
+        for i in range(len(self._stack) - 1, -1, -1):
+            name = self._stack[i][0]
+            if name in names:
+                while len(self._stack) > i:
+                    self.pop()
+                return
+            if name in beyond:
+                return
+
+    def close_text(self) -> None:
+        """No block stands in a paragraph or a heading: the next one ends it."""
+        while self._stack and (self._stack[-1][0] == "p" or self._stack[-1][0] in _FLOW):
+            self.pop()
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in order; blocks without words are left out."""
     found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, says article, says furniture
+    stack = _Open()
     heading = in_link = False
     at = 0
 
@@ -103,9 +179,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 links = len(_html.unescape(" ".join(linked)).split())
-                found.append(
-                    Block(text, words, min(words, links), any(x[1] for x in stack), any(x[2] for x in stack), heading)
-                )
+                found.append(Block(text, words, min(words, links), stack.article, stack.furniture, heading))
             parts.clear()
         linked.clear()
         in_link = False
@@ -146,26 +220,20 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         heading = name in _FLOW and not closing
-        if name in _VOID or name in _LEAVES and not (m[3] and not closing):
-            continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            stack.close((name,), _LEAVES.get(name, ()))
             continue
-        hints = {w for h in _HINTS.finditer(m[3]) for w in _WORDS.findall((h[1] or h[2] or h[3] or "").lower())} if m[3] else set()
-        inside = any(x[1] for x in stack)
-        furniture = name in _FURNITURE_TAGS or (name == "header" and not inside) or bool(hints & _FURNITURE) or bool(m[3] and _HIDDEN.search(m[3]))
+        stack.close_text()
+        if name in _VOID:
+            continue
+        if name in _LEAVES:
+            stack.close(_KIN.get(name, (name,)), _LEAVES[name])
+        article, furniture = _hints(name, m[3]) if m[3] else (False, False)
         if name in ("body", "html"):
             furniture = False
-        article = name in _ARTICLE_TAGS or (not furniture and name not in _LEAVES and bool(hints & _ARTICLE))
-        if name in _LEAVES:
-            if not furniture:
-                continue
-            while stack and stack[-1][0] == name:
-                stack.pop()
-        stack.append((name, article, furniture))
+        furniture = furniture or name in _FURNITURE_TAGS or (name == "header" and not stack.article)
+        plain = name in _LEAVES or name in _FLOW or name in ("body", "html")
+        stack.push(name, name in _ARTICLE_TAGS or (article and not furniture and not plain), furniture)
     flush()
     return found
 
