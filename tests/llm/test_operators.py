@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import common, exact_dedup, fingerprints, mixing, ngram_join, packing, sharding, substring_dedup
+from tests.llm.conftest import words
 from weftline.llm.tokens import ByteBpe, default_path
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -246,6 +248,8 @@ def _components(rows, percent):
         (85, {"LARGE": 2, "FREQUENT": 2}),
         (85, {"FREQUENT": 2, "LARGE": 10**9}),
         (60, {"CLASSES": 1, "FREQUENT": 2}),
+        (85, {"CLASSES": 1, "CLASS_TOKENS": 4, "FREQUENT": 2}),
+        (60, {"CLASSES": 2, "CLASS_TOKENS": 16, "FREQUENT": 2, "LARGE": 2}),
     ],
 )
 def test_ngram_join(docs, rows, percent, settings, monkeypatch):
@@ -304,6 +308,66 @@ def test_ngram_join_finds_what_single_passes_see_in_part(spark, monkeypatch):
     assert collections.Counter((i, c) for i, c in got.items()) == collections.Counter((i, c) for i, _, c in want) and got[1] == 0
 
 
+def test_ngram_signatures_grow_with_a_set_and_meet():
+    rng = np.random.default_rng(1)
+    sizes = {}
+    for n in (50_000, 400_000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        sizes[n] = len(ngram_join.signatures(x, np.ones(len(x), bool))[0])
+    assert sizes[400_000] < 9 * sizes[50_000] and sizes[400_000] < 4 * 400_000
+    # a partner at the limit of likeness, smaller by whole levels of classes too
+    for n in (30, 4000, 4096, 4100, 4700, 9000, 70_000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        y = x[np.sort(rng.permutation(len(x))[ngram_join.allowed_missing(len(x)) :])]
+        p, q = (ngram_join.signatures(s, np.ones(len(s), bool))[0] for s in (x, y))
+        assert len(np.intersect1d(p, q))
+
+
+def test_ngram_join_of_a_second_cluster_around_a_pivot(spark, tmp_path):
+    """Many texts that share a passage and one edit: near one another, too far from the group's pivot."""
+    rng = random.Random(9)
+    base = words(rng, 400, 10**6).split(" ")
+    other = base[:200] + [f"y{i}" for i in range(60)] + base[260:]
+    rows = []
+    for i in range(120):
+        text = list(base if i % 3 else other)
+        for _ in range(3):
+            text[rng.randrange(len(text))] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text), None, None))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    want, _ = _components(rows, 85)
+    got = ngram_join.similar_components(docs, 85).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_stored_tables_belong_to_their_thread(spark):
+    """What one thread clears away is its own, not what another has written meanwhile; the session's setting comes back."""
+    inside, written, done = threading.Event(), threading.Event(), {}
+
+    def first():
+        with common.cleared(spark):
+            done["own"] = common.stored(spark.range(5).toDF("a"), "first")
+            inside.set()
+            written.wait(60)
+
+    def second():
+        inside.wait(60)
+        done["kept"] = common.stored(spark.range(7).toDF("a"), "second")
+        written.set()
+
+    before = spark.conf.get(common._CLEAN_UP, "false")
+    both = [threading.Thread(target=f) for f in (first, second)]
+    for t in both:
+        t.start()
+    for t in both:
+        t.join()
+    assert done["kept"].count() == 7 and spark.conf.get(common._CLEAN_UP, "false") == before
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        done["own"].collect()
+    assert not common._writers
+
+
 def test_ngram_representatives(docs, rows):
     _, n = _components(rows, 85)
     stay = ngram_join.representatives(docs)

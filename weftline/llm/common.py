@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,8 +47,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-#: Paths that `stored` wrote, in the innermost block of `stored_alone` last.
-_written: list[list[str]] = []
+#: Paths that `stored` wrote, in the innermost block of `stored_alone` last. Each thread has its own: what one query
+#: writes is no business of another that runs beside it.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+_lock = threading.Lock()
+_writers: dict[str, tuple[int, str]] = {}
+
+
+@contextmanager
+def _eager_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as a query ends, while any thread of the session writes; the setting of before comes back after the last."""
+    own = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writers.get(own, (0, ""))
+        if not n:
+            before = spark.conf.get(_CLEAN_UP, "false")
+            spark.conf.set(_CLEAN_UP, "true")
+        _writers[own] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writers.pop(own)
+            if n > 1:
+                _writers[own] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEAN_UP, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -59,14 +86,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
     # The result is written: its shuffle files may go at once. A query that runs beside this write and
     # sees the setting only loses shuffle files that it might have used a second time.
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with _eager_cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
-    if _written:
-        _written[-1].append(path)
+    if held := _written.get():
+        held[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,24 +103,28 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
 @contextmanager
 def cleared(spark: SparkSession, *kept: str) -> Iterator[None]:
     """Removes, at the end of the block, the tables stored in it under other names than `kept`."""
-    _written.append([])
+    outer = _written.get()
+    made: list[str] = []
+    token = _written.set((*outer, made))
     try:
         yield
     finally:
-        made = _written.pop()
+        _written.reset(token)
         stay = [path for path in made if path.rsplit("/", 1)[1].rpartition("-")[0] in kept]
         removed(spark, [path for path in made if path not in stay])
-        if _written:
-            _written[-1] += stay
+        if outer:
+            outer[-1].extend(stay)
 
 
 def stored_alone(build: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
     """The stored result of `build` and its path. Whatever else was stored on the way is removed."""
-    _written.append([])
+    made: list[str] = []
+    token = _written.set((*_written.get(), made))
     try:
         done = stored(build(), name)
     finally:
-        *others, path = _written.pop() or [""]
+        _written.reset(token)
+    *others, path = made
     removed(done.sparkSession, others)
     return done, path
 
