@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -67,6 +68,56 @@ def test_language_labels_positions(spoken):
     assert collections.Counter(labels[len(a) + 40 :])["bb"] > 0.8 * (len(b) - 40)
 
 
+def plain_scores(model, text):
+    """Mean probabilities over a text's bytes, gate by gate and byte by byte; reading starts anew in each window."""
+    data, total = text.encode(), np.zeros(len(model.languages))
+    for start in range(0, len(data), language_id.WINDOW):
+        window = data[start : start + language_id.WINDOW] + bytes(max(0, start + language_id.WINDOW - len(data)))
+        states = []
+        for d in (0, 1):
+            k = model.recur[d].shape[1]
+            h, found = np.zeros(k), {}
+            for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+                a, u = model.inputs[d][:, window[t]].astype(float), model.recur[d].astype(float) @ h
+                z, r = np.clip(a[:k] + u[:k], 0, 1), np.clip(a[k : 2 * k] + u[k : 2 * k], 0, 1)
+                new = np.clip(a[2 * k :] + r * u[2 * k :], -1, 1)
+                h = found[t] = (1 - z) * new + z * h
+            states.append(found)
+        for t in range(min(len(window), len(data) - start)):
+            logits = model.bias + sum(model.out[d].astype(float) @ states[d][t] for d in (0, 1))
+            total += np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+    return total / max(1, len(data))
+
+
+def test_language_scores_equal_a_plain_reading(spoken):
+    docs, rows = spoken
+    model = language_id.fit(docs)
+    got = {r.doc_id: r for r in language_id.predict(docs.select("doc_id", "text"), model).collect()}
+    rng = random.Random(5)
+    for i, text, _ in rng.sample(rows[:240], 40) + [r for r in rows if r[0] == 903]:
+        want = plain_scores(model, text)
+        assert got[i].score == pytest.approx(want.max(), abs=1e-4)
+        assert got[i].lang_pred == model.languages[want.argmax()]
+
+
+def test_language_with_clashing_names_and_many_labels(spoken, spark, monkeypatch):
+    docs, rows = spoken
+    wide = docs.selectExpr("*", "'x' AS lang_pred", "2.0D AS score", "7 AS held_out", "1 AS n", "2 AS o", "'y' AS _known", "3 AS passage")
+    plain = collections.Counter(map(tuple, language_id.identify(docs).collect()))
+    assert collections.Counter(map(tuple, language_id.identify(wide).collect())) == plain
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    most = [lang for lang, _ in sorted(collections.Counter(x for i, t, x in rows if x and t is not None and zlib.crc32(str("" if i is None else i).encode()) % 4 != 2).items(), key=lambda p: (-p[1], p[0]))][:2]
+    assert language_id.fit(docs).languages == sorted(most)
+
+
+def test_language_learns_what_few_documents_have(spark):
+    rng = random.Random(2)
+    rows = [(i, talk(rng, "aa" if i % 40 else "bb", 60), "aa" if i % 40 else "bb") for i in range(400)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    few = [talk(rng, "bb", 40) for _ in range(30)]
+    assert sum(collections.Counter(model.label(t)).most_common(1)[0][0] == "bb" for t in few) >= 27
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert language_id.identify(docs).first().lang_pred == "und"

@@ -165,7 +165,7 @@ def test_fingerprints(docs, rows):
                 cut = len(text) // 3
                 edited = text[: len(text) - cut] + following[:cut]
                 assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-                few = [len(shingles(t)) < 32 for t in (text, edited, following)]
+                few = [len(shingles(t)) < fingerprints.LEAST for t in (text, edited, following)]
                 if few[0] and few[1]:
                     assert r.near_edited == _similar(shingles(text), shingles(edited))
                 if few[0] and few[2]:
@@ -173,7 +173,10 @@ def test_fingerprints(docs, rows):
             assert r.n_chars == len(text)
             size = len(shingles(text))
             upto, hashes = _sketch(r.fingerprint)
-            assert upto == -(2**63) + 2**64 // next(d for n, d in fingerprints.FRACTIONS if size >= n) - 1
+            # the narrowest range that leaves enough hashes
+            ends = [-(2**63) + 2**64 // d - 1 for d in fingerprints.FRACTIONS]
+            inside = [e for e in ends[:-1] if sum(h <= e for h in hashes) >= fingerprints.LEAST and e <= upto]
+            assert upto == min(inside, default=ends[-1])
             assert abs(len(hashes) - size * (upto + 2**63) / 2**64) <= 5 * size**0.5
         # both estimates follow from the strings alone
         assert r.near_edited == _likeness(_sketch(r.fingerprint), _sketch(r.edited_fingerprint))
@@ -190,6 +193,21 @@ def test_fingerprints_merge_and_contain(spark):
     assert r.c == 1.0 and abs(r.j - 396 / 5996) < 0.03 and r.m
 
 
+def test_fingerprints_merge_into_the_sketch_of_the_union(spark):
+    rng = random.Random(4)
+    sizes = [0, 1, 5, 15, 16, 17, 30, 60, 70, 127, 128, 129, 300, 1000]
+
+    def hashes(n):
+        return sorted({rng.getrandbits(64) - 2**63 for _ in range(n)})
+
+    rows = [(hashes(a), hashes(b)) for a in sizes for b in sizes]
+    rows += [(x, sorted({*x[: len(x) // 2], *y})) for x, y in rows[::3]]
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    a, b = (fingerprints.ranged(F.col(c)) for c in "ab")
+    union = fingerprints.ranged(F.sort_array(F.array_union("a", "b")))
+    assert frame.where(fingerprints.merged(a, b) == union).count() == len(rows)
+
+
 def test_one_row_follows_itself(spark):
     r = fingerprints.fingerprint_report(spark.createDataFrame([(3, "abcdef")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and r.near_next == 1.0

@@ -1,8 +1,9 @@
 """Document fingerprints by a threshold-scaled sketch.
 
 A sketch keeps every hash of a text's distinct five-word shingles that lies below a fixed fraction
-of the hash range: an eighth, and for texts of few shingles the larger one that FRACTIONS states. Such
-sketches merge by union, and two of them compare on the range that both cover, however unequal their
+of the hash range, an eighth. Where that is fewer than LEAST hashes, the sketch takes the next of the nested
+FRACTIONS below which there are as many, in the end all. What a sketch keeps so depends on the set of hashes alone, and
+the sketch of two texts together follows from theirs: a larger set never needs a wider range. Sketches compare on the range that both cover, however unequal their
 documents are. `upto` is the end of a sketch's range, and the first number of the fingerprint string, so
 that likeness and containment follow from two strings alone.
 
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 SHINGLE = 5
-#: (shingles, d): texts of so many distinct shingles or more keep one hash in d.
-FRACTIONS = ((128, 8), (64, 4), (32, 2), (0, 1))
+#: Sketches keep one hash in so many: the first for which that leaves LEAST hashes, or the last.
+FRACTIONS = (8, 4, 2, 1)
+LEAST = 16
 
 _LEAST = -(2**63)
 
@@ -37,6 +39,16 @@ def _end(one_in: int) -> int:
     return _LEAST + 2**64 // one_in - 1
 
 
+def ranged(hashes: Column, upto: Column | None = None) -> Column:
+    """The sketch of ascending hashes that are complete up to `upto` (everything, if there is none)."""
+    whole = F.lit(_end(1)) if upto is None else upto
+    # LEAST hashes lie in a range if the last of them does
+    last = F.get(hashes, F.lit(LEAST - 1))
+    for one_in in reversed(FRACTIONS[:-1]):
+        whole = F.when(F.coalesce(last <= F.lit(_end(one_in)), F.lit(False)), F.least(F.lit(_end(one_in)), whole)).otherwise(whole)
+    return F.struct(F.filter(hashes, lambda h: h <= whole).alias("hashes"), whole.alias("upto"))
+
+
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the struct `out` of `hashes` (ascending) and `upto` for the string column `text`."""
     words, hashes, every = f"_{out}_words", f"_{out}_hashes", f"_{out}_all"
@@ -50,19 +62,13 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     few = F.array(F.xxhash64(F.array_join(words, " ")))
     none = F.array().cast("array<bigint>")
     df = df.withColumn(every, F.sort_array(F.array_distinct(F.when(size >= SHINGLE, shingle).when(size > 0, few).otherwise(none))))
-    upto = F.lit(None).cast("long")
-    for shingles, one_in in reversed(FRACTIONS):
-        upto = F.when(F.size(every) >= shingles, F.lit(_end(one_in))).otherwise(upto)
-    df = df.withColumn(f"_{out}_upto", upto)
-    kept = F.filter(every, lambda h: h <= F.col(f"_{out}_upto"))
-    return df.withColumn(out, F.struct(kept.alias("hashes"), F.col(f"_{out}_upto").alias("upto"))).drop(words, hashes, every, f"_{out}_upto")
+    return df.withColumn(out, ranged(F.col(every))).drop(words, hashes, every)
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together."""
+    """The sketch of two texts' shingles together: the same as that of their union."""
     upto = F.least(a["upto"], b["upto"])
-    union = F.sort_array(F.array_union(a["hashes"], b["hashes"]))
-    return F.struct(F.filter(union, lambda h: h <= upto).alias("hashes"), upto.alias("upto"))
+    return ranged(F.filter(F.sort_array(F.array_union(a["hashes"], b["hashes"])), lambda h: h <= upto), upto)
 
 
 def _common(a: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -3,7 +3,7 @@
 Texts are cut into windows of `WINDOW` bytes. In each window one recurrent layer reads forwards and
 one backwards; every byte position gets a probability per language, and a document's score is the
 mean over all its positions. The network is trained in numpy by backpropagation through time, on a
-bounded sample of labelled rows; prediction is one narrow pass over whole texts without a shuffle.
+bounded sample of labelled rows, each language as often as any other; prediction is one narrow pass over whole texts without a shuffle.
 
 The gates use piecewise-linear squashing (clipping), which keeps a step to a few vector operations.
 
@@ -29,6 +29,8 @@ HIDDEN = 8
 #: The training sample: passages of so many labelled documents of each language, so many characters of each.
 SAMPLE_DOCS = 160
 SAMPLE_CHARS = 1500
+#: Languages that are learned at most: those with the most labelled documents, of equally many the first in order.
+MAX_LANGUAGES = 200
 STEPS = 260
 BATCH = 160
 RATE = 0.02
@@ -125,8 +127,13 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
         params += [inputs, rng.normal(0, 0.3, (3 * k, k)).astype(np.float32), rng.normal(0, 0.5, (c, k)).astype(np.float32)]
     params.append(np.zeros(c, np.float32))
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    of_language = np.argsort(labels, kind="stable")
+    sizes = np.bincount(labels, minlength=c)
+    firsts = np.cumsum(sizes) - sizes
     for step in range(1, steps + 1):
-        pick = rng.integers(0, len(windows), min(BATCH, len(windows)))
+        # languages of few passages are seen as often as others
+        lang = rng.integers(0, c, min(BATCH, len(windows)))
+        pick = of_language[firsts[lang] + (rng.random(len(lang)) * sizes[lang]).astype(int)]
         x, y = np.ascontiguousarray(windows[pick].T), labels[pick]
         runs = [_run(params[3 * d], params[3 * d + 1], x, d, keep=True) for d in (0, 1)]
         logits = sum(np.matmul(params[3 * d + 2], runs[d][0]) for d in (0, 1)) + params[6][:, None]
@@ -158,7 +165,7 @@ def held_out():
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, passage) of labelled documents that are not held out: SAMPLE_DOCS different passages of each language, or all.
+    """(lang, passage) of labelled documents that are not held out: SAMPLE_DOCS different passages of each of MAX_LANGUAGES languages, or all.
 
     The choice goes by a hash of the id, the passage's place by the same hash. Ids and labels are ranked
     first, so that only chosen ids' passages move; these are ranked once more, since an id may have many
@@ -166,6 +173,9 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """
     order = F.xxhash64("doc_id")
     labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    counts = labelled.groupBy(F.col("lang").alias("_known")).agg(F.count(F.lit(1)).alias("_n"))
+    known = counts.orderBy(F.desc("_n"), "_known").limit(MAX_LANGUAGES)
+    labelled = labelled.join(F.broadcast(known), F.col("lang") == F.col("_known"), "left_semi")
 
     def first(rows: DataFrame, *ties: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", *ties))
