@@ -138,7 +138,7 @@ def exam_intervals(commands: DataFrame) -> DataFrame:
     following = F.lead(F.struct("ts")).over(Window.partitionBy("_cell").orderBy("ts", "exam_id"))
     ended = own.withColumn("_next", following).join(cells, F.col("_cell").eqNullSafe(F.col("_c"))).where("action = 'start'")
     ended = ended.withColumn("next_ts", F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col("_next.ts")))
-    over = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes"))
+    over = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.greatest(F.col("minutes"), F.lit(0)) * 60).cast("decimal(18,6)"))
     return ended.select("exam_id", F.col("ts").alias("started_at"), F.least(over, F.coalesce("next_ts", over)).alias("ended_at"))
 
 
