@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from weftline.functions import text as T
+from weftline.operators import hotkeys, ranges
 
 #: Reasons, processes and words that route an event.
 DIRECT_REASONS = ("tab_switch", "new_tab_attempt", "ai_extension_detected", "resource_access")
@@ -31,8 +30,6 @@ UNFOCUS_SECONDS, COOLDOWN_SECONDS = 3, 7
 HISTORY_DEFAULT, HISTORY_MOST = 200, 1000
 SCREENSHOT_BYTES = 5 * 1024 * 1024
 LIMITS = {"type": 80, "reason": 80, "details": 1000, "tab_url": 2000, "tab_title": 500, "extensions": 50, "topic": 35}
-#: Commands and events are ordered within cells of so many seconds.
-CELL_SECONDS = 600
 
 
 def _first_word(words: tuple[str, ...], hay: Column) -> Column:
@@ -121,47 +118,65 @@ def presence(events: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> Da
     return last.select("student_id", "last_seen", F.when(stale, "idle").otherwise(F.col("state")).alias("status"))
 
 
-def _cell(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / (CELL_SECONDS * 1_000_000))
+def _us(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def exam_intervals(commands: DataFrame) -> DataFrame:
     """exam_id, started_at, ended_at of each start among (ts, action start/stop, exam_id, minutes).
 
     An exam ends at its stop, at the next start, or after its minutes, whichever comes first. Commands of
-    one instant are ordered by exam_id.
+    one instant are ordered by exam_id. Commands are dealt by ranges of time that hold about as many each.
     """
-    own = commands.withColumn("_cell", _cell(F.col("ts")))
+    own = commands.withColumn("_cell", ranges.cell(_us(F.col("ts")), ranges.edges(commands, _us(F.col("ts")))))
     cells = own.groupBy("_cell").agg(F.min("ts").alias("_first"))
     # one row for each cell with commands; commands themselves are ordered within their cells
     cells = cells.select(F.col("_cell").alias("_c"), F.lead("_first").over(Window.orderBy("_cell")).alias("_after"))
     following = F.lead(F.struct("ts")).over(Window.partitionBy("_cell").orderBy("ts", "exam_id"))
-    ended = own.withColumn("_next", following).join(cells, F.col("_cell").eqNullSafe(F.col("_c"))).where("action = 'start'")
+    ended = own.withColumn("_next", following).join(F.broadcast(cells), F.col("_cell").eqNullSafe(F.col("_c"))).where("action = 'start'")
     ended = ended.withColumn("next_ts", F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col("_next.ts")))
     over = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.greatest(F.col("minutes"), F.lit(0)) * 60).cast("decimal(18,6)"))
     return ended.select("exam_id", F.col("ts").alias("started_at"), F.least(over, F.coalesce("next_ts", over)).alias("ended_at"))
 
 
-def during_exam(events: DataFrame, exams: DataFrame) -> DataFrame:
-    """Events with the exam that ran when they arrived. Exams follow one another, so that the latest start decides.
+def as_of(events: DataFrame, marks: DataFrame, order: str, cells: int | None = None) -> DataFrame:
+    """Adds `mark` to the events: of the marks (ts and more) not after an event's ts, the last one; of one instant, that with the largest `order`.
 
-    The starts are merged into the events' order by cells of time: each event looks up the last start at or
-    before it in its cell, or the exam that opened the cell; no event meets more than one exam. Only one
-    row for each cell that has events or starts is ordered as a whole.
+    Events and marks are dealt by ranges of time that hold about as many events each, and merged in each range by one
+    ordering; the mark that is open where a range begins is carried into it as a row of its own. An instant that fills
+    several ranges by itself is dealt over as many cells by a hash. So events meet no more than one shuffle, however they cluster.
+    Ranges are at most MOST_CELLS, and so the carried rows.
     """
-    x = F.struct(F.col("started_at").alias("at"), "exam_id", "started_at", "ended_at")
-    marks = exams.select(F.col("started_at").alias("ts"), x.alias("x"))
-    kind = marks.schema["x"].dataType
-    rows = events.select("ts", F.struct(*events.columns).alias("e"))
-    both = rows.withColumn("x", F.lit(None).cast(kind)).unionByName(marks.withColumn("e", F.lit(None).cast(rows.schema["e"].dataType)))
-    both = both.withColumn("cell", _cell(F.col("ts")))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = both.groupBy("cell").agg(F.max("x").alias("last")).select(F.col("cell").alias("_c"), F.max("last").over(before).alias("open"))
-    order = Window.partitionBy("cell").orderBy("ts", F.col("e").isNotNull(), "x.exam_id").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("l", F.last("x", ignorenulls=True).over(order)).where("e IS NOT NULL")
-    opened = found.join(cells, F.col("cell").eqNullSafe(F.col("_c"))).withColumn("exam", F.coalesce("l", "open"))
-    running = opened.withColumn("exam", F.when(F.col("ts") < F.col("exam.ended_at"), F.col("exam")))
-    return running.select("e.*", F.col("exam.exam_id").alias("exam_id"), F.col("exam.started_at").alias("exam_started_at"))
+    us, rank = _us(F.col("ts")), F.struct(F.col("ts"), F.col(order))
+    cuts = ranges.edges(events, us, cells)
+    full = ranges.crowded(cuts)
+    spark = events.sparkSession
+    e = events.select(us.alias("_us"), F.struct(*events.columns).alias("e"))
+    m = marks.where(F.col("ts").isNotNull()).select(us.alias("_us"), rank.alias("_rank"), F.struct(*marks.columns).alias("x"))
+    e = e.withColumns({"_cell": ranges.cell(F.col("_us"), cuts), "_sub": ranges.dealt(F.col("_us"), cuts, F.col("e"))})
+    m = m.withColumn("_cell", ranges.cell(F.col("_us"), cuts))
+    # the mark that is open at a cut: the last before it, and for a crowded instant's further cells the last not after it
+    starts = [(ranges.position(c, cuts), 0, c - 1) for c in sorted(set(cuts))] + [(ranges.position(v, cuts), i, v) for v, n in full.items() for i in range(1, n + 2)]
+    opens = spark.createDataFrame([(c, s, limit) for c, s, limit in starts], "_cell int, _sub int, _limit long")
+    last = m.groupBy("_cell").agg(F.max(F.struct("_rank", "x")).alias("l"))
+    before = last.select((F.col("_cell") + 1).alias("c"), F.col("l").alias("before"))
+    spread = opens.select("_cell").distinct().join(F.broadcast(before), F.col("c") <= F.col("_cell"), "left").groupBy("_cell").agg(F.max("before").alias("before"))
+    here = opens.where("_sub > 0").join(m.select(F.col("_cell").alias("c"), F.col("_us").alias("at"), F.struct("_rank", "x").alias("l")), (F.col("c") == F.col("_cell")) & (F.col("at") <= F.col("_limit")), "left")
+    here = here.groupBy("_cell", "_sub").agg(F.max("l").alias("here"))
+    carried = opens.join(F.broadcast(spread), "_cell", "left").join(F.broadcast(here), ["_cell", "_sub"], "left").withColumn("l", F.coalesce("here", "before"))
+    kind, row = m.schema["x"].dataType, e.schema["e"].dataType
+    rows = e.select("_cell", "_sub", "_us", F.lit(2).alias("_kind"), F.lit(None).cast(m.schema["_rank"].dataType).alias("_rank"), F.lit(None).cast(kind).alias("x"), "e")
+    rows = rows.unionByName(m.select("_cell", F.lit(0).alias("_sub"), "_us", F.lit(1).alias("_kind"), "_rank", "x", F.lit(None).cast(row).alias("e")))
+    rows = rows.unionByName(carried.where("l IS NOT NULL").select("_cell", "_sub", F.lit(-(2**63)).alias("_us"), F.lit(0).alias("_kind"), F.col("l._rank").alias("_rank"), F.col("l.x").alias("x"), F.lit(None).cast(row).alias("e")))
+    upto = Window.partitionBy("_cell", "_sub").orderBy("_us", "_kind", "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("mark", F.last("x", ignorenulls=True).over(upto)).where("e IS NOT NULL").select("e.*", F.when(F.col("e.ts").isNotNull(), F.col("mark")).alias("mark"))
+
+
+def during_exam(events: DataFrame, exams: DataFrame) -> DataFrame:
+    """Events with the exam that ran when they arrived. Exams follow one another, so that the latest start decides."""
+    marks = exams.select(F.col("started_at").alias("ts"), "exam_id", "started_at", "ended_at")
+    running = as_of(events, marks, "exam_id").withColumn("mark", F.when(F.col("ts") < F.col("mark.ended_at"), F.col("mark")))
+    return running.select(*events.columns, F.col("mark.exam_id").alias("exam_id"), F.col("mark.started_at").alias("exam_started_at"))
 
 
 def paired(codes: DataFrame, uses: DataFrame, seconds: int = PAIRING_SECONDS) -> DataFrame:
@@ -220,54 +235,29 @@ def changed_urls(visits: DataFrame) -> DataFrame:
     return visits.withColumn("_b", F.lag("url").over(own)).where("NOT (url <=> _b)").drop("_b")
 
 
-def _sequential(events: DataFrame, key: str, start, step, out: str) -> DataFrame:
-    """Adds the boolean `out` by a rule whose outcome feeds back into later decisions.
-
-    `step(state, seconds, flag)` gives the next state and the outcome for each event of a key in order of
-    time and event_id; `start` is the first state. Partitions are sorted and streamed with all their
-    columns: a task holds one key's small state, not its events.
-    """
-    names = [*events.columns, out]
-
-    def run(batches):
-        own, state = None, start
-        for batch in batches:
-            found = []
-            for k, t, flag in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != own:
-                    own, state = k, start
-                state, outcome = step(state, t, flag)
-                found.append(outcome)
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(found, pa.bool_())], names=names)
-
-    lead = [F.col(key).cast("string").alias("_w_key"), F.col("ts").cast("timestamp").cast("double").alias("_w_time"), F.col("flag").alias("_w_flag")]
-    ordered = events.select(*lead, *events.columns).repartition("_w_key").sortWithinPartitions("_w_key", "_w_time", "event_id")
-    return ordered.mapInArrow(run, StructType([*events.schema.fields, StructField(out, BooleanType())]))
-
-
-def throttled(attempts: DataFrame) -> DataFrame:
+def throttled(attempts: DataFrame, chunk: int | None = None) -> DataFrame:
     """Adds `blocked` to attempts (addr, ts, event_id, flag: right code).
 
     Ten wrong codes within the last minute block further ones; blocked attempts are not counted, and a right code clears the count.
     """
 
     def step(held, t, right):
-        held = tuple(x for x in held if x >= t - THROTTLE_SECONDS)
+        held = tuple(x for x in held if x >= t - THROTTLE_SECONDS * 1_000_000)
         if len(held) >= THROTTLE_ATTEMPTS:
             return held, True
         return (() if right else (*held, t)), False
 
-    return _sequential(attempts, "addr", (), step, "blocked")
+    return hotkeys.sequential(attempts, "addr", step, "blocked", chunk=chunk)
 
 
-def cooled_down(events: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
+def cooled_down(events: DataFrame, seconds: int = COOLDOWN_SECONDS, chunk: int | None = None) -> DataFrame:
     """Adds `emitted` to events (student_id, ts, event_id): at least so long after the last emitted one."""
 
     def step(last, t, _):
-        go = last is None or t - last >= seconds
-        return (t if go else last), go
+        go = not last or t >= last[0] + seconds * 1_000_000
+        return ((t,) if go else last), go
 
-    return _sequential(events.withColumn("flag", F.lit(True)), "student_id", None, step, "emitted").drop("flag")
+    return hotkeys.sequential(events.withColumn("flag", F.lit(True)), "student_id", step, "emitted", seconds * 1_000_000, chunk).drop("flag")
 
 
 def gaps(events: DataFrame, seconds: int) -> DataFrame:
