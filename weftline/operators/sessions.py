@@ -182,7 +182,7 @@ def during_exam(events: DataFrame, exams: DataFrame) -> DataFrame:
 def paired(codes: DataFrame, uses: DataFrame, seconds: int = PAIRING_SECONDS) -> DataFrame:
     """Each use (use_id, code, exam_id, ts) with `accepted`: the first in time of a code of the same exam, within its life."""
     live = uses.join(codes.select("code", F.col("exam_id").alias("_exam"), F.col("ts").alias("_made")), "code", "left")
-    valid = F.coalesce((F.col("exam_id") == F.col("_exam")) & (F.col("ts") >= F.col("_made")) & (F.col("ts") <= F.col("_made") + F.expr(f"INTERVAL {seconds} SECONDS")), F.lit(False))
+    valid = F.coalesce((F.col("exam_id") == F.col("_exam")) & (F.col("ts") >= F.col("_made")) & (F.col("ts") < F.col("_made") + F.expr(f"INTERVAL {seconds} SECONDS")), F.lit(False))
     first = F.row_number().over(Window.partitionBy("code", "_valid").orderBy("ts", "use_id"))
     return live.withColumn("_valid", valid).withColumn("accepted", F.col("_valid") & (first == 1)).select(*uses.columns, "accepted")
 
@@ -295,29 +295,38 @@ def history_items(evidence: DataFrame) -> DataFrame:
 
 
 def exam_history(evidence: DataFrame, limit: int = HISTORY_MOST) -> DataFrame:
-    """Per exam, over the newest `limit` rows: first-seen fields, counts and last event, newest exam first.
+    """Per exam, over the newest `limit` rows: fields of its newest row, counts and last event, newest exam first.
 
     evidence: event_id, created_at, exam_id, exam_code, started_at, mode, status, suspicious. Limit before aggregation.
+    started_at and mode are those of the newest row even where it has none (then ''); exam_code is the newest that is not empty.
     """
     newest = evidence.orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit)
     order = F.struct("created_at", "event_id")
     filled = F.nullif("exam_code", F.lit(""))
     bad = F.coalesce(F.col("status") == "suspicious", F.lit(False)) | F.coalesce("suspicious", F.lit(False))
+    # a value in a struct is never null, so that the newest row's own value counts
+    first = lambda c: F.coalesce(F.max_by(F.struct(F.col(c).cast("string").alias("v")), order)["v"], F.lit(""))
     return (
         newest.where("exam_id IS NOT NULL AND exam_id <> ''")
         .groupBy("exam_id")
         .agg(
             F.coalesce(F.max_by(filled, F.when(filled.isNotNull(), order)), F.lit("")).alias("exam_code"),
-            F.max_by("started_at", order).alias("started_at"),
-            F.max_by("mode", order).alias("mode"),
+            first("started_at").alias("started_at"),
+            first("mode").alias("mode"),
             F.max("created_at").alias("last_event_at"),
             F.count(F.lit(1)).alias("event_count"),
             F.count_if(bad).alias("suspicious_count"),
         )
-        .orderBy(F.desc(F.coalesce("started_at", "last_event_at")), "exam_id")
+        .orderBy(F.desc(F.coalesce(F.nullif("started_at", F.lit("")), F.col("last_event_at").cast("string"))), "exam_id")
     )
 
 
+def legacy_count(evidence: DataFrame, limit: int = HISTORY_MOST) -> DataFrame:
+    """One row: how many of the newest `limit` rows belong to no exam."""
+    newest = evidence.orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit)
+    return newest.agg(F.count_if(F.coalesce(F.col("exam_id"), F.lit("")) == "").alias("legacy_count"))
+
+
 def card(status: Column, kind: Column, verdict: Column, alert_channel: Column) -> Column:
     """The dashboard class of an event."""
     known = F.coalesce(F.nullif(status, F.lit("")), F.when(alert_channel, "suspicious").otherwise("clean"))

@@ -223,16 +223,28 @@ def history_items(spark, sf_dir):
     return S.history_items(_evidence(spark, sf_dir)).select("event_id", "has_image", "evidence_id")
 
 
-@query(f"""WITH {_VOTES}, n AS (SELECT * FROM sm ORDER BY ts DESC, event_id DESC LIMIT 1000)
-    SELECT 'exam' || exam_id AS exam_id, coalesce(arg_max(CASE WHEN event_id % 3 = 0 THEN 'C' || event_id END, (ts, event_id)) FILTER (event_id % 3 = 0), '') AS exam_code, arg_max(mode, (ts, event_id)) AS mode, max(ts) AS last_event_at, arg_max(CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts - INTERVAL 1 HOUR END, (ts, event_id)) FILTER (event_id % 4 <> 0) AS started_at,
-        count(*) AS event_count, count(*) FILTER (status = 'suspicious') AS suspicious_count FROM n WHERE exam_id <> 2 GROUP BY exam_id""")
-def exam_history_rollup(spark, sf_dir):
-    rows = _smoothed(spark, sf_dir).select(
+_NEWEST = f"""{_VOTES}, n AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN '' ELSE strftime(ts - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') END AS started, row_number() OVER (PARTITION BY exam_id ORDER BY ts DESC, event_id DESC) AS k
+    FROM (SELECT * FROM sm ORDER BY ts DESC, event_id DESC LIMIT 1000))"""
+
+
+def _history(spark, sf_dir):
+    return _smoothed(spark, sf_dir).select(
         "event_id", F.col("ts").alias("created_at"), F.when(F.col("exam_id") != 2, F.concat(F.lit("exam"), F.col("exam_id").cast("string"))).alias("exam_id"),
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("C"), F.col("event_id").cast("string"))).otherwise("").alias("exam_code"),
-        F.when(F.col("event_id") % 4 != 0, F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("started_at"), "mode", "status", F.lit(False).alias("suspicious"),
+        F.when(F.col("event_id") % 4 != 0, F.date_format(F.col("ts") - F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm")).alias("started_at"), "mode", "status", F.lit(False).alias("suspicious"),
     )
-    return S.exam_history(rows)
+
+
+@query(f"""WITH {_NEWEST}
+    SELECT 'exam' || exam_id AS exam_id, coalesce(arg_max('C' || event_id, (ts, event_id)) FILTER (event_id % 3 = 0), '') AS exam_code, max(mode) FILTER (k = 1) AS mode, max(ts) AS last_event_at, max(started) FILTER (k = 1) AS started_at,
+        count(*) AS event_count, count(*) FILTER (status = 'suspicious') AS suspicious_count FROM n WHERE exam_id <> 2 GROUP BY exam_id""")
+def exam_history_rollup(spark, sf_dir):
+    return S.exam_history(_history(spark, sf_dir))
+
+
+@query(f"WITH {_NEWEST} SELECT count(*) FILTER (exam_id = 2) AS legacy_count FROM n")
+def exam_history_legacy(spark, sf_dir):
+    return S.legacy_count(_history(spark, sf_dir))
 
 
 _EXAMS = """cm AS (SELECT ts, CASE WHEN event_type = 'signup' THEN 'start' ELSE 'stop' END AS action, 'x' || event_id AS exam_id, (30 + event_id % 600) AS minutes FROM events WHERE event_type IN ('signup', 'error')),
