@@ -39,6 +39,27 @@ def test_line_numbers_over_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_many_files_are_one_scan(spark, tmp_path):
+    """Two thousand files: a plan of constant size, and the line numbers of each."""
+    folder = tmp_path / "with space +%20é"
+    folder.mkdir()
+    paths = []
+    for i in range(2000):
+        paths.append(str(folder / f"f{i % 7} {i:04}.jsonl"))
+        (folder / f"f{i % 7} {i:04}.jsonl").write_text("\n".join(["", *(json.dumps({"_key": f"{i}_{k}"}) for k in range(i % 3 + 1))]) + "\n")
+    paths.reverse()
+    few, many = (jsonl.read_ordered(spark, p, "_key string") for p in (paths[:3], paths))
+    size = lambda f: len(f._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(few) == size(many)
+    got = many.collect()
+    assert len(got) == sum(i % 3 + 1 for i in range(2000))
+    for r in got:
+        i, k = map(int, r._key.split("_"))
+        assert (r.src_path, r.src_idx, r.line_no) == (paths[1999 - i], 1999 - i, k + 2)
+    with pytest.raises(Exception):  # noqa: B017
+        jsonl.read_ordered(spark, [str(folder / "none")]).collect()
+
+
 def test_arrays_and_sinks(spark, tmp_path):
     (tmp_path / "bank.json").write_text(json.dumps([{"Question": f"q{i}", "Difficulty": "Level 1"} for i in range(5)]))
     bank = jsonl.read_array(spark, str(tmp_path / "bank.json"), "Question string, Difficulty string", 1, 3)

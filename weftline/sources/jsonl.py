@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from weftline.functions import messages as M
+from weftline.sources.shared import durable
 
 MESSAGES = "array<struct<role:string,content:string>>"
 #: The fields of a dialogue record that operators read.
@@ -47,30 +48,54 @@ def read_keys(spark: SparkSession, *paths: str) -> DataFrame:
     return lines.select(key.alias("_key")).where("_key IS NOT NULL").distinct()
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line_no (from 1, blank lines counted) of the lines of one text file.
+#: Blocks of files whose starts are broadcast to their lines; more are joined by shuffling.
+BROADCAST_BLOCKS = 500_000
+
+
+def _plain(path: Column) -> Column:
+    """A file's address with one slash after its scheme where there is no host, as different parts of Spark write it."""
+    return F.regexp_replace(path, "^([a-z0-9+.-]+):/(?://)?(?=[^/])", "$1:/")
+
+
+def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """value, place (the file's address), line_no (from 1, blank lines counted) of the lines of all files, read by one scan.
 
-    A line's number is that of the file's blocks before its own, and its place in the block: only one row for
-    each block is ordered as a whole, and the lines stay where they are read.
+    A line's number is that of its file's blocks before its own, and its place in the block: only one row for
+    each block is ordered, by file, and the lines stay where they are read.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    blocks = lines.groupBy("block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("block", (before - F.col("first") + 1).alias("shift"))
-    return lines.join(starts, "block").select("value", (F.col("at") + F.col("shift")).alias("line_no"))
+    lines = spark.read.text(paths).select(
+        "value", _plain(F.col("_metadata.file_path")).alias("place"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    blocks = lines.groupBy("place", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = durable(blocks.select("place", "block", (before - F.col("first") + 1).alias("shift")))
+    if starts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    return lines.join(starts, ["place", "block"]).select("value", "place", (F.col("at") + F.col("shift")).alias("line_no"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and line_no (from 1, blank lines counted) of the lines of one text file."""
+    return _numbered(spark, [path]).select("value", "line_no")
 
 
 def read_ordered(spark: SparkSession, paths: list[str], schema: str = DIALOGUE) -> DataFrame:
     """Records with src_path, src_idx (place of the file in `paths`), line_no (from 1, blank lines counted) and msg_hash.
 
     msg_hash is the hash of the messages' contents, null without messages; of records without such a field, of the line.
+    All files are one scan, however many there are; a path that is named twice gives its records twice.
     """
-    found = None
-    for i, path in enumerate(paths):
-        one = numbered_lines(spark, path).select(F.lit(path).alias("src_path"), F.lit(i).alias("src_idx"), "line_no", "value")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    if not paths:
         raise ValueError("no input files")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def address(path: str) -> str:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(conf).makeQualified(place).toUri().toString()
+
+    known = spark.createDataFrame([(i, p, address(p)) for i, p in enumerate(paths)], "src_idx int, src_path string, _place string")
+    named = F.broadcast(known.withColumn("_place", _plain(F.col("_place"))))
+    found = _numbered(spark, list(dict.fromkeys(paths))).join(named, F.col("place") == F.col("_place")).drop("place", "_place")
     parsed = found.where(F.btrim("value") != "").withColumn("r", F.from_json("value", schema, {"mode": "FAILFAST"}))
     has_messages = "messages" in parsed.schema["r"].dataType.fieldNames()
     msg_hash = M.content_hash(F.col("r.messages")) if has_messages else F.sha1("value")
