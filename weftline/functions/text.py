@@ -49,10 +49,30 @@ def simhash64(words: Column) -> Column:
     return _simhash64(words)
 
 
+def simhash64_text(text: Column, least: int = 3) -> Column:
+    """The SimHash of a text's `tokens`. The sanitised text travels as it is and is cut into words where their bits are counted."""
+    return _simhash64_text(sanitise(text), F.lit(least))
+
+
+@F.arrow_udf(LongType())
+def _simhash64_text(text: pa.Array, least: pa.Array) -> pa.Array:
+    return _hashed(pc.split_pattern(text, " "), least[0].as_py() if len(least) else 0)
+
+
 @F.arrow_udf(LongType())
 def _simhash64(words: pa.Array) -> pa.Array:
+    return _hashed(words, 0)
+
+
+def _hashed(words: pa.Array, least: int) -> pa.Array:
+    """The SimHash of each list of words, of those with at least `least` characters."""
     lengths = np.array(pc.fill_null(pc.list_value_length(words), 0), np.int64)
     codes = pc.list_flatten(words).dictionary_encode()
+    if least:
+        long = np.array(pc.greater_equal(pc.utf8_length(codes.dictionary), least), bool)
+        kept = long[np.array(codes.indices, np.int64)] if len(codes) else np.zeros(0, bool)
+        ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(lengths)])]
+        lengths, codes = np.diff(ends), codes.filter(pa.array(kept))
     digests = b"".join(md5(w.encode()).digest()[:7:-1] for w in codes.dictionary.to_pylist())
     bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     codes, ends = np.array(codes.indices, np.int64), np.cumsum(lengths)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weftline.functions import messages as M
 from weftline.functions import text as T
@@ -43,5 +44,6 @@ def sft_rows(records: DataFrame) -> DataFrame:
 
 
 def with_simhash(records: DataFrame, words: str, out: str = "simhash") -> DataFrame:
-    """Adds the 64-bit SimHash of the array column `words`. Each row is worked on alone: nothing is shuffled."""
-    return records.withColumn(out, T.simhash64(F.col(words)))
+    """Adds the 64-bit SimHash of the column `words`, a text or an array of words. Each row is worked on alone: nothing is shuffled."""
+    whole = isinstance(records.schema[words].dataType, StringType)
+    return records.withColumn(out, T.simhash64_text(F.col(words)) if whole else T.simhash64(F.col(words)))

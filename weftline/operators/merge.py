@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from weftline.operators import ranges
 from weftline.operators.quota import ranked
 
 
@@ -17,22 +18,30 @@ def _one_per_key(dialogues: DataFrame, order: Column) -> DataFrame:
     return picked.select("_key", "d.*")
 
 
+def _keyed(passed: DataFrame, dialogues: DataFrame) -> DataFrame:
+    """One row for each passed key: how many rows it has, the first of them, and its dialogue, if there is one."""
+    groups = passed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("src_idx", "line_no")).alias("_first"))
+    return groups.join(dialogues, "_key", "left")
+
+
 def first_wins(passed: DataFrame, dialogues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged, missing): passed rows (_key, src_idx, line_no) with the first dialogue of their key."""
+    """(merged, missing): passed rows (_key, src_idx, line_no) with the first dialogue of their key. Rows of heavy keys stay where they are."""
     unique = _one_per_key(dialogues.withColumnRenamed("line_no", "dialogue_line"), F.col("dialogue_line"))
-    return passed.join(unique, "_key"), passed.join(unique.select("_key"), "_key", "left_anti")
+    joined = ranges.join_split(passed, _keyed(passed, unique.withColumn("_found", F.lit(True))), ["_key"], "_n").drop("_n", "_first")
+    merged = joined.where("_found").drop("_found").select("_key", *(c for c in joined.columns if c not in ("_key", "_found")))
+    return merged, joined.where("_found IS NULL").select(*passed.columns)
 
 
 def last_wins(passed: DataFrame, dialogues: DataFrame) -> DataFrame:
     """Passed rows with the last dialogue of their key and an `outcome`: merged, duplicate or missing.
 
-    Missing is found first; of the matched rows of one key, the first by source and line is merged.
+    Missing is found first; of the matched rows of one key, the first by source and line is merged. Each key's first row is found
+    by an aggregate, and heavy keys' rows stay where they are.
     """
     unique = _one_per_key(dialogues.withColumnRenamed("line_no", "dialogue_line"), -F.col("dialogue_line"))
-    joined = passed.join(unique, "_key", "left")
-    found = F.col("dialogue_line").isNotNull()
-    nth = F.row_number().over(Window.partitionBy("_key", found).orderBy("src_idx", "line_no"))
-    return joined.withColumn("outcome", F.when(~found, "missing").when(nth == 1, "merged").otherwise("duplicate"))
+    joined = ranges.join_split(passed, _keyed(passed, unique), ["_key"], "_n")
+    found, first = F.col("dialogue_line").isNotNull(), F.struct("src_idx", "line_no") == F.col("_first")
+    return joined.withColumn("outcome", F.when(~found, "missing").when(first, "merged").otherwise("duplicate")).drop("_n", "_first")
 
 
 def renamed(rows: DataFrame) -> DataFrame:

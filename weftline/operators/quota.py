@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import messages as M
 from weftline.functions import text as T
-from weftline.operators import dedup
+from weftline.operators import dedup, ranges
 from weftline.operators.dialogues import PROFILES
 
 #: Least turns and sampling temperatures by profile and difficulty, with defaults.
@@ -90,16 +90,14 @@ def admit(rows: DataFrame, quotas: dict[str, int], existing: DataFrame | None =
 def ranked(rows: DataFrame, group: list[str], order: str, out: str, cells: int = 256) -> DataFrame:
     """Adds the row's place, from 1, in its group by the long column `order`.
 
-    Few large groups don't meet in few tasks: each group's orders are cut into `cells` equal ranges.
+    Few large groups don't meet in few tasks: the orders are cut into `cells` ranges that hold about as many rows each.
     """
     span = Window.partitionBy(*group)
-    edges = rows.groupBy(*group).agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / cells, F.lit(1e-9))
-    celled = rows.join(edges, group).withColumn("_cell", F.least(F.floor((F.col(order).cast("double") - F.col("_lo")) / width), F.lit(cells - 1)))
+    celled = rows.withColumn("_cell", F.coalesce(ranges.cell(F.col(order), ranges.edges(rows, F.col(order), cells)), F.lit(-1)))
     counts = celled.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(*group, "_cell", F.coalesce(F.sum("_n").over(span.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(order))
-    return celled.join(before, [*group, "_cell"]).withColumn(out, F.col("_before") + rank).drop("_lo", "_hi", "_cell", "_before")
+    return celled.join(before, [*group, "_cell"]).withColumn(out, F.col("_before") + rank).drop("_cell", "_before")
 
 
 def ranked_upto(rows: DataFrame, group: list[str], order: str, limit: str, out: str, cells: int = 256) -> DataFrame:
@@ -116,7 +114,7 @@ def bootstrap(passed: DataFrame, profiles: tuple[str, ...] = PROFILES) -> DataFr
     usable = passed.where(profile.isin(*profiles) & (F.size("messages") > 0))
     return usable.select(
         profile.alias("profile"), (F.monotonically_increasing_id() - F.lit(2**62)).alias("ord"),
-        T.simhash64(M.words(F.col("messages"))).alias("simhash"), M.fingerprint(F.col("messages")).alias("fingerprint"),
+        T.simhash64_text(M.joined(F.col("messages"))).alias("simhash"), M.fingerprint(F.col("messages")).alias("fingerprint"),
     )
 
 
@@ -132,7 +130,7 @@ def finished(candidates: DataFrame, quotas: dict[str, int], store, passed: DataF
     profile's quota, counting the `passed` records of earlier runs; what comes after is told quota_reached.
     Adds duplicate_reason, duplicate_distance, outcome (passed, failed) and the completed verdict and note.
     """
-    rows = candidates.withColumns({"simhash": T.simhash64(M.words(F.col("messages"))), "fingerprint": M.fingerprint(F.col("messages"))})
+    rows = candidates.withColumns({"simhash": T.simhash64_text(M.joined(F.col("messages"))), "fingerprint": M.fingerprint(F.col("messages"))})
     rows = store(rows)
     before = None if passed is None else store(bootstrap(passed))
     found = dedup.greedy(rows.select("profile", "ord", "simhash", "fingerprint"), store, distance, before)

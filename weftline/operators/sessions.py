@@ -180,11 +180,20 @@ def during_exam(events: DataFrame, exams: DataFrame) -> DataFrame:
 
 
 def paired(codes: DataFrame, uses: DataFrame, seconds: int = PAIRING_SECONDS) -> DataFrame:
-    """Each use (use_id, code, exam_id, ts) with `accepted`: the first in time of a code of the same exam, within its life."""
-    live = uses.join(codes.select("code", F.col("exam_id").alias("_exam"), F.col("ts").alias("_made")), "code", "left")
-    valid = F.coalesce((F.col("exam_id") == F.col("_exam")) & (F.col("ts") >= F.col("_made")) & (F.col("ts") < F.col("_made") + F.expr(f"INTERVAL {seconds} SECONDS")), F.lit(False))
-    first = F.row_number().over(Window.partitionBy("code", "_valid").orderBy("ts", "use_id"))
-    return live.withColumn("_valid", valid).withColumn("accepted", F.col("_valid") & (first == 1)).select(*uses.columns, "accepted")
+    """Each use (use_id, code, exam_id, ts) with `accepted`: the first in time of a code of the same exam, within its life.
+
+    Codes and use_ids are unique. Uses of a heavy code stay where they are; the winner of each code is found by an aggregate.
+    """
+    made = codes.select("code", F.col("exam_id").alias("_exam"), F.col("ts").alias("_made"))
+    keyed = uses.groupBy("code").agg(F.count(F.lit(1)).alias("_n")).join(made, "code", "left")
+    live = ranges.join_split(uses, keyed, ["code"], "_n")
+    end = F.col("_made") + F.expr(f"INTERVAL {seconds} SECONDS")
+    valid = F.coalesce((F.col("exam_id") == F.col("_exam")) & (F.col("ts") >= F.col("_made")) & (F.col("ts") < end), F.lit(False))
+    place = F.struct("ts", "use_id")
+    winners = live.where(valid).groupBy("code").agg(F.min(place).alias("_first"))
+    rest = uses.groupBy("code").agg(F.count(F.lit(1)).alias("_n")).join(winners, "code", "left")
+    won = ranges.join_split(live.drop("_n"), rest, ["code"], "_n")
+    return won.withColumn("accepted", F.coalesce(valid & (place == F.col("_first")), F.lit(False))).select(*uses.columns, "accepted")
 
 
 def resolved(claims: DataFrame, sessions: DataFrame) -> DataFrame:

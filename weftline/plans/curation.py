@@ -65,8 +65,8 @@ _SIMHASH = f"""tok AS (SELECT doc_id, unnest({_TOKENS}) AS w FROM documents),
 
 
 def _simhashes(spark, sf_dir):
-    words = _docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("words"), F.sha1(T.sanitise(F.col("text"))).alias("fingerprint"))
-    return D.with_simhash(words, "words").select("doc_id", _profile().alias("profile"), "simhash", "fingerprint")
+    rows = _docs(spark, sf_dir).select("doc_id", "text", F.sha1(T.sanitise(F.col("text"))).alias("fingerprint"))
+    return D.with_simhash(rows, "text").select("doc_id", _profile().alias("profile"), "simhash", "fingerprint")
 
 
 @query(f"WITH {_SIMHASH} SELECT doc_id, simhash FROM sim")
@@ -88,7 +88,7 @@ def near_dup_pairs(spark, sf_dir):
 
 @query(f"WITH {_SIMHASH}, {_HASHES} SELECT p.profile, p.doc_id, k.doc_id AS representative, members FROM p JOIN k ON k.profile = p.profile AND k.simhash = p.simhash")
 def near_dup_members(spark, sf_dir):
-    rows = _simhashes(spark, sf_dir).select("profile", F.col("doc_id").alias("ord"), "simhash")
+    rows = durable(_simhashes(spark, sf_dir).select("profile", F.col("doc_id").alias("ord"), "simhash"))
     first = dedup.representatives(rows).withColumnRenamed("ord", "representative")
     return rows.join(first, ["profile", "simhash"]).select("profile", F.col("ord").alias("doc_id"), "representative", "members")
 
