@@ -64,6 +64,8 @@ def test_arrays_and_sinks(spark, tmp_path):
     (tmp_path / "bank.json").write_text(json.dumps([{"Question": f"q{i}", "Difficulty": "Level 1"} for i in range(5)]))
     bank = jsonl.read_array(spark, str(tmp_path / "bank.json"), "Question string, Difficulty string", 1, 3)
     assert [(r.qi, r.Question) for r in bank.orderBy("qi").collect()] == [(1, "q1"), (2, "q2"), (3, "q3")]
+    (tmp_path / "pretty.json").write_text(json.dumps([{"Question": f"q{i}"} for i in range(3)], indent=2))
+    assert [(r.qi, r.Question) for r in jsonl.read_array(spark, str(tmp_path / "pretty.json"), "Question string").collect()] == [(0, "q0"), (1, "q1"), (2, "q2")]
     jsonl.write_both(bank, str(tmp_path / "both"))
     parts = [json.loads(p.read_text()) for p in (tmp_path / "both/array").glob("part*")]
     assert sorted(r["qi"] for part in parts for r in part) == [1, 2, 3]

@@ -104,7 +104,7 @@ def read_ordered(spark: SparkSession, paths: list[str], schema: str = DIALOGUE)
 
 def read_array(spark: SparkSession, path: str, item: str, first: int = 0, most: int | None = None) -> DataFrame:
     """Items of one JSON array with their place `qi`; from `first`, at most `most` of them."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     items = whole.select(F.posexplode(F.from_json("value", ArrayType(StructType.fromDDL(item)), {"mode": "FAILFAST"})).alias("qi", "x"))
     some = items.where(F.col("qi") >= first)
     if most is not None:

@@ -152,11 +152,11 @@ class Room(InOrder):
         return key[0], event["event_id"], "refused" if reason else "accepted", exam[0] if exam else None, student, event["us"], reason
 
 
-def _ordered(events: DataFrame, key: str, kind: type[InOrder], late: str) -> DataFrame:
+def _ordered(events: DataFrame, key: str, kind: InOrder, late: str) -> DataFrame:
     """The rows that a processor makes of the events (key, ts, event_id and its fields), with `us` as the timestamp `at`."""
     names = (key, "ts", "event_id", *kind.fields)
-    fine = events.where(F.col("ts").isNotNull()).select(*names).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
-    made = fine.groupBy(key).transformWithStateInPandas(statefulProcessor=kind(), outputStructType=kind.out, outputMode="append", timeMode="eventTime")
+    fine = events.where(F.col("ts").isNotNull()).select(*names).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    made = fine.groupBy(key).transformWithStateInPandas(statefulProcessor=kind, outputStructType=kind.out, outputMode="append", timeMode="eventTime")
     return made.withColumn("at", F.timestamp_micros("us")).drop("us")
 
 
@@ -168,7 +168,7 @@ def rooms(events: DataFrame, late: str = LATE) -> DataFrame:
     code_made; accepted, once for each code within its life and while its exam runs; refused, with the reason. A code
     made again while it lives is the new one.
     """
-    return _ordered(events, "room", Room, late)
+    return _ordered(events, "room", Room(), late)
 
 
 class Focus(InOrder):
@@ -177,7 +177,10 @@ class Focus(InOrder):
     fields = ("focused",)
     types = ("boolean",)
     out = "student_id string, kind string, since long, us long"
-    seconds, idle = sessions.UNFOCUS_SECONDS, 7200
+    seconds = sessions.UNFOCUS_SECONDS
+
+    def __init__(self, idle: int):
+        self.idle = idle
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
         self.away = handle.getValueState("away", "since long, told boolean")
@@ -207,17 +210,19 @@ class Focus(InOrder):
             self.away.update((event["us"], False))
 
 
-def unfocus_episodes(focus: DataFrame, late: str = LATE) -> DataFrame:
+def unfocus_episodes(focus: DataFrame, late: str = LATE, idle: int = 7200) -> DataFrame:
     """student_id, kind, since, at of unfocused spans that last long enough, from (student_id, ts, event_id, focused).
 
     An episode is `open` once the watermark is UNFOCUS_SECONDS past its start, `closed` when focus comes back, and `lapsed`
-    two hours after its start without a word; its state then goes. A span that ends sooner gives nothing.
+    `idle` seconds after it was told of, without a word; its state then goes, and a further report of lost focus opens a new one. A span
+    that ends sooner gives nothing.
     """
-    return _ordered(focus, "student_id", Focus, late).withColumn("since", F.timestamp_micros("since"))
+    return _ordered(focus, "student_id", Focus(idle), late).withColumn("since", F.timestamp_micros("since"))
 
 
 def _told_apart(events: DataFrame, late: str) -> DataFrame:
     """The events with `id`, each once within the watermark; those without an id are told apart by time, reason and student."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     own = F.coalesce("event_id", F.concat_ws("-", F.unix_micros("ts").cast("string"), "reason", F.coalesce("student_id", F.lit("x"))))
     return events.withColumn("id", own).withWatermark("ts", late).dropDuplicatesWithinWatermark(["exam_id", "id"])
 
