@@ -464,8 +464,9 @@ def profile_verdict_crosstab(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT doc_id, ['true', '1', 'Evet', 'no', '0', ' YES ', '2.5', 'x', NULL][(doc_id % 9 + 1)::INT] AS a, CASE WHEN doc_id % 2 = 0 THEN 'pass' WHEN doc_id % 3 = 0 THEN 'fail' ELSE 'unsure' END AS model FROM documents),
-    v AS (SELECT *, CASE WHEN doc_id % 9 IN (0, 1, 2, 5, 6) THEN 'pass' ELSE 'fail' END AS verdict FROM c)
-    SELECT doc_id, doc_id % 9 IN (0, 1, 2, 5, 6) AS truth, verdict, CASE WHEN model IN ('pass', 'fail') AND model <> verdict THEN trim('note | model_verdict_mismatch:' || model || '->' || verdict, ' |') ELSE 'note' END AS note FROM v""")
+    w AS (SELECT *, coalesce(coalesce(TRY_CAST(trim(a) AS DOUBLE) <> 0, lower(trim(a)) IN ('true', '1', 'yes', 'evet')), FALSE) AS truth FROM c),
+    v AS (SELECT *, CASE WHEN truth THEN 'pass' ELSE 'fail' END AS verdict FROM w)
+    SELECT doc_id, truth, verdict, CASE WHEN model IN ('pass', 'fail') AND model <> verdict THEN trim('note | model_verdict_mismatch:' || model || '->' || verdict, ' |') ELSE 'note' END AS note FROM v""")
 def criteria_verdict(spark, sf_dir):
     doc = F.col("doc_id")
     values = F.array(*(F.lit(v) for v in ("true", "1", "Evet", "no", "0", " YES ", "2.5", "x", None)))
@@ -517,35 +518,47 @@ def profile_gate(spark, sf_dir):
 
 # parsing -----------------------------------------------------------------------
 
-_KEYS = "k AS (SELECT doc_id, ['12_FAST', '_12_FAST', '__7_MEM', NULL, 'x_FAST', '12_', '3_A_B', '5_x-y'][(doc_id % 8 + 1)::INT] AS _key FROM documents)"
+#: Keys of the documents' numbers and languages, some of them marred as their texts' lengths say.
+_KEYS = """k AS (SELECT doc_id, repeat('_', (length(text) % 3)::INT) || CASE WHEN length(text) % 5 = 0 THEN 'x' ELSE '' END || doc_id || '_' || CASE WHEN length(text) % 7 = 0 THEN source || '-' WHEN length(text) % 11 = 0 THEN '' ELSE upper(lang) END AS _key FROM documents)"""
 
 
-@query(f"WITH {_KEYS} SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN '12' END AS plain_q, CASE WHEN doc_id % 8 IN (0, 1) THEN '12' WHEN doc_id % 8 = 2 THEN '7' END AS prefixed_q, CASE doc_id % 8 WHEN 0 THEN 'FAST' WHEN 5 THEN '' WHEN 7 THEN 'x-y' END AS tail_p FROM k")
+@query(rf"""WITH {_KEYS} SELECT doc_id, CASE WHEN regexp_matches(_key, '^\d+_[A-Za-z0-9]+$') THEN split_part(_key, '_', 1) END AS plain_q,
+    CASE WHEN regexp_matches(_key, '^_*\d+_[A-Za-z0-9]+$') THEN split_part(ltrim(_key, '_'), '_', 1) END AS prefixed_q, CASE WHEN regexp_matches(_key, '^\d+_[^_]*$') THEN split_part(_key, '_', 2) END AS tail_p FROM k""")
 def key_parse(spark, sf_dir):
-    keys = F.array(*(F.lit(v) for v in ("12_FAST", "_12_FAST", "__7_MEM", None, "x_FAST", "12_", "3_A_B", "5_x-y")))
-    rows = _docs(spark, sf_dir).select("doc_id", F.get(keys, (F.col("doc_id") % 8).cast("int")).alias("_key"))
+    n = F.length("text")
+    mark, tail = F.when(n % 5 == 0, "x").otherwise(""), F.when(n % 7 == 0, F.concat("source", F.lit("-"))).when(n % 11 == 0, "").otherwise(F.upper("lang"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat(F.repeat(F.lit("_"), n % 3), mark, F.col("doc_id").cast("string"), F.lit("_"), tail).alias("_key"))
     key = F.col("_key")
     return rows.select("doc_id", T.key_parts(key)[0].alias("plain_q"), T.key_parts(key, True)[0].alias("prefixed_q"), T.key_tail(key)[1].alias("tail_p"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE '{"n":' || doc_id || ',"s":"a}b"}' END AS strict, CASE WHEN doc_id % 4 = 3 THEN 'no object ' || doc_id ELSE '{"n":' || doc_id || ',"s":"a}b"}' END AS lenient,
-    CASE WHEN doc_id % 4 = 3 THEN 'no object ' || doc_id ELSE '{"n":' || doc_id || ',"s":"a}b"}' END AS outer_braces FROM documents""")
+#: Replies that hold a document's text as a JSON string, with a brace after it, bare, in talk or in a fence; or the text alone.
+_REPLIES = r"""b AS (SELECT doc_id, text, length(text) % 4 AS c, '{"n":' || doc_id || ',"s":"' || replace(replace(text, '\', '\\'), '"', '\"') || '}"}' AS body FROM documents),
+    r AS (SELECT doc_id, trim(CASE c WHEN 0 THEN body WHEN 1 THEN 'Sure: ' || body || ' done' WHEN 2 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE text END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS raw FROM b),
+    x AS (SELECT doc_id, raw, nullif(regexp_extract(raw, '\{(?:[^{}"\\]|"(?:[^"\\]|\\.)*")*\}', 0, 's'), '') AS object, strpos(raw, '{') AS i, length(raw) - strpos(reverse(raw), '}') + 1 AS j FROM r)"""
+
+
+@query(f"WITH {_REPLIES} SELECT doc_id, object AS strict, coalesce(object, raw) AS lenient, CASE WHEN strpos(raw, '{{') > 0 AND strpos(raw, '}}') > 0 AND j > i THEN substr(raw, i, j - i + 1) ELSE raw END AS outer_braces FROM x")
 def json_extraction(spark, sf_dir):
-    doc = F.col("doc_id")
-    body = F.concat(F.lit('{"n":'), doc.cast("string"), F.lit(',"s":"a}b"}'))
-    raw = F.when(doc % 4 == 0, body).when(doc % 4 == 1, F.concat(F.lit("Sure: "), body, F.lit(" done"))).when(doc % 4 == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("no object "), doc.cast("string")))
-    rows = _docs(spark, sf_dir).select("doc_id", raw.alias("raw"))
+    c, quoted = F.length("text") % 4, F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    body = F.concat(F.lit('{"n":'), F.col("doc_id").cast("string"), F.lit(',"s":"'), quoted, F.lit('}"}'))
+    raw = F.when(c == 0, body).when(c == 1, F.concat(F.lit("Sure: "), body, F.lit(" done"))).when(c == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.col("text"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.btrim(raw, F.lit(" \t\n\x0b\x0c\r")).alias("raw"))
     return rows.select("doc_id", R.json_object("raw").alias("strict"), R.json_object_or_text("raw").alias("lenient"), R.outermost_braces(F.col("raw")).alias("outer_braces"))
 
 
-@query("""SELECT doc_id, doc_id % 4 IN (0, 3) AS suspicious, CASE doc_id % 4 WHEN 0 THEN 'ŞÜPHELİ' WHEN 1 THEN 'TEMİZ' WHEN 2 THEN 'HATA' ELSE 'ŞÜPHELİ' END AS verdict,
-    CASE doc_id % 4 WHEN 2 THEN 'nothing ' || doc_id ELSE 'because ' || doc_id END AS reason FROM documents""")
+#: Replies with a verdict word that the text's length chooses, or the text alone.
+_SAID = r"""s AS (SELECT doc_id, CASE WHEN length(text) % 5 = 4 THEN text ELSE text || chr(10) || ['KARAR: ŞÜPHELİ', 'karar:  TEMİZ', 'KARAR: ŞÜPHELI', 'KARAR: BELKİ'][(length(text) % 5 + 1)::INT] || chr(10) || 'GEREKÇE: ' || lang || ' of ' || source || ' ' END AS raw FROM documents),
+    w AS (SELECT *, regexp_extract(raw, '(?i)KARAR:\s*(ŞÜPHELİ|TEMİZ|ŞÜPHELI)', 1) AS word, regexp_extract(raw, '(?i)GEREKÇE:\s*(.+)', 1) AS said FROM s)"""
+
+
+@query(f"WITH {_SAID} SELECT doc_id, word LIKE '%PHE%' AS suspicious, CASE WHEN word = '' THEN 'HATA' WHEN word LIKE '%PHE%' THEN 'ŞÜPHELİ' ELSE 'TEMİZ' END AS verdict, CASE WHEN said <> '' THEN trim(said) WHEN raw <> '' THEN raw ELSE 'Model geçerli bir karar döndürmedi.' END AS reason FROM w WHERE raw IS NOT NULL")
 def verdict_reply(spark, sf_dir):
-    doc = F.col("doc_id")
-    word = F.when(doc % 4 == 0, "KARAR: ŞÜPHELİ").when(doc % 4 == 1, "karar:  TEMİZ").otherwise("KARAR: ŞÜPHELI")
-    raw = F.when(doc % 4 == 2, F.concat(F.lit("nothing "), doc.cast("string"))).otherwise(F.concat(word, F.lit("\nGEREKÇE: because "), doc.cast("string"), F.lit(" ")))
+    n = F.length("text")
+    word = F.get(F.array(*map(F.lit, ("KARAR: ŞÜPHELİ", "karar:  TEMİZ", "KARAR: ŞÜPHELI", "KARAR: BELKİ"))), n % 5)
+    raw = F.when(n % 5 == 4, F.col("text")).otherwise(F.concat("text", F.lit("\n"), word, F.lit("\nGEREKÇE: "), "lang", F.lit(" of "), "source", F.lit(" ")))
     suspicious, verdict, reason = R.verdict_line(F.col("raw"))
-    return _docs(spark, sf_dir).select("doc_id", raw.alias("raw")).select("doc_id", suspicious.alias("suspicious"), verdict.alias("verdict"), reason.alias("reason"))
+    return _docs(spark, sf_dir).select("doc_id", raw.alias("raw")).where("raw IS NOT NULL").select("doc_id", suspicious.alias("suspicious"), verdict.alias("verdict"), reason.alias("reason"))
 
 
 @query(f"SELECT regexp_matches(string_agg(text, ''), '[çğıöşüÇĞİÖŞÜ]') AS found, arg_min(substr(text, 1, 120), doc_id) FILTER (regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]')) AS example FROM documents")
@@ -575,10 +588,11 @@ def cleaned_lists(spark, sf_dir):
     return rows.select("user_id", F.array_join(T.cleaned_list(F.concat(F.array(F.lit(""), F.lit(" ")), padded)), ",").alias("cleaned"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'declared' WHEN 1 THEN 'judge_json_parse_error' ELSE 'ValueError' END AS kind FROM documents")
+@query("""WITH e AS (SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN source END AS declared, CASE WHEN length(text) % 2 = 0 THEN text || ' in JSON' ELSE text END AS message FROM documents)
+    SELECT doc_id, CASE WHEN declared IS NOT NULL THEN declared WHEN contains(lower(message), 'json') THEN 'judge_json_parse_error' ELSE 'ValueError' END AS kind FROM e""")
 def error_kinds(spark, sf_dir):
-    doc = F.col("doc_id")
-    return _docs(spark, sf_dir).select("doc_id", T.error_kind(F.when(doc % 3 == 0, "declared"), F.when(doc % 3 == 1, "bad JSON here").otherwise("other"), F.lit("ValueError")).alias("kind"))
+    n = F.length("text")
+    return _docs(spark, sf_dir).select("doc_id", T.error_kind(F.when(n % 3 == 0, F.col("source")), F.when(n % 2 == 0, F.concat("text", F.lit(" in JSON"))).otherwise(F.col("text")), F.lit("ValueError")).alias("kind"))
 
 
 #: Lines of a coverage file by what is wrong with them; those of case 5 count up to 79, twice the number of questions.
