@@ -127,6 +127,19 @@ def test_turn_repair_pieces_and_empty(spark, monkeypatch):
     assert none.columns == cut.columns and none.count() == 0
 
 
+@pytest.mark.parametrize("name", ["op11_turn_repair", "op13_spelling"])
+def test_queries_equal_their_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    turns = spark.createDataFrame(conversations(6), "conv_id long, turn long, role string, text string")
+    words = spark.createDataFrame(spelled(7), "doc_id long, text string")
+    for table, frame in (("conversations", turns.where("abs(turn) < 1000 OR turn IS NULL")), ("documents", words)):
+        frame.write.parquet(f"{tmp_path}/{table}.parquet")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = collections.Counter(tuple(r[c] for c in want.columns) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == collections.Counter(want.fetchall())
+
+
 def test_turn_repair_audits_are_legal():
     rng = random.Random(8)
     for _ in range(300):

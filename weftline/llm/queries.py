@@ -77,6 +77,21 @@ QUERIES = {
     "op13_spelling": op13_spelling,
 }
 
+#: CRC-32 of a text's bytes: the table of all bytes, and the fold over a text.
+_CRC_TABLE = r"""crc_table AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n)) AS t
+        )"""
+
+
+def _crc32(key: str) -> str:
+    """The SQL of the checksum of the string `key`, where crc_table is at hand."""
+    code = f"('0x' || hex(encode({key}))[2 * i + 1:2 * i + 2])::BIGINT"
+    return (
+        f"xor(4294967295::BIGINT, list_reduce(list_transform(range(octet_length(encode({key}))), lambda i: {code}), "
+        "lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT))"
+    )
+
+
 ORACLES = {
     "op5_exact_dedup": r"""
         WITH d AS (
@@ -173,4 +188,96 @@ ORACLES = {
                CASE WHEN j.d IS NOT NULL THEN 'rule' WHEN j.host <> '' AND j.node IN (SELECT node FROM bad) THEN 'alias' ELSE 'default' END AS decided_by
         FROM q JOIN judged j USING (i) WHERE j.kind = 'page'
     """,
+    # costs to go backwards over turns, then one edit a step forwards
+    "op11_turn_repair": rf"""
+        WITH RECURSIVE {_CRC_TABLE}, rows_ AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+        ), kinds AS (
+            SELECT *, {_crc32('key')} % 20 AS kind FROM rows_, crc_table
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM kinds, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM damaged
+        ), faulty AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                           WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+                   role[1:1] AS r, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM placed
+        ), tally AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                   count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n
+            FROM faulty GROUP BY conv_id
+        ), togo AS (
+            SELECT conv_id, n + 1 AS i, [0, 10, 5, 0]::BIGINT[] AS c FROM tally
+            UNION ALL
+            SELECT conv_id, i, [least(b[1], x + 5), least(b[2], x + 5), x, least(b[4], b[3] + 5)]
+            FROM (
+                SELECT conv_id, i, b, least(b[3], b[4] + 5) AS x
+                FROM (
+                    SELECT f.conv_id, f.i, list_transform([1, 2, 3, 4], lambda s: least(
+                               c[s] + 2,
+                               CASE WHEN fault IN ('', 't') THEN c[CASE WHEN s = 3 THEN 4 ELSE 3 END] + 1 + CASE WHEN fault = 't' THEN 5 ELSE 0 END ELSE 999999999 END,
+                               CASE WHEN fault IN ('', 't') AND r = 's' AND s = 1 THEN c[2] + CASE WHEN fault = 't' THEN 5 ELSE 0 END
+                                    WHEN fault IN ('', 't') AND r = 'u' AND s <> 3 THEN c[3] + CASE WHEN fault = 't' THEN 5 ELSE 0 END
+                                    WHEN fault IN ('', 't') AND r = 'a' AND s = 3 THEN c[4] + CASE WHEN fault = 't' THEN 5 ELSE 0 END ELSE 999999999 END)) AS b
+                    FROM togo g JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i - 1
+                )
+            )
+        ), walk AS (
+            SELECT conv_id, 1::BIGINT AS i, 1 AS s, '' AS audit, []::VARCHAR[] AS made FROM tally
+            UNION ALL
+            SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END,
+                   CASE edit WHEN 'D' THEN s WHEN 'K' THEN CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE CASE WHEN s = 3 THEN 4 ELSE 3 END END, audit || edit,
+                   CASE edit WHEN 'D' THEN made WHEN 'K' THEN list_append(made, role || ':' || text)
+                             ELSE list_append(made, CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END || CASE WHEN edit = 'R' THEN text ELSE '' END) END
+            FROM (
+                SELECT w.conv_id, w.i, s, audit, made, role, text, r,
+                       CASE WHEN f.i IS NOT NULL AND a.c[s] + 2 = h.c[s] THEN 'D' WHEN h.c[CASE WHEN s = 3 THEN 4 ELSE 3 END] + 5 = h.c[s] THEN 'I'
+                            WHEN f.i IS NOT NULL AND ((r = 's' AND s = 1) OR (r = 'u' AND s <> 3) OR (r = 'a' AND s = 3))
+                                 AND a.c[CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END] + CASE WHEN fault = 't' THEN 5 ELSE 0 END = h.c[s] THEN 'K' ELSE 'R' END AS edit
+                FROM walk w JOIN togo h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i
+                LEFT JOIN togo a ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND a.i = w.i + 1
+                LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i
+                WHERE f.i IS NOT NULL OR s IN (2, 3)
+            )
+        ), done AS (
+            SELECT w.conv_id, audit, made FROM walk w JOIN tally t ON t.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = t.n + 1 AND s IN (1, 4)
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(h.c[1], 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN tally t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN togo h ON h.conv_id IS NOT DISTINCT FROM o.conv_id AND h.i = 1
+    """,
+    # words without one code point: equal at one place, or equal to a whole word
+    "op13_spelling": rf"""
+        WITH RECURSIVE {_CRC_TABLE}, runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+        ), counted AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS key, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY ALL
+        ), hashed AS (
+            SELECT run, k, {_crc32('key')} AS h FROM counted, crc_table
+        ), words AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING sum(k) >= 3 AND length(word) >= 5
+        ), less AS (
+            SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM words)
+        ), near AS (
+            SELECT x.word AS a, y.word AS b FROM less x JOIN less y USING (i, rest) WHERE x.word <> y.word
+            UNION SELECT less.word, words.word FROM less JOIN words ON words.word = less.rest
+            UNION SELECT words.word, less.word FROM less JOIN words ON words.word = less.rest
+        ), best AS (
+            SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS other, max(w.n) AS most FROM near JOIN words w ON w.word = b GROUP BY a
+        ), forms AS (
+            SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN other END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)
+        ), followed AS (
+            SELECT word, word AS root FROM forms
+            UNION ALL
+            SELECT followed.word, forms.form FROM followed JOIN forms ON forms.word = followed.root WHERE forms.form IS NOT NULL
+        ), ends AS (
+            SELECT followed.word, root FROM followed JOIN forms ON forms.word = root WHERE forms.form IS NULL
+        )
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+    """,
 }
