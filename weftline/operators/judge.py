@@ -93,6 +93,17 @@ def distribution(rows: DataFrame, column: str, blank: str = "?") -> DataFrame:
     return counted.crossJoin(F.broadcast(total)).select("value", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("percent"))
 
 
+#: Fixed value: characters of a topic that a line of progress shows.
+TOPIC_CHARS = 35
+
+
+def progress_line(verdict: Column, profile: Column, topic: Column) -> Column:
+    """What is told of a finished record: VERDICT | profile | beginning of the topic. Nulls are empty."""
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    word = F.upper(filled(verdict))
+    return F.concat_ws(" | ", F.rpad(word, F.greatest(F.length(word), F.lit(6)), F.lit(" ")), filled(profile), F.substring(filled(topic), 1, TOPIC_CHARS))
+
+
 def crosstab(rows: DataFrame) -> DataFrame:
     """profile, pass, review, fail, total and the share that fails, from (profile, verdict)."""
     n = lambda v: F.count_if(F.col("verdict") == v)

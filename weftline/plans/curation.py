@@ -508,6 +508,12 @@ def outcome_report(spark, sf_dir):
     return judge.outcome_report(rows.select("verdict", differs.alias("disagreement"), F.when(F.col("quality") == 0, "düşük").alias("confidence"), F.when(F.col("doc_id") % 3 == 1, "yüksek").alias("ambiguity")))
 
 
+@query(f"WITH {_JUDGED} SELECT doc_id, rpad(upper(verdict), greatest(6, length(verdict))::INT, ' ') || ' | ' || profile || ' | ' || substr(text, 1, 35) AS line FROM v JOIN (SELECT doc_id, text FROM documents) d USING (doc_id)")
+def progress_lines(spark, sf_dir):
+    rows = _judged(spark, sf_dir).select("doc_id", "verdict", "profile").join(_docs(spark, sf_dir).select("doc_id", F.col("text").alias("topic")), "doc_id")
+    return rows.select("doc_id", judge.progress_line(*map(F.col, ("verdict", "profile", "topic"))).alias("line"))
+
+
 @query(f"""WITH {_JUDGED}, p AS (SELECT doc_id, verdict, CASE WHEN doc_id % 5 = 0 THEN 'profile_hint_missing:' || profile END AS issue, CASE WHEN doc_id % 2 = 0 THEN 'seen' END AS told FROM v)
     SELECT doc_id, CASE WHEN issue IS NOT NULL THEN 'fail' ELSE verdict END AS verdict, CASE WHEN issue IS NULL THEN told ELSE concat_ws(' | ', told, issue) END AS note FROM p""")
 def profile_gate(spark, sf_dir):
