@@ -13,8 +13,8 @@ from weftline.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Orders of magnitude slower than the rest; checked at the larger scale by the driver.
-SLOW = {"greedy_dedup", "judged_outcomes"}
+#: Orders of magnitude slower than the rest; checked at the larger scale by the driver (live ones have tests of their own).
+SLOW = {"greedy_dedup", "judged_outcomes", "live_exam_clock", "live_counters", "live_focus"}
 
 
 @pytest.fixture(scope="module")

@@ -24,7 +24,8 @@ class InOrder(StatefulProcessor):
     """Takes each key's events in order of time once the watermark is past them.
 
     Subclasses name the fields of their events after `us` and `event_id`, and those of their output; `begin` makes their
-    state, `take` treats an event, `until` says when something is due by itself (microseconds; None: nothing) and `ring` does it.
+    state, `load` reads it once before a key's due events, and `save` writes what has changed after them; `take` treats an event,
+    `until` says when something is due by itself (microseconds; None: nothing) and `ring` does it.
     """
 
     fields: tuple[str, ...] = ()
@@ -39,6 +40,10 @@ class InOrder(StatefulProcessor):
 
     def begin(self, handle: StatefulProcessorHandle) -> None: ...
 
+    def load(self) -> None: ...
+
+    def save(self) -> None: ...
+
     def take(self, key: tuple, event: dict) -> Iterator[tuple]:
         return iter(())
 
@@ -70,6 +75,7 @@ class InOrder(StatefulProcessor):
         due = sorted((r for r in held if r[0] < now), key=lambda r: (r[0], str(r[1])))
         rest = [r for r in held if r[0] >= now]
         out: list[tuple] = []
+        self.load()
         for r in due:
             while (end := self.until()) is not None and end <= r[0]:
                 out += self.ring(key, end)
@@ -78,6 +84,7 @@ class InOrder(StatefulProcessor):
             out += self.ring(key, end)
         if due:
             self.waiting.put(rest) if rest else self.waiting.clear()
+        self.save()
         following = [r[0] for r in rest] + [end for end in (self.until(),) if end is not None]
         if following:
             self._wake(min(following))
@@ -95,61 +102,66 @@ class Room(InOrder):
         self.exam = handle.getValueState("exam", "exam_id string, started long, ends long")
         self.codes = handle.getMapState("codes", "code string", "student_id string, exam_id string, ends long")
 
-    def _running(self) -> tuple | None:
-        return tuple(self.exam.get()) if self.exam.exists() else None
-
-    def _codes(self) -> list[tuple[str, int]]:
-        return [(k[0], v[2]) for k, v in self.codes.iterator()] if self.codes.exists() else []
+    def load(self) -> None:
+        self.running = tuple(self.exam.get()) if self.exam.exists() else None
+        held = [(k[0], tuple(v)) for k, v in self.codes.iterator()] if self.codes.exists() else []
+        # all live equally long: the first made is the first to go
+        self.living = dict(sorted(held, key=lambda x: x[1][2]))
+        self.stored = (self.running, dict(self.living))
+
+    def save(self) -> None:
+        exam, codes = self.stored
+        if self.running != exam:
+            self.exam.update(self.running) if self.running else self.exam.clear()
+        for code in codes.keys() - self.living.keys():
+            self.codes.removeKey((code,))
+        for code, value in self.living.items():
+            if codes.get(code) != value:
+                self.codes.updateValue((code,), value)
 
     def until(self) -> int | None:
-        exam = self._running()
-        ends = [end for _, end in self._codes()] + ([exam[2]] if exam and exam[2] is not None else [])
+        first = next(iter(self.living.values()), None)
+        ends = ([first[2]] if first else []) + ([self.running[2]] if self.running and self.running[2] is not None else [])
         return min(ends, default=None)
 
     def _over(self, key: tuple, us: int, reason: str, event_id: str | None = None) -> Iterator[tuple]:
-        exam = self._running()
-        if exam:
-            yield key[0], event_id, "ended", exam[0], None, us, reason
-            self.exam.clear()
+        if self.running:
+            yield key[0], event_id, "ended", self.running[0], None, us, reason
         # codes belong to the exam that ran when they were made
-        self.codes.clear()
+        self.running, self.living = None, {}
 
     def ring(self, key: tuple, us: int) -> Iterator[tuple]:
-        for code, end in self._codes():
-            if end <= us:
-                self.codes.removeKey((code,))
-        exam = self._running()
-        if exam and exam[2] is not None and exam[2] <= us:
+        while self.living and next(iter(self.living.values()))[2] <= us:
+            del self.living[next(iter(self.living))]
+        if self.running and self.running[2] is not None and self.running[2] <= us:
             yield from self._over(key, us, "duration_expired")
 
     def take(self, key: tuple, event: dict) -> Iterator[tuple]:
         us, event_id, action = event["us"], event["event_id"], event["action"]
-        exam = self._running()
         if action == "start":
             yield from self._over(key, us, "next_start", event_id)
             ends = None if event["minutes"] is None else us + int(max(0.0, event["minutes"]) * 60e6)
-            self.exam.update((event["exam_id"], us, ends))
+            self.running = (event["exam_id"], us, ends)
             yield key[0], event_id, "started", event["exam_id"], None, us, None
         elif action == "stop":
             yield from self._over(key, us, "manual", event_id)
-        elif action == "duration" and exam:
-            ends = max(us, exam[1] + int(max(0.0, event["minutes"] or 0.0) * 60e6))
-            self.exam.update((exam[0], exam[1], ends))
+        elif action == "duration" and self.running:
+            ends = max(us, self.running[1] + int(max(0.0, event["minutes"] or 0.0) * 60e6))
+            self.running = (*self.running[:2], ends)
         elif action == "pair":
-            if exam:
-                self.codes.updateValue((event["code"],), (event["student_id"], exam[0], us + sessions.PAIRING_SECONDS * 1_000_000))
-            yield key[0], event_id, "code_made" if exam else "refused", exam[0] if exam else None, event["student_id"], us, None if exam else "no_exam"
+            exam = self.running and self.running[0]
+            if self.running:
+                self.living.pop(event["code"], None)
+                self.living[event["code"]] = (event["student_id"], exam, us + sessions.PAIRING_SECONDS * 1_000_000)
+            yield key[0], event_id, "code_made" if self.running else "refused", exam, event["student_id"], us, None if self.running else "no_exam"
         elif action == "exchange":
-            yield self._exchanged(key, event, exam)
+            yield self._exchanged(key, event)
 
-    def _exchanged(self, key: tuple, event: dict, exam: tuple | None) -> tuple:
-        known = self.codes.containsKey((event["code"],))
-        student, made_in, _ = self.codes.getValue((event["code"],)) if known else (None, None, None)
-        if known:
-            self.codes.removeKey((event["code"],))
-        other = known and event["exam_id"] is not None and event["exam_id"] != made_in
-        reason = "unknown_or_expired" if not known else "other_exam" if other or not exam else None
-        return key[0], event["event_id"], "refused" if reason else "accepted", exam[0] if exam else None, student, event["us"], reason
+    def _exchanged(self, key: tuple, event: dict) -> tuple:
+        student, made_in, _ = known = self.living.pop(event["code"], (None, None, None))
+        other = event["exam_id"] is not None and event["exam_id"] != made_in
+        reason = "unknown_or_expired" if known[2] is None else "other_exam" if other or not self.running else None
+        return key[0], event["event_id"], "refused" if reason else "accepted", self.running and self.running[0], student, event["us"], reason
 
 
 def _ordered(events: DataFrame, key: str, kind: InOrder, late: str) -> DataFrame:
@@ -185,29 +197,31 @@ class Focus(InOrder):
     def begin(self, handle: StatefulProcessorHandle) -> None:
         self.away = handle.getValueState("away", "since long, told boolean")
 
+    def load(self) -> None:
+        self.lost = self.stored = tuple(self.away.get()) if self.away.exists() else None
+
+    def save(self) -> None:
+        if self.lost != self.stored:
+            self.away.update(self.lost) if self.lost else self.away.clear()
+
     def until(self) -> int | None:
-        if not self.away.exists():
+        if self.lost is None:
             return None
-        since, told = self.away.get()
+        since, told = self.lost
         return since + (self.idle if told else self.seconds) * 1_000_000
 
     def ring(self, key: tuple, us: int) -> Iterator[tuple]:
-        since, told = self.away.get()
-        if told:
-            self.away.clear()
-            yield key[0], "lapsed", since, us
-        else:
-            self.away.update((since, True))
-            yield key[0], "open", since, us
+        since, told = self.lost
+        yield key[0], "lapsed" if told else "open", since, us
+        self.lost = None if told else (since, True)
 
     def take(self, key: tuple, event: dict) -> Iterator[tuple]:
-        away = tuple(self.away.get()) if self.away.exists() else None
         if event["focused"]:
-            if away and away[1]:
-                yield key[0], "closed", away[0], event["us"]
-            self.away.clear()
-        elif away is None:
-            self.away.update((event["us"], False))
+            if self.lost and self.lost[1]:
+                yield key[0], "closed", self.lost[0], event["us"]
+            self.lost = None
+        elif self.lost is None:
+            self.lost = (event["us"], False)
 
 
 def unfocus_episodes(focus: DataFrame, late: str = LATE, idle: int = 7200) -> DataFrame:
