@@ -43,8 +43,10 @@ WEIGHTS = (0.6, 0.3, 0.1)
 START = 0
 #: Entries that a task gathers before it passes them on.
 _GATHER = 1_000_000
+#: Bytes of text that a task cuts into words at once; a longer text is cut alone.
+_SLICE = 1 << 20
 #: Hash ranges to a shuffle partition when rare words and pairs are looked up.
-RANGES = 16
+RANGES = 4
 
 _U = np.uint64
 _TOP = _U(1 << 63)
@@ -124,7 +126,7 @@ def word_counts(flagged: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             texts, target = batch.column("text"), np.array(batch.column("target").to_pylist(), bool)
-            for low, high in wordhash.slices(texts, 3 * wordhash.SLICE):
+            for low, high in wordhash.slices(texts, _SLICE):
                 words = wordhash.words_of(texts.slice(low, high - low), lower=True)
                 size, of_target = words.counts(), target[low:high]
                 word, inverse = np.unique(words.hashes, return_inverse=True)
@@ -132,7 +134,7 @@ def word_counts(flagged: DataFrame) -> DataFrame:
                 sums = (np.bincount(x, minlength=len(word)) for x in (inverse, inverse[in_target], last, last[of_target[size > 0]]))
                 yield pa.RecordBatch.from_arrays([wordhash.signed(word), *(pa.array(x.astype(np.int64)) for x in sums)], names=["word", *COUNTS])
 
-    counts = flagged.mapInArrow(count, "word long, n long, t long, last_n long, last_t long")
+    counts = flagged.mapInArrow(wordhash.lean(count), "word long, n long, t long, last_n long, last_t long")
     return common.stored(counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
 
 
@@ -151,7 +153,7 @@ def with_numbers(counts: DataFrame, head: np.ndarray) -> DataFrame:
             number = word_numbers(np.ascontiguousarray(batch.column("word").to_numpy()).view(_U), shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(number), *(batch.column(c) for c in COUNTS)], names=["word", *COUNTS])
 
-    return common.stored(counts.select("word", *COUNTS).mapInArrow(renumber, counts.schema), "numbered")
+    return common.stored(counts.select("word", *COUNTS).mapInArrow(wordhash.lean(renumber), counts.schema), "numbered")
 
 
 def pair_counts(flagged: DataFrame, head: np.ndarray) -> DataFrame:
@@ -171,19 +173,19 @@ def pair_counts(flagged: DataFrame, head: np.ndarray) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             texts, target = batch.column("text"), np.array(batch.column("target").to_pylist(), bool)
-            for low, high in wordhash.slices(texts):
+            for low, high in wordhash.slices(texts, _SLICE):
                 words = wordhash.words_of(texts.slice(low, high - low), lower=True)
                 before, word = numbers(words, shared.value)
                 of_target = np.repeat(target[low:high], words.counts())
                 parts.append(merged([(pair_keys(before, word), before, word, np.ones(len(word)), of_target.astype(float))]))
                 held += len(parts[-1][0])
-                if held > _GATHER // 3:
+                if held > _GATHER // 2:
                     yield batch_of(parts)
                     parts, held = [], 0
         if held:
             yield batch_of(parts)
 
-    counted = flagged.select("text", "target").mapInArrow(count, "before long, word long, n long, t long")
+    counted = flagged.select("text", "target").mapInArrow(wordhash.lean(count), "before long, word long, n long, t long")
     summed = counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     return common.stored(summed.where(F.col("n") >= MIN_PAIR_COUNT), "pairs")
 
@@ -282,7 +284,7 @@ def _packed_gains(gains: DataFrame, low_bits: np.uint64) -> DataFrame:
             yield packed()
 
     wanted = gains.select(*["before"] * of_pairs, "word", *MODELS)
-    return wanted.mapInArrow(pack, "part long, keys binary, target binary, background binary")
+    return wanted.mapInArrow(wordhash.lean(pack), "part long, keys binary, target binary, background binary")
 
 
 def _gains(tails: DataFrame, words: DataFrame, pairs: DataFrame, low_bits: np.uint64) -> DataFrame:
@@ -346,9 +348,9 @@ def _gains(tails: DataFrame, words: DataFrame, pairs: DataFrame, low_bits: np.ui
     gains = _packed_gains(words, low_bits).unionByName(_packed_gains(pairs, low_bits)).withColumn("rows", F.lit(None).cast("binary"))
     met = gains.unionByName(tails, allowMissingColumns=True).withColumn("late", F.col("rows").isNotNull())
     ordered = met.repartition("part").sortWithinPartitions("part", "late").drop("late")
-    changes = ordered.mapInArrow(look_up, "part long, rows binary, target binary, background binary")
+    changes = ordered.mapInArrow(wordhash.lean(look_up), "part long, rows binary, target binary, background binary")
     by_text = changes.repartition("part").sortWithinPartitions("part")
-    return common.stored(by_text.mapInArrow(add, "row long, less_target double, less_background double"), "changes")
+    return common.stored(by_text.mapInArrow(wordhash.lean(add), "row long, less_target double, less_background double"), "changes")
 
 
 def score(docs: DataFrame, models: Models, words: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -361,7 +363,7 @@ def score(docs: DataFrame, models: Models, words: DataFrame, pairs: DataFrame) -
 
     def tokens_of(batch):
         """(rows' places, tokens of each, before, word) by slices of a batch's texts."""
-        for low, high in wordhash.slices(batch.column("text")):
+        for low, high in wordhash.slices(batch.column("text"), _SLICE):
             found = wordhash.words_of(batch.column("text").slice(low, high - low), lower=True)
             yield low, high, found.counts(), *numbers(found, shared.value.words)
 
@@ -398,10 +400,10 @@ def score(docs: DataFrame, models: Models, words: DataFrame, pairs: DataFrame) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = rows.mapInArrow(losses, f"doc_id {kind}, row long, n_tokens long, target double, background double")
+    scored = rows.mapInArrow(wordhash.lean(losses), f"doc_id {kind}, row long, n_tokens long, target double, background double")
     if elsewhere:
         # the texts are read twice, so that what travels is written once only, by the shuffle
-        gains = _gains(rows.select("row", "text").mapInArrow(unknown, "part long, keys binary, rows binary"), words, pairs, low_bits)
+        gains = _gains(rows.select("row", "text").mapInArrow(wordhash.lean(unknown), "part long, keys binary, rows binary"), words, pairs, low_bits)
         scored = scored.join(gains, "row", "left").withColumns(
             {c: F.col(c) - F.coalesce(F.col(f"less_{c}"), F.lit(0.0)) for c in MODELS}
         )
