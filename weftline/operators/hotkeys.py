@@ -63,14 +63,13 @@ def sequential(events: DataFrame, key: str, step: Step, out: str, passing: int |
     schema = StructType([*events.schema.fields, StructField(out, BooleanType())])
     sizes = events.groupBy(F.col(key).cast("string").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
     hot = durable(sizes)
-    heavy = hot.collect() if hot.limit(1001).count() <= 1000 else None
     ordered = lambda rows: rows.repartition("_w_key").sortWithinPartitions("_w_key", "_w_time", "event_id")
     wide = events.select(*_lead(key), *events.columns)
     plain = lambda rows: ordered(rows).select("_w_key", F.lit(0).alias("_w_chunk"), "_w_time", "_w_flag", *events.columns).mapInArrow(_streamed(step, len(names), names), schema)
-    if heavy is not None and not heavy:
+    if hot.isEmpty():
         return plain(wide)
-    same = F.col("_w_key").eqNullSafe(F.col("_k"))
-    few = F.broadcast(hot.select("_k")) if heavy is not None else hot.select("_k")
+    # no more keys than there are chunks in all rows
+    same, few = F.col("_w_key").eqNullSafe(F.col("_k")), F.broadcast(hot.select("_k"))
     rest = plain(wide.join(few, same, "left_anti"))
     cut = _cut(wide.join(few, same, "left_semi"), hot, chunk)
     states = _passing_before(cut, passing) if passing is not None else _settled(cut, step)
