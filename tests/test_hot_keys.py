@@ -115,3 +115,14 @@ def test_a_million_events_of_one_key_are_spread(spark):
     wide = events.select(*hotkeys._lead("student_id")[:2], "event_id")
     cut = hotkeys._cut(wide, spark.createDataFrame([("one", 1_000_000)], "_k string, _n long"), 125_000)
     assert cut.groupBy("_w_chunk").count().agg(F.max("count")).first()[0] < 1.3 * 125_000
+
+
+def test_chunks_of_several_hot_addresses_are_joined(spark):
+    """Five addresses share the chunks' cuts; without right codes each round moves an address on by one chunk, so chunks should be few."""
+    rows = [(f"k{i % 5}" if i % 5 else None, i * 1000, f"{i:05}", i % 97 == 0) for i in range(5000)]
+    cut = spark.createDataFrame([(*r, r[1] // 20_000) for r in rows], "_w_key string, _w_time long, event_id string, _w_flag boolean, _w_chunk int")
+    got = hotkeys._joined(cut, 200).groupBy("_w_key", "_w_chunk").agg(F.count("*").alias("n"), F.min("_w_time").alias("lo"), F.max("_w_time").alias("hi")).collect()
+    assert sum(r.n for r in got) == 5000 and max(r.n for r in got) <= 200 and len(got) == 25
+    for key in {r._w_key for r in got}:
+        own = sorted((r._w_chunk, r.lo, r.hi) for r in got if r._w_key == key)
+        assert all(a[2] < b[1] for a, b in zip(own, own[1:], strict=False))

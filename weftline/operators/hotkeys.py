@@ -9,6 +9,8 @@ in order of time, by ranges of its events' times, that any task can take; what o
   are thus steps of a function from the last passing time to the last passing time, which are composed in order;
 - throttle: a chunk hands on the times that still count. Chunks are run side by side from what is known of the state before
   them, and again only if that has changed, until nothing changes. A right code or a quiet minute makes chunks independent.
+  Where neither does, a round moves each key on by one chunk: chunks next to each other are therefore joined up to the size
+  of one, and a round reads the files of its own chunks alone, so that all rounds together read a key's events about twice.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from weftline.operators import ranges
-from weftline.sources.shared import durable
+from weftline.sources.shared import durable, folder
 
 #: Events beyond which a key is cut into chunks, and about how many of them a chunk has.
 CHUNK_ROWS = 200_000
@@ -72,6 +74,7 @@ def sequential(events: DataFrame, key: str, step: Step, out: str, passing: int |
     same, few = F.col("_w_key").eqNullSafe(F.col("_k")), F.broadcast(hot.select("_k"))
     rest = plain(wide.join(few, same, "left_anti"))
     cut = _cut(wide.join(few, same, "left_semi"), hot, chunk)
+    cut = cut if passing is not None else _joined(cut, chunk)
     states = _passing_before(cut, passing) if passing is not None else _settled(cut, step)
     apart = cut.repartition("_w_key", "_w_chunk").sortWithinPartitions("_w_key", "_w_chunk", "_w_time", "event_id")
     apart = apart.select("_w_key", "_w_chunk", "_w_time", "_w_flag", *events.columns)
@@ -89,6 +92,25 @@ def _cut(hot: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
     return durable(hot.withColumn("_w_chunk", F.coalesce(ranges.cell(at, cuts), F.lit(-1))))
 
 
+def _joined(cut: DataFrame, chunk: int) -> DataFrame:
+    """`cut` with chunks that follow one another in a key joined, named by the first, while they have no more than `chunk` events together.
+
+    Chunks are cut by the times of all hot keys, so that one key has a part of their events only.
+    """
+    sizes = cut.groupBy("_w_key", "_w_chunk").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes.sort(key=lambda r: (r["_w_key"] is not None, r["_w_key"] or "", r["_w_chunk"]))
+    into, own, first, held = [], None, None, 0
+    for key, number, n in sizes:
+        if first is None or key != own or held + n > chunk:
+            own, first, held = key, number, 0
+        held += n
+        into.append((key, number, first))
+    # a row for each chunk of a hot key
+    table = F.broadcast(cut.sparkSession.createDataFrame(into, "_k string, _c int, _first int"))
+    same = F.col("_w_key").eqNullSafe(F.col("_k")) & (F.col("_w_chunk") == F.col("_c"))
+    return cut.join(table, same).withColumn("_w_chunk", F.col("_first")).drop("_k", "_c", "_first")
+
+
 def _ends(times: np.ndarray, us: int) -> tuple[np.ndarray, np.ndarray]:
     """(times, ends): an event that passes first in a chunk, at the last of `times` or before, ends the chunk's chain at `ends`."""
     times = np.unique(times)
@@ -131,12 +153,15 @@ def _passing_before(cut: DataFrame, us: int) -> dict:
 
 def _settled(cut: DataFrame, step: Step) -> dict:
     """(key, chunk): the state before the chunk, by rounds in which chunks run whose state before has changed."""
-    narrow = durable(cut.select("_w_key", "_w_chunk", "_w_time", "event_id", "_w_flag"))
-    chunks = [(r["_w_key"], r["_w_chunk"]) for r in narrow.select("_w_key", "_w_chunk").distinct().collect()]
+    spark = cut.sparkSession
+    narrow, path = cut.select("_w_key", "_w_chunk", "_w_time", "event_id", "_w_flag"), folder(spark, "chunks")
+    narrow.repartition("_w_key", "_w_chunk").write.partitionBy("_w_chunk").parquet(path)
+    read = lambda *places: spark.read.schema(narrow.schema).option("basePath", path).parquet(*places)
+    chunks = [(r["_w_key"], r["_w_chunk"]) for r in read(path).select("_w_key", "_w_chunk").distinct().collect()]
     chunks.sort(key=lambda x: (x[0] is not None, x[0] or "", x[1]))
     before: dict = dict.fromkeys(chunks, ())
     after: dict = {}
-    spark, todo = cut.sparkSession, list(chunks)
+    todo = list(chunks)
 
     def ended(states):
         def run(batches) -> Iterator[pa.RecordBatch]:
@@ -158,8 +183,11 @@ def _settled(cut: DataFrame, step: Step) -> dict:
 
     while todo:
         chosen = F.broadcast(spark.createDataFrame(todo, "_k string, _c int"))
-        rows = narrow.join(chosen, F.col("_w_key").eqNullSafe(F.col("_k")) & (F.col("_w_chunk") == F.col("_c")), "left_semi")
-        rows = rows.repartition("_w_key", "_w_chunk").sortWithinPartitions("_w_key", "_w_chunk", "_w_time", "event_id").drop("event_id")
+        # no other chunk's files are opened
+        files = read(path) if len(todo) == len(chunks) else read(*(f"{path}/_w_chunk={c}" for c in sorted({c for _, c in todo})))
+        rows = files.join(chosen, F.col("_w_key").eqNullSafe(F.col("_k")) & (F.col("_w_chunk") == F.col("_c")), "left_semi")
+        rows = rows.repartition("_w_key", "_w_chunk").sortWithinPartitions("_w_key", "_w_chunk", "_w_time", "event_id")
+        rows = rows.select("_w_key", "_w_chunk", "_w_time", "_w_flag")
         for r in rows.mapInArrow(ended({c: before[c] for c in todo}), "_w_key string, _w_chunk int, state array<long>").collect():
             after[r["_w_key"], r["_w_chunk"]] = tuple(r["state"])
         todo = []
