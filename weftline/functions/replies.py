@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from weftline.functions import text as T
+
 
 #: What matters for nesting: whole strings, a string that never ends, and braces.
 _TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|"|[{}]', re.S)
@@ -47,16 +49,20 @@ def find_json(raw: str | None, lenient: bool = False) -> str | None:
     return text[start:end] if end > 0 else text if lenient else None
 
 
-@F.pandas_udf(StringType())
-def json_object(raw: pd.Series) -> pd.Series:
+def _found(raw: pa.Array, lenient: bool) -> pa.Array:
+    return T.by_slices(raw, lambda part: pa.array([find_json(r, lenient) for r in part.to_pylist()], pa.string()), pa.string())
+
+
+@F.arrow_udf(StringType())
+def json_object(raw: pa.Array) -> pa.Array:
     """The first balanced JSON object of each reply, null if there is none."""
-    return raw.map(find_json)
+    return _found(raw, False)
 
 
-@F.pandas_udf(StringType())
-def json_object_or_text(raw: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def json_object_or_text(raw: pa.Array) -> pa.Array:
     """The first balanced JSON object of each reply, the trimmed reply if there is none."""
-    return raw.map(lambda r: find_json(r, lenient=True))
+    return _found(raw, True)
 
 
 def outermost_braces(raw: Column) -> Column:
