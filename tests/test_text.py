@@ -103,3 +103,23 @@ def test_keys_that_must_parse(spark):
     assert tuple(fine) == ("7", "MEM")
     with pytest.raises(Exception, match="not a key: x_1"):
         spark.createDataFrame([("x_1",)], "k string").select(*T.key_parts_or_fail(F.col("k"))).collect()
+
+
+def test_python_gets_a_slice_of_texts_at_a_time(spark):
+    """A batch of long texts is worked on by runs of a few megabytes, with the results of the whole."""
+    import pyarrow as pa
+
+    from weftline.operators import external
+
+    texts = pa.array(["x" * n if n is not None else None for n in (10, None, 3 << 20, 2 << 20, 9 << 20, 5, 0, 1)])
+    seen = []
+    got = T.by_slices(texts, lambda part: seen.append([len(t or "") for t in part.to_pylist()]) or pa.array(seen[-1], pa.int64()), pa.int64())
+    assert got.to_pylist() == [len(t or "") for t in texts.to_pylist()]
+    assert len(seen) > 2 and all(sum(part) <= T.SLICE_BYTES or len(part) == 1 for part in seen)
+    assert T.by_slices(texts.slice(0, 0), None, pa.int64()).to_pylist() == []
+    rows = spark.createDataFrame([(i, f'{{"n":{i}}} ' + "word other " * (100_000 * (i % 4))) for i in range(12)], "_key long, source_question string").coalesce(1)
+    said = rows.select("_key", replies.json_object("source_question").alias("j"), T.simhash64_text(F.col("source_question")).alias("h")).collect()
+    alone = {r["_key"]: r["h"] for r in rows.repartition(12).select("_key", T.simhash64_text(F.col("source_question")).alias("h")).collect()}
+    assert {r["_key"]: (r["j"], r["h"]) for r in said} == {i: (f'{{"n":{i}}}', alone[i]) for i in range(12)}
+    talks = external.simulate(rows, lambda q, said: f"{len(q)}", lambda q, said: f"{len(said)}", 1).collect()
+    assert [(r["_key"], [m["content"] for m in r["messages"]], len(r["attempts"]), r["error"]) for r in talks] == [(r["_key"], [str(len(r["source_question"])), "1"], 2, None) for r in rows.collect()]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.replies import verdict_line
-from weftline.functions.text import ANSWER_CUES
+from weftline.functions.text import ANSWER_CUES, slices
 
 RETRIES, BACKOFF_SECONDS, CAP_SECONDS = 3, 8.0, 60.0
 
@@ -211,13 +211,22 @@ def simulate(
                 said.append({"role": role, "content": reply.strip() if least else reply})
         return said, tried, None
 
-    def run(frames):
-        for frame in frames:
-            talks = [talk(q) for q in frame["source_question"]]
-            yield frame.assign(**{name: [t[i] for t in talks] for i, name in enumerate(new)})
+    text, number = pa.string(), pa.int32()
+    message = pa.struct([("role", text), ("content", text)])
+    attempt = pa.struct([("turn", number), ("role", text), ("attempt", number), ("reply", text)])
+    kinds = (pa.list_(message), pa.list_(attempt), text)
+
+    def run(batches):
+        for batch in batches:
+            questions = batch.column("source_question")
+            # the other columns stay as they are
+            for low, high in slices(questions):
+                talks = [talk(q) for q in questions.slice(low, high - low).to_pylist()]
+                made = [pa.array([t[i] for t in talks], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, *made], names=[*kept, *new])
 
     added = "messages array<struct<role:string,content:string>>, attempts array<struct<turn:int,role:string,attempt:int,reply:string>>, error string"
-    return candidates.select(*kept).mapInPandas(run, f"{schema}, {added}")
+    return candidates.select(*kept).mapInArrow(run, f"{schema}, {added}")
 
 
 def failures(outcomes: DataFrame, stage: str) -> DataFrame:
