@@ -21,6 +21,7 @@ known by their place in the scan: `docs` must be a stored table, or read alike e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -69,32 +70,35 @@ class Models:
     keys: np.ndarray
     gains: np.ndarray
 
-    def known(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pair keys, which pairs are known here)."""
+    @cached_property
+    def head(self) -> wordhash.Finder:
+        return wordhash.Finder(self.words)
+
+    @cached_property
+    def _pairs(self) -> wordhash.Finder:
+        return wordhash.Finder(self.keys)
+
+    def known(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair keys, their places among the broadcast ones, which pairs are known here)."""
         key = pair_keys(before, word)
-        if not len(self.keys):
-            return key, np.zeros(len(key), bool)
-        return key, self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+        return key, *self._pairs.find(key)
 
     def losses(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Per-token losses as far as they are known here."""
         losses = self.unseen - self.singles[:, np.maximum(word, START)]
-        key, known = self.known(before, word)
+        _, at, known = self.known(before, word)
         if known.any():
-            losses[:, known] -= self.gains[:, np.searchsorted(self.keys, key[known])]
+            losses[:, known] -= self.gains[:, at[known]]
         return losses
 
 
-def word_numbers(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
-    number = (hashes | _TOP).view(np.int64)
-    if not len(head):
-        return number
-    at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
-    return np.where(head[at] == hashes, at + 1, number)
+def word_numbers(hashes: np.ndarray, head: wordhash.Finder) -> np.ndarray:
+    at, found = head.find(hashes)
+    return np.where(found, at + np.int64(1), (hashes | _TOP).view(np.int64))
 
 
-def numbers(words: wordhash.Words, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(before, word): each token's number and that of the token before it in its text. head: sorted hashes of the broadcast words."""
+def numbers(words: wordhash.Words, head: wordhash.Finder) -> tuple[np.ndarray, np.ndarray]:
+    """(before, word): each token's number and that of the token before it in its text. head: of the broadcast words' hashes."""
     word = word_numbers(words.hashes, head)
     before = np.empty_like(word)
     before[1:] = word[:-1]
@@ -149,8 +153,9 @@ def with_numbers(counts: DataFrame, head: np.ndarray) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(head)
 
     def renumber(batches):
+        finder = wordhash.Finder(shared.value)
         for batch in batches:
-            number = word_numbers(np.ascontiguousarray(batch.column("word").to_numpy()).view(_U), shared.value)
+            number = word_numbers(np.ascontiguousarray(batch.column("word").to_numpy()).view(_U), finder)
             yield pa.RecordBatch.from_arrays([pa.array(number), *(batch.column(c) for c in COUNTS)], names=["word", *COUNTS])
 
     return common.stored(counts.select("word", *COUNTS).mapInArrow(wordhash.lean(renumber), counts.schema), "numbered")
@@ -170,12 +175,12 @@ def pair_counts(flagged: DataFrame, head: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)[1:]], names=["before", "word", "n", "t"])
 
     def count(batches):
-        parts, held = [], 0
+        finder, parts, held = wordhash.Finder(shared.value), [], 0
         for batch in batches:
             texts, target = batch.column("text"), np.array(batch.column("target").to_pylist(), bool)
             for low, high in wordhash.slices(texts, _SLICE):
                 words = wordhash.words_of(texts.slice(low, high - low), lower=True)
-                before, word = numbers(words, shared.value)
+                before, word = numbers(words, finder)
                 of_target = np.repeat(target[low:high], words.counts())
                 parts.append(merged([(pair_keys(before, word), before, word, np.ones(len(word)), of_target.astype(float))]))
                 held += len(parts[-1][0])
@@ -293,7 +298,7 @@ def _gains(tails: DataFrame, words: DataFrame, pairs: DataFrame, low_bits: np.ui
     def table(parts):
         keys, t, n = (np.frombuffer(b"".join(p[i] for p in parts), kind) for i, kind in enumerate(("<i8", "<f4", "<f4")))
         order = np.argsort(keys)
-        return keys[order], t[order], n[order]
+        return wordhash.Finder(keys[order]), t[order], n[order]
 
     def summed(held):
         rows, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
@@ -312,11 +317,9 @@ def _gains(tails: DataFrame, words: DataFrame, pairs: DataFrame, low_bits: np.ui
                     parts.append((keys, t, n))
                     continue
                 known = known or table(parts)
-                if not len(known[0]):
+                at, hit = known[0].find(np.frombuffer(keys, "<i8"))
+                if not hit.any():
                     continue
-                key = np.frombuffer(keys, "<i8")
-                at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
-                hit = known[0][at] == key
                 at = at[hit]
                 held.append((np.frombuffer(rows, "<i8")[hit], known[1][at].astype("<f8"), known[2][at].astype("<f8")))
                 size += len(at)
@@ -365,7 +368,7 @@ def score(docs: DataFrame, models: Models, words: DataFrame, pairs: DataFrame) -
         """(rows' places, tokens of each, before, word) by slices of a batch's texts."""
         for low, high in wordhash.slices(batch.column("text"), _SLICE):
             found = wordhash.words_of(batch.column("text").slice(low, high - low), lower=True)
-            yield low, high, found.counts(), *numbers(found, shared.value.words)
+            yield low, high, found.counts(), *numbers(found, shared.value.head)
 
     def losses(batches):
         for batch in batches:
@@ -386,7 +389,7 @@ def score(docs: DataFrame, models: Models, words: DataFrame, pairs: DataFrame) -
         for batch in batches:
             place = batch.column("row").to_numpy()
             for low, high, n, before, word in tokens_of(batch):
-                key, known = shared.value.known(before, word)
+                key, _, known = shared.value.known(before, word)
                 where, tail = np.repeat(place[low:high], n), word < START
                 held.append((key[~known], where[~known]))
                 if tail_words:

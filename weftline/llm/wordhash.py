@@ -38,6 +38,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Finder:
+    """Places of values among sorted, different hashes, signed or not: a table by their first bits says where to begin, so that a search takes a step or two."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = min(max(len(keys).bit_length() + 1, 4), 24)
+        self.keys, self._shift = keys, keys.dtype.type(64 - bits)
+        self._low = -(1 << bits - 1) if keys.dtype.kind == "i" else 0
+        sizes = np.bincount(self._buckets(keys), minlength=1 << bits)
+        self._starts = (np.cumsum(sizes) - sizes).astype(np.int32 if len(keys) < 2**31 else np.int64)
+
+    def _buckets(self, values: np.ndarray) -> np.ndarray:
+        return (values >> self._shift).astype(np.int64) - self._low
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, which values are there); the place of a value that is not there means nothing."""
+        if not len(self.keys):
+            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        last = len(self.keys) - 1
+        at = np.minimum(self._starts[self._buckets(values)], last)
+        there = self.keys[at]
+        hit, late = there == values, np.flatnonzero(there < values)
+        while late.size:
+            late = late[at[late] < last]
+            at[late] += 1
+            there, wanted = self.keys[at[late]], values[late]
+            hit[late] = there == wanted
+            late = late[there < wanted]
+        return at, hit
+
+
 @dataclass
 class Words:
     """The words of a run of texts: hashes, byte spans in `data`, and each text's first word (one more at the end)."""
